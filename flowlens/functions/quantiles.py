@@ -9,16 +9,16 @@ bracket is one value or small enough to sort. Only brackets travel through the d
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.functions.scalars import finite
-
 BUCKETS = 256
 EXACT_ROWS = 1 << 20
 SORT_ROWS = 1 << 16
+LARGEST = sys.float_info.max
 
 _BRACKETS = T.StructType([
     T.StructField("grp", T.StringType()), T.StructField("name", T.StringType()), T.StructField("rank", T.LongType()),
@@ -27,10 +27,12 @@ _BRACKETS = T.StructType([
 
 
 def long_form(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
-    """One row (``grp``, ``name``, ``value``) per finite number of ``columns``."""
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), finite(F.col(f"`{c}`")).alias("value")) for c in columns])
+    """One row (``grp``, ``name``, ``value``) per number of ``columns``; nulls and NaN are left out."""
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").try_cast("double").alias("value")) for c in columns
+    ])
     label = F.lit("") if group is None else F.coalesce(F.col(f"`{group}`").cast("string"), F.lit(""))
-    return df.select(label.alias("grp"), F.inline(cells)).where(F.col("value").isNotNull())
+    return df.select(label.alias("grp"), F.inline(cells)).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def exact_quantiles(
@@ -53,14 +55,20 @@ def exact_quantiles(
     if all(s["n"] <= exact_rows for s in known):
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return rows.groupBy("grp", "name").agg(F.percentile("value", wanted).alias("q"))
-    found = _order_statistics(rows, known, probs, sort_rows)
+    # infinities stand at the ends of the double range while brackets are halved
+    bounded = rows.withColumn("value", F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col("value"))))
+    spans = [
+        {**s.asDict(), "low": max(s["low"], -LARGEST), "high": min(s["high"], LARGEST)} for s in known
+    ]
+    found = _order_statistics(bounded, spans, probs, sort_rows)
+    found = {k: math.copysign(math.inf, x) if abs(x) == LARGEST else x for k, x in found.items()}
     out = []
     for s in known:
         q = []
         for p in probs:
             h = (s["n"] - 1) * p
             a, b = found[s["grp"], s["name"], math.floor(h)], found[s["grp"], s["name"], math.ceil(h)]
-            q.append(a + (b - a) * (h - math.floor(h)))
+            q.append(a if a == b else a + (b - a) * (h - math.floor(h)))
         out.append((s["grp"], s["name"], q))
     return df.sparkSession.createDataFrame(out, "grp string, name string, q array<double>")
 

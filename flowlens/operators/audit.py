@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,22 +118,29 @@ def choose_schema(headers: DataFrame, requested: str | None = None) -> DataFrame
     best = F.max(F.struct(rank.alias("rank"), "model", "status", "match_percentage", "is_inferable", "transformed", "derived"))
     chosen = rows.groupBy("file").agg(best.alias("b"), missing.alias("missing"))
     b, status = F.col("b"), F.col("b")["status"]
-    transforms = b["transformed"] + b["derived"]
-    gaps = [F.col("missing")[F.lit(m)].cast("string") for m in MODELS]
+    names = [x for m in MODELS for x in (F.lit(f"{m}|{SC.EXACT_MATCH}"), F.lit(SC.SCHEMA_NAME[m]))]
+    names += [x for m in MODELS for x in (F.lit(f"{m}|{SC.TRANSFORMABLE}"), F.lit(SC.ADAPTED_NAME[m]))]
+    schema = F.coalesce(
+        F.try_element_at(F.create_map(*names), F.concat_ws("|", b["model"], status)), F.lit("Partial / Custom Schema")
+    )
+    gaps = {k: F.col("missing")[F.lit(m)] for k, m in zip("cug", MODELS)}
     explanation = (
-        F.when(status == SC.EXACT_MATCH, F.concat(F.lit("All features of "), b["model"], F.lit(" are present.")))
-        .when(status == SC.TRANSFORMABLE, F.concat(F.lit("Adapted to "), b["model"], F.lit(" by aliases and derivations.")))
-        .otherwise(F.concat(
-            F.lit("Cannot be adapted: missing "), gaps[0], F.lit(" (cicids), "), gaps[1], F.lit(" (unsw), "), gaps[2],
-            F.lit(" (generalized) features."),
-        ))
+        F.when(status == SC.EXACT_MATCH, _fill(SC.EXPLAIN_EXACT, schema=schema))
+        .when(status == SC.TRANSFORMABLE, _fill(SC.EXPLAIN_ADAPTED, schema=schema))
+        .otherwise(_fill(SC.EXPLAIN_UNSUPPORTED, **gaps))
     )
     action = (
-        F.when(status == SC.EXACT_MATCH, "Proceed with standard inference.")
-        .when(status == SC.TRANSFORMABLE, F.concat(F.lit("Apply "), transforms.cast("string"), F.lit(" transforms and run inference.")))
-        .otherwise("Evaluation only, without model inference.")
+        F.when(status == SC.EXACT_MATCH, SC.ACTION_EXACT)
+        .when(status == SC.TRANSFORMABLE, _fill(SC.ACTION_ADAPTED, n=b["transformed"] + b["derived"]))
+        .otherwise(SC.ACTION_UNSUPPORTED)
     )
     return chosen.select(
-        "file", b["model"].alias("model"), status.alias("status"), b["match_percentage"].alias("match_percentage"),
-        b["is_inferable"].alias("is_inferable"), explanation.alias("explanation"), action.alias("recommended_action"),
+        "file", b["model"].alias("model"), schema.alias("detected_schema"), status.alias("status"),
+        b["match_percentage"].alias("match_percentage"), b["is_inferable"].alias("is_inferable"),
+        explanation.alias("explanation"), action.alias("recommended_action"),
     )
+
+
+def _fill(template: str, **values: Column) -> Column:
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
