@@ -104,7 +104,7 @@ def alert_title(level: Column, prediction: Column) -> Column:
 
 def alert_description(score: Column, prediction: Column) -> Column:
     return F.concat(
-        F.lit("Network flow evaluated with a risk score of "), F.format_number(score, 2),
+        F.lit("Network flow evaluated with a risk score of "), score.cast("string"),
         F.lit("/100. Classified as "), prediction, F.lit("."),
     )
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.functions import scalars as S
+from flowlens.operators import decide as D
 from flowlens.operators import flows as FL
+from flowlens.schemas import GENERALIZED_FEATURES, THRESHOLDS
 
 IDLE_SECONDS = 86_400.0
 
@@ -82,15 +85,14 @@ def dirty_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flow table with nulls, NaN, infinities and exact copies in it."""
     line = table(spark, sf_dir, "lineitem")
     order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    rows = line.select(
+    return line.select(
         order.alias("flow_key"),
         F.when(order % 11 == 0, F.lit(None)).otherwise(F.col("l_quantity")).alias("packets"),
         F.when(part % 13 == 0, F.lit(float("nan"))).when(part % 17 == 0, F.lit(float("inf")))
         .when(part % 19 == 0, F.lit(float("-inf"))).otherwise(F.col("l_extendedprice")).alias("bytes"),
         F.when(supp % 7 == 0, F.lit(None)).otherwise(F.col("l_linestatus")).alias("protocol"),
-    )
-    copies = F.when(order % 5 == 0, 2).otherwise(1)
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
+        F.explode(F.sequence(F.lit(1), F.when(order % 5 == 0, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
 
 
 ACTUAL = ["BENIGN", "Bot", "DDoS", "PortScan", "Infiltration"]
@@ -99,17 +101,100 @@ ACTUAL = ["BENIGN", "Bot", "DDoS", "PortScan", "Infiltration"]
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as scored rows with a true and a predicted class."""
     line = table(spark, sf_dir, "lineitem")
+    return line.select(*labelled_columns())
+
+
+def labelled_columns() -> list[Column]:
     names = F.array(*[F.lit(c) for c in ACTUAL])
     true = (F.col("l_partkey") % 5).cast("int")
     wrong = ((F.col("l_orderkey") + F.col("l_linenumber")) % 7 == 0).cast("int")
     shifted = (true + wrong) % 5
     noise = F.col("l_quantity") + F.col("l_discount") * 100
     prob = F.when(shifted == 0, noise * 8 / 1000).otherwise(F.lit(0.35) + noise / 100)
-    return line.select(
+    return [
         *flow_columns(),
         F.get(names, true).alias("actual"),
         F.get(names, shifted).alias("predicted"),
         F.round(prob, 4).alias("attack_prob"),
         F.round(F.lit(0.5) + noise / 125, 4).alias("confidence"),
         F.round(noise / 62.5, 4).alias("margin"),
+    ]
+
+
+def scored(spark: SparkSession, sf_dir: str, idle_timeout: float | None = None) -> DataFrame:
+    """Flows of ``packets`` with the deterministic scorer's decisions."""
+    base = flows(spark, sf_dir, idle_timeout).select("flow_seq", *FL.header_columns(), *FL.generalized_columns())
+    p = D.logistic_probability()
+    port = F.col("dst_port")
+    category = (
+        F.when(port == 80, "DDoS").when(port == 443, "Web Attack - XSS").when(port == 22, "Bot")
+        .when(port == 53, "PortScan").otherwise("Infiltration")
+    )
+    seq = F.col("flow_seq")
+    rows = base.withColumn("p", p).withColumns({
+        "is_attack": F.col("p") >= 0.5,
+        "attack_probability": F.round("p", 4),
+        "confidence": F.round(F.greatest(F.col("p"), 1.0 - F.col("p")), 4),
+        "prediction_margin": F.round(F.abs(F.col("p") * 2.0 - 1.0), 4),
+        "risk_score": S.risk_score(F.col("p")),
+        "anomaly_score": F.round(F.lit(0.3) - F.log1p("total_bytes") / 25.0, 4),
+        "generalized_prediction": F.when(F.col("p") >= THRESHOLDS["generalized"], "Attack").otherwise("Normal"),
+        "dataset": F.lit("CICIDS2017"),
+        "source_type": F.when(seq % 3 == 0, "csv").when(seq % 3 == 1, "pcap").otherwise("live"),
+        "job_id": F.concat(F.lit("job-"), (seq % 7).cast("string")),
+        "session_id": F.concat(F.lit("mon-"), (seq % 5).cast("string")),
+    })
+    return rows.withColumns({
+        "risk_level": S.risk_level(F.col("risk_score")),
+        "is_anomaly": F.col("anomaly_score") < THRESHOLDS["isolation_forest"],
+        "prediction": F.when(F.col("is_attack"), category).otherwise("BENIGN"),
+    })
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labelled`` as a prediction log."""
+    line = table(spark, sf_dir, "lineitem")
+    keyed = line.select(
+        *labelled_columns(), F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        F.col("l_linestatus").alias("st"), F.col("l_partkey").alias("pk"),
+    )
+    return keyed.select(
+        F.concat(F.lit("pred-"), "row_key").alias("prediction_id"), "timestamp",
+        F.when(F.col("st") == "O", "UNSW-NB15").otherwise("CICIDS2017").alias("dataset"),
+        F.col("predicted").alias("prediction"), (F.col("predicted") != "BENIGN").alias("is_attack"),
+        F.col("attack_prob").alias("attack_probability"), "confidence",
+        S.risk_score(F.col("attack_prob")).alias("risk_score"),
+        S.risk_level(S.risk_score(F.col("attack_prob"))).alias("risk_level"),
+        F.when(F.col("pk") % 3 != 0, "manual").alias("input_source"),
+    )
+
+
+# names as files of different origin write them; what each order bundle holds decides what it can feed
+HEADER_NAMES = [
+    "dur", "Flow Duration", "spkts", "Total Fwd Packets", "dpkts", "bwd_packets", "sbytes", "fwd-bytes", "dbytes",
+    "Total Length of Bwd Packets", "total.packets", "BYTES_PER_SECOND", "rate", "Label", "Flow Bytes/s", "junk_col",
+]
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four consecutive orders as one file whose columns are named by their lines' parts."""
+    line = table(spark, sf_dir, "lineitem")
+    place = (F.col("l_partkey") % len(HEADER_NAMES)).cast("int")
+    return line.select(
+        F.concat(F.lit("file-"), F.floor(F.col("l_orderkey") / 4).cast("string")).alias("file"),
+        place.alias("position"), F.get(F.array(*[F.lit(n) for n in HEADER_NAMES]), place).alias("column"),
+    ).distinct()
+
+
+def feature_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose generalized features sit in a map, some of them absent, some not numbers."""
+    line = table(spark, sf_dir, "lineitem")
+    cells = []
+    for i, name in enumerate(GENERALIZED_FEATURES):
+        key = name.upper() if i % 2 else name
+        value = F.when((F.col("l_suppkey") + i) % 9 == 0, "n/a").otherwise((F.col("l_quantity") * (i + 1)).cast("string"))
+        absent = (F.col("l_partkey") + F.col("l_suppkey") * i) % 6 == 0
+        cells.append(F.when(~absent, F.struct(F.lit(key).alias("k"), value.alias("v"))))
+    return line.select(
+        flow_columns()[0], F.map_from_entries(F.array_compact(F.array(*cells))).alias("features")
     )
