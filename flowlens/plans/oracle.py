@@ -572,8 +572,8 @@ def all_sql() -> dict[str, str]:
     q["q_top_features"] = sql(" UNION ALL ".join(
         f"SELECT flow_seq, '{f}' AS feature, round({f}, 2) AS value, round(least(1.0, abs({f}) * 0.01 + 0.1), 4) AS importance, CASE WHEN {f} > 0 THEN 'positive' ELSE 'negative' END AS direction FROM gen" for f in _GEN), "gen")
     q["q_instance_attr"] = sql(f"""SELECT flow_seq, importance, feature, round(v, 2) AS value, CASE WHEN v > 0 THEN 'positive' ELSE 'negative' END AS direction
-     FROM (SELECT *, row_number() OVER (PARTITION BY flow_seq ORDER BY importance DESC, place) AS place_no FROM (SELECT *, CAST(round(CAST(abs(v) * 0.05 + base AS DECIMAL(30, 10)), 4) AS DOUBLE) AS importance FROM ({_unpivot('generalized')}))) WHERE place_no <= 5""", "gen")
-    q["q_attr_lookup"] = sql(f"SELECT feature, count(*) AS n, round(max(CAST(round(CAST(abs(v) * 0.05 + base AS DECIMAL(30, 10)), 4) AS DOUBLE)), 4) AS max_importance, round(min(CAST(round(CAST(abs(v) * 0.05 + base AS DECIMAL(30, 10)), 4) AS DOUBLE)), 4) AS min_importance FROM ({_unpivot('isolation_forest')}) GROUP BY feature", "gen")
+     FROM (SELECT *, row_number() OVER (PARTITION BY flow_seq ORDER BY importance DESC, place) AS place_no FROM (SELECT *, CAST(round(CAST(CAST(abs(v) * 0.05 + base AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS importance FROM ({_unpivot('generalized')}))) WHERE place_no <= 5""", "gen")
+    q["q_attr_lookup"] = sql(f"SELECT feature, count(*) AS n, round(max(CAST(round(CAST(CAST(abs(v) * 0.05 + base AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE)), 4) AS max_importance, round(min(CAST(round(CAST(CAST(abs(v) * 0.05 + base AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE)), 4) AS min_importance FROM ({_unpivot('isolation_forest')}) GROUP BY feature", "gen")
     q["q_global_attr"] = sql(f"SELECT CAST(rank() OVER (ORDER BY r DESC) AS INTEGER) AS rank, feature, round(a, 4) AS mean_abs FROM ({_attributions()})", "gen")
     q["q_attr_search"] = sql(f"SELECT feature, round(a, 4) AS mean_abs FROM ({_attributions()}) WHERE feature LIKE '%bytes%'", "gen")
     recs = "CASE prediction " + " ".join(f"WHEN {quoted(k)} THEN {quoted(' '.join(v))}" for k, v in SC.RECOMMENDATIONS.items()) + f" ELSE {quoted(' '.join(SC.DEFAULT_RECOMMENDATIONS))} END"
