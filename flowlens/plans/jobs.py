@@ -1,3 +1,144 @@
-"""Registered jobs that SQL cannot express: models and streams (row checks only)."""
+"""Registered jobs that SQL cannot express: trained models, forests, streams and sinks (row checks only)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens import schemas as SC
+from flowlens.operators import adapt as A
+from flowlens.operators import flows as FL
+from flowlens.operators import forest as FO
+from flowlens.operators import models as M
+from flowlens.operators import reports as R
+from flowlens.operators import rules as RU
+from flowlens.plans import views as V
+from flowlens.session import materialize, scratch_path
+from flowlens.sources import sinks as SK
+from flowlens.sources.tables import packet_stream
+from flowlens.streaming import flow_state as ST
+from flowlens.streaming.monitor import Monitor
 
 QUERIES = {}
+RULE_FEATURES = ["fwd_pkts", "bwd_pkts", "fwd_bytes", "duration", "dst_port"]
+
+
+def job(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _generalized(spark, sf):
+    """``lineitem`` adapted to the ten features, with a label."""
+    raw = V.labelled(spark, sf).select(
+        "row_key", "actual", F.col("duration").alias("dur"), F.col("fwd_pkts").alias("spkts"),
+        F.col("bwd_pkts").alias("dpkts"), F.col("fwd_bytes").alias("sbytes"),
+        (F.col("bwd_pkts") * 100 + F.col("attack_prob") * 1000).alias("dbytes"),
+    )
+    return A.adapt(raw, "generalized", keep=["row_key", "actual"]).withColumn("is_bad", F.col("actual") != "BENIGN")
+
+
+@job
+def q_iforest_outliers(spark, sf):
+    rows = FO.outliers(V.flow_table(spark, sf), RULE_FEATURES)
+    return rows.select("row_key", "outlier_index", "is_outlier")
+
+
+@job
+def q_iforest_evidence(spark, sf):
+    """Rule flags and the statistical outlier flag together, most suspicious rows first."""
+    scored = materialize(FO.outliers(V.flow_table(spark, sf), RULE_FEATURES), "outliers")
+    rows = RU.with_evidence(RU.flag_rows(scored), "is_outlier", "outlier_index")
+    return RU.top_evidence(rows, "row_key").select("row_key", "n_flags", "outlier_score", "evidence")
+
+
+@job
+def q_model_binary(spark, sf):
+    rows = _generalized(spark, sf)
+    model = M.fit_binary(rows, SC.GENERALIZED_FEATURES, "is_bad", iterations=5, depth=4)
+    return M.score_binary(model, rows, "unsw-nb15", SC.GENERALIZED_FEATURES).select("row_key", "prediction", "attack_probability", "risk_level")
+
+
+@job
+def q_model_multiclass(spark, sf):
+    rows = _generalized(spark, sf)
+    model = M.fit_multiclass(rows, SC.GENERALIZED_FEATURES, "actual", SC.CICIDS_CLASSES, trees=10, depth=5)
+    return M.score_multiclass(model, rows, "cicids2017", SC.GENERALIZED_FEATURES).select("row_key", "prediction", "confidence", "risk_level")
+
+
+@job
+def q_model_telemetry(spark, sf):
+    """Flows scored by the generalized model (saved and loaded again) with anomaly telemetry."""
+    train = _generalized(spark, sf)
+    path = scratch_path(spark, "generalized-model")
+    M.save(M.fit_generalized(train, "is_bad", iterations=5, depth=4), path)
+    model = M.load(path)
+    flows = V.flows(spark, sf).select("flow_seq", *FL.header_columns(), *FL.generalized_columns())
+    trees = FO.load(FO.fit(flows, SC.GENERALIZED_FEATURES))
+    scored = M.score_binary(model, flows, "generalized", missing="null")
+    return M.with_telemetry(scored, model, trees).select(
+        "flow_seq", "prediction", "risk_score", "anomaly_score", "is_anomaly", "generalized_prob", "generalized_prediction"
+    )
+
+
+def _stream_source(spark, sf) -> str:
+    """The packets as files of a stream, in arrival order, then the drain row."""
+    packets = V.packets(spark, sf)
+    path = scratch_path(spark, "packet-stream")
+    packets.write.mode("append").parquet(path)
+    ST.drain_packet(spark).write.mode("append").parquet(path)
+    return path
+
+
+@job
+def q_stream_flows(spark, sf):
+    """Flows of the packet stream (idle timeout and drain), read from the sink."""
+    source = _stream_source(spark, sf)
+    out = scratch_path(spark, "stream-flows")
+    flows = ST.stream_flows(packet_stream(spark, source), V.IDLE_SECONDS, "1 day")
+    query = (
+        flows.writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "stream-check")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(out).select("flow_seq", *FL.header_columns(), *FL.generalized_columns())
+
+
+def score_stream(batch):
+    """The deterministic scorer in a micro-batch, from the columns the flow stream delivers."""
+    from flowlens.operators import decide as D
+
+    rows = batch.select("flow_seq", *FL.header_columns(), *FL.generalized_columns()).withColumn("p", D.logistic_probability())
+    rows = D.decide_binary(rows, "p", "generalized").drop("p")
+    return rows.withColumns({"anomaly_score": F.lit(0.1), "is_anomaly": F.lit(False)})
+
+
+@job
+def q_stream_incidents(spark, sf):
+    """Micro-batches scored, stored and merged into incident snapshots; the last snapshot is returned."""
+    root = scratch_path(spark, "monitor")
+    monitor = Monitor(spark, root, score_stream, "mon-1")
+    flows = ST.stream_flows(packet_stream(spark, _stream_source(spark, sf)), V.IDLE_SECONDS, "1 day")
+    query = monitor.start(flows, available_now=True)
+    query.awaitTermination()
+    monitor.stop(query)
+    return monitor.incidents().select("incident_id", "src_ip", "attack_category", "flow_count", "severity", "risk_score")
+
+
+@job
+def q_stored_flows(spark, sf):
+    """Scored flows written with defaults, partitioned by source, and read back for one source."""
+    path = scratch_path(spark, "flow-table")
+    SK.write_flows(V.scored(spark, sf), path)
+    return R.recent_flows(spark.read.parquet(path), "pcap", 50).select("flow_id", "src_ip", "prediction")
+
+
+@job
+def q_exported_flows(spark, sf):
+    path = scratch_path(spark, "export")
+    SK.export(V.scored(spark, sf), path, "json")
+    return spark.read.json(path)
+
+
+@job
+def q_result_sample(spark, sf):
+    return V.scored(spark, sf).limit(50).select("flow_id", "prediction", "risk_score")
