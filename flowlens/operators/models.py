@@ -16,8 +16,11 @@ from flowlens.operators import forest as FO
 from flowlens.operators.evaluate import WEIGHT_CAP
 
 SEED = 42
-# names no input table has
-_OUT = {"predictionCol": "_prediction", "rawPredictionCol": "_raw", "probabilityCol": "_probability"}
+
+
+def _named(classifier):
+    """Output columns under names no input table has."""
+    return classifier.setPredictionCol("_prediction").setRawPredictionCol("_raw").setProbabilityCol("_probability")
 
 
 def _safe(features: list[str]) -> list[str]:
@@ -42,8 +45,8 @@ def with_class_weights(df: DataFrame, label: str, cap: float = WEIGHT_CAP) -> Da
 def fit_binary(df: DataFrame, features: list[str], label: str, iterations: int = 100, depth: int = 5) -> PipelineModel:
     xs = _safe(features)
     rows = model_input(df, features).withColumn("y", F.col(label).cast("double"))
-    gbt = GBTClassifier(labelCol="y", featuresCol="v", **_OUT, maxIter=iterations, maxDepth=depth, seed=SEED)
-    return Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="v"), gbt]).fit(rows)
+    gbt = GBTClassifier(labelCol="y", featuresCol="v", maxIter=iterations, maxDepth=depth, seed=SEED)
+    return Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="v"), _named(gbt)]).fit(rows)
 
 
 def fit_generalized(df: DataFrame, label: str, iterations: int = 100, depth: int = 5) -> PipelineModel:
@@ -51,8 +54,8 @@ def fit_generalized(df: DataFrame, label: str, iterations: int = 100, depth: int
     xs = _safe(SC.GENERALIZED_FEATURES)
     rows = model_input(df, SC.GENERALIZED_FEATURES, missing="null").withColumn("y", F.col(label).cast("double"))
     filled = [f"{x}_f" for x in xs]
-    gbt = GBTClassifier(labelCol="y", featuresCol="v", **_OUT, maxIter=iterations, maxDepth=depth, seed=SEED)
-    stages = [Imputer(inputCols=xs, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="v"), gbt]
+    gbt = GBTClassifier(labelCol="y", featuresCol="v", maxIter=iterations, maxDepth=depth, seed=SEED)
+    stages = [Imputer(inputCols=xs, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="v"), _named(gbt)]
     return Pipeline(stages=stages).fit(rows)
 
 
@@ -62,9 +65,9 @@ def fit_multiclass(df: DataFrame, features: list[str], label: str, classes: list
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
     rows = with_class_weights(model_input(df, features), label).withColumn("y", index.cast("double")).where("y >= 0")
     forest = RandomForestClassifier(
-        labelCol="y", featuresCol="v", weightCol="weight", **_OUT, numTrees=trees, maxDepth=depth, seed=SEED
+        labelCol="y", featuresCol="v", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="v"), forest]).fit(rows)
+    return Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="v"), _named(forest)]).fit(rows)
 
 
 def save(model: PipelineModel, path: str) -> None:

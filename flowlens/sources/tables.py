@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,10 +52,17 @@ def file_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 def guard_files(spark: SparkSession, folder: str) -> DataFrame:
     """One status row per file: empty files, wrong extensions and files without rows are ``INVALID_INPUT``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    # a scan skips empty files, so names come from the reader's own file listing
+    named = spark.createDataFrame([(unquote(p),) for p in found.inputFiles()], "path string")
+    name = F.regexp_replace("path", "^file:/+", "file:/")
+    sizes = found.select(name.alias("path"), "length")
+    files = named.select(name.alias("path")).join(sizes, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder)
-    counts = lines.where(F.length(F.trim("value")) > 0).groupBy(F.col("_metadata.file_path").alias("path")).agg(
+    counts = lines.where(F.length(F.trim("value")) > 0).groupBy(
+        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path")
+    ).agg(
         F.count(F.lit(1)).alias("lines")
     )
     joined = files.withColumn("suffix", suffix).join(counts, "path", "left")
