@@ -35,6 +35,25 @@ def long_form(df: DataFrame, columns: list[str], group: str | None = None) -> Da
     return df.select(label.alias("grp"), F.inline(cells)).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def _wide(df: DataFrame, columns: list[str], group: str | None, *make) -> DataFrame:
+    """``grp, name`` and the aggregates ``make`` of each column, from one aggregate without unpivoting rows."""
+    cells = []
+    for i, c in enumerate(columns):
+        number = F.col(f"`{c}`").try_cast("double")
+        value = F.when(~F.isnan(number), number)
+        cells.append(F.struct(F.lit(c).alias("name"), *[m(value) for m in make]).alias(f"c{i}"))
+    label = F.lit("") if group is None else F.coalesce(F.col(f"`{group}`").cast("string"), F.lit(""))
+    found = df.groupBy(label.alias("grp")).agg(*cells)
+    return found.select("grp", F.inline(F.array(*[F.col(f"c{i}") for i in range(len(columns))])))
+
+
+def _spans(df: DataFrame, columns: list[str], group: str | None) -> list[dict]:
+    spans = _wide(
+        df, columns, group, lambda v: F.count(v).alias("n"), lambda v: F.min(v).alias("low"), lambda v: F.max(v).alias("high")
+    )
+    return [r.asDict() for r in spans.where("n > 0").collect()]
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: list[str],
@@ -47,18 +66,15 @@ def exact_quantiles(
 
     ``group`` must be a column of few values (a class vocabulary): groups times columns brackets go to the driver.
     """
-    rows = long_form(df, columns, group)
-    spans = rows.groupBy("grp", "name").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
-    known = spans.collect()
+    known = _spans(df, columns, group)
     if all(s["n"] <= exact_rows for s in known):
         wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return rows.groupBy("grp", "name").agg(F.percentile("value", wanted).alias("q"))
+        return _wide(df, columns, group, lambda v: F.percentile(v, wanted).alias("q")).where(F.col("q").isNotNull())
+    rows = long_form(df, columns, group)
     # infinities stand at the ends of the double range while brackets are halved
     bounded = rows.withColumn("value", F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col("value"))))
     spans = [
-        {**s.asDict(), "low": max(s["low"], -LARGEST), "high": min(s["high"], LARGEST)} for s in known
+        {**s, "low": max(s["low"], -LARGEST), "high": min(s["high"], LARGEST)} for s in known
     ]
     found = _order_statistics(bounded, spans, probs, sort_rows)
     found = {k: math.copysign(math.inf, x) if abs(x) == LARGEST else x for k, x in found.items()}

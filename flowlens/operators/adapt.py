@@ -165,7 +165,12 @@ def absent_count(features: Column, required: list[str]) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(f.lower()) for f in required]), present))
 
 
+def lacks_too_many(features: Column, required: list[str]) -> Column:
+    """Whether more than a fifth of the required features is absent."""
+    return absent_count(features, required) > 0.2 * len(required)
+
+
 def split_incomplete(df: DataFrame, required: list[str], features: str = "features") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): rows lacking more than a fifth of the required features are rejected."""
-    too_few = absent_count(F.col(features), required) > 0.2 * len(required)
+    """(accepted, rejected) rows. Use ``lacks_too_many`` as a column where one pass shall serve both."""
+    too_few = lacks_too_many(F.col(features), required)
     return df.where(~too_few), df.where(too_few)

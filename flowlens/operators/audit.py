@@ -22,35 +22,51 @@ def name_rule_table(spark) -> DataFrame:
     )
 
 
+def name_candidates(headers: DataFrame) -> DataFrame:
+    """Per distinct column name the features it can provide. Names repeat over files, so rules meet each name once."""
+    names = headers.select(F.trim("column").alias("column")).distinct()
+    forms = F.array(
+        F.struct(F.lit("exact").alias("kind"), F.col("column").alias("key")),
+        F.struct(F.lit("lower").alias("kind"), F.lower("column").alias("key")),
+        F.struct(F.lit("token").alias("kind"), S.normalize_token(F.col("column")).alias("key")),
+    )
+    usable = names.where(~F.lower("column").isin(*sorted(SC.LABEL_NAMES)))
+    cells = usable.select("column", F.inline(forms))
+    found = cells.join(F.broadcast(name_rule_table(headers.sparkSession)), ["kind", "key"])
+    best = found.groupBy("column", "model", "target").agg(F.min(F.struct("priority", "how")).alias("b"))
+    # a name meets a handful of rules at most
+    return best.groupBy("column").agg(F.collect_list(F.struct(
+        "model", "target", F.col("b")["priority"].alias("priority"), F.col("b")["how"].alias("how")
+    )).alias("candidates"))
+
+
 def resolve_headers(headers: DataFrame) -> DataFrame:
     """``headers(file, position, column)`` to one row per (file, model) with ``sources``: target -> (column, how).
 
     Of several columns with the same folded name the last one counts.
     """
-    name = F.trim("column")
-    forms = F.array(
-        F.struct(F.lit("exact").alias("kind"), name.alias("key")),
-        F.struct(F.lit("lower").alias("kind"), F.lower(name).alias("key")),
-        F.struct(F.lit("token").alias("kind"), S.normalize_token(name).alias("key")),
+    cells = headers.select("file", "position", F.trim("column").alias("column"))
+    found = cells.join(name_candidates(headers), "column", "left").select(
+        "file", "position", "column", F.inline_outer("candidates")
     )
-    is_label = F.lower(name).isin(*sorted(SC.LABEL_NAMES))
-    cells = (
-        headers.select("file", "position", name.alias("column"), is_label.alias("is_label"), forms.alias("forms"))
-        .withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
-        .select("file", "position", "column", "is_label", "model", F.inline("forms"))
+    # at most (columns of one file) x (features per name) entries; one shuffle by file
+    entry = F.when(F.col("target").isNotNull(), F.struct(
+        "model", "target", "priority", (-F.col("position")).alias("last"), "column", "how"
+    ))
+    per_file = found.groupBy("file").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    each = per_file.select("file", "entries", F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model")).select(
+        "file", "model", F.filter("entries", lambda e: e["model"] == F.col("model")).alias("entries")
     )
-    rules = F.broadcast(name_rule_table(headers.sparkSession))
-    found = cells.join(rules, ["model", "kind", "key"], "left")
-    target = F.when(~F.col("is_label"), F.col("target"))
-    best = found.groupBy("file", "model", target.alias("target")).agg(
-        F.min(F.struct("priority", (-F.col("position")).alias("last"), "column", "how")).alias("best")
-    )
-    entry = F.when(
-        F.col("target").isNotNull(),
-        F.struct("target", F.struct(F.col("best")["column"].alias("column"), F.col("best")["how"].alias("how"))),
+
+    def best_of_target(e: Column, i: Column) -> Column:
+        before = F.get(F.col("entries"), i - 1)
+        return before.isNull() | (before["target"] != e["target"])
+
+    sources = F.transform(
+        F.filter("entries", best_of_target),
+        lambda e: F.struct(e["target"], F.struct(e["column"].alias("column"), e["how"].alias("how"))),
     )
-    # at most one entry per target of the model, so the list is bounded by the schema
-    return best.groupBy("file", "model").agg(F.map_from_entries(F.collect_list(entry)).alias("sources"))
+    return each.select("file", "model", F.map_from_entries(sources).alias("sources"))
 
 
 def can_derive(model: Column, target: Column, resolved: Column) -> Column:
@@ -83,14 +99,22 @@ def mapping_rows(headers: DataFrame) -> DataFrame:
 
 def compatibility(headers: DataFrame) -> DataFrame:
     """One row per (file, model): counts by kind of mapping, match percentage, status."""
-    how = F.col("transform_type")
-    counts = mapping_rows(headers).groupBy("file", "model").agg(
-        F.count(F.lit(1)).alias("total_required"),
-        F.count_if(how.isin("EXACT_MATCH", "CASE_NORMALIZED")).alias("matched"),
-        F.count_if(how == "ALIAS_MAPPED").alias("transformed"),
-        F.count_if(how == "DERIVED_CALCULATION").alias("derived"),
-        F.count_if(how == "MISSING").alias("missing"),
+    rows = resolve_headers(headers)
+    sizes = F.create_map(*[x for m in MODELS for x in (F.lit(m), F.lit(len(SC.FEATURES[m])))])
+    formulas = F.create_map(*[
+        x for m in MODELS for x in (F.lit(m), F.array(*[F.lit(t) for t in SC.DERIVABLE[m]]))
+    ])
+    have = F.map_keys("sources")
+    ways = F.map_values("sources")
+    direct = F.size(F.filter(ways, lambda w: w["how"] != "ALIAS_MAPPED"))
+    derived = F.filter(
+        formulas[F.col("model")],
+        lambda t: ~F.array_contains(have, t) & can_derive(F.col("model"), t, have),
     )
+    counts = rows.select(
+        "file", "model", sizes[F.col("model")].cast("long").alias("total_required"), direct.cast("long").alias("matched"),
+        (F.size("sources") - direct).cast("long").alias("transformed"), F.size(derived).cast("long").alias("derived"),
+    ).withColumn("missing", F.col("total_required") - F.col("matched") - F.col("transformed") - F.col("derived"))
     total = F.col("total_required")
     return counts.withColumns({
         "match_percentage": F.round((total - F.col("missing")) * 100.0 / total, 1),

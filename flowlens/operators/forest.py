@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from flowlens.functions.quantiles import quantile_row
 from flowlens.functions.scalars import clean_double
 from flowlens.operators.rules import numeric_columns
+from flowlens.session import materialize
 
 TREES, SAMPLE, MAX_FEATURES, SEED = 50, 256, 10, 42
 OUTLIER_SCORE, OUTLIER_SHARE = 70.0, 0.15
@@ -131,7 +132,8 @@ def outliers(df: DataFrame, columns: list[str] | None = None, min_rows: int = 10
     if len(names) < 2 or df.limit(min_rows).count() < min_rows:
         return None
     trees = load(fit(df, names))
-    rows = df.withColumn("outlier_raw", score_column(trees, names))
+    # scored once: ends, the quantile and the result read the stored scores
+    rows = materialize(df.withColumn("outlier_raw", score_column(trees, names)), "outlier-scores")
     ends = rows.agg(F.min("outlier_raw").alias("low"), F.max("outlier_raw").alias("high")).first()
     edge = quantile_row(rows, ["outlier_raw"], [OUTLIER_SHARE])["outlier_raw"][0]
     index = (F.lit(ends["high"]) - F.col("outlier_raw")) / (ends["high"] - ends["low"] + 1e-9) * 100.0

@@ -58,17 +58,24 @@ def summary_with_maps(scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if("is_attack").alias("attacks"), F.sum("risk_score").alias("risk")
     )
 
-    def as_map(column: str) -> DataFrame:
-        pairs = per_class.groupBy(column).agg(F.sum("n").alias("n"))
-        return pairs.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias("m"))
-
-    total = F.sum("n")
-    return per_class.agg(
-        total.alias("total_records"), F.sum("attacks").alias("attack_count"),
-        S.percent(F.sum("attacks"), total).alias("attack_percentage"),
-        F.round(F.sum("risk") / total, 2).alias("average_risk_score"),
-    ).select(
-        "*", as_map("prediction").scalar().alias("category_distribution"), as_map("risk_level").scalar().alias("risk_distribution"),
+    # the few rows per class and band are summed by class, by band and overall in one step
+    sums = per_class.groupingSets(
+        [[F.col("prediction")], [F.col("risk_level")], []], "prediction", "risk_level"
+    ).agg(F.grouping_id().alias("level"), *[F.sum(c).alias(c) for c in ("n", "attacks", "risk")])
+
+    def as_map(column: str, level: int) -> Column:
+        pairs = F.collect_list(F.when(F.col("level") == level, F.struct(column, "n")))
+        return F.map_from_entries(F.array_sort(pairs))
+
+    def overall(column: str) -> Column:
+        return F.max(F.when(F.col("level") == 3, F.col(column)))
+
+    total = overall("n")
+    return sums.agg(
+        F.coalesce(total, F.lit(0)).alias("total_records"), F.coalesce(overall("attacks"), F.lit(0)).alias("attack_count"),
+        S.percent(overall("attacks"), total).alias("attack_percentage"),
+        F.coalesce(F.round(overall("risk") / total, 2), F.lit(0.0)).alias("average_risk_score"),
+        as_map("prediction", 1).alias("category_distribution"), as_map("risk_level", 2).alias("risk_distribution"),
     )
 
 

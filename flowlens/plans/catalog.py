@@ -20,6 +20,7 @@ from flowlens.operators import profile as P
 from flowlens.operators import reports as R
 from flowlens.operators import rules as RU
 from flowlens.plans import views as V
+from flowlens.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,11 +224,9 @@ def q_adapt_clean(spark, sf):
 
 @query
 def q_adapt_reject(spark, sf):
-    accepted, rejected = A.split_incomplete(V.feature_maps(spark, sf), SC.GENERALIZED_FEATURES)
-    parts = accepted.select("row_key", F.lit("accepted").alias("outcome")).unionByName(
-        rejected.select("row_key", F.lit("rejected").alias("outcome"))
-    )
-    return parts
+    rows = V.feature_maps(spark, sf)
+    rejected = A.lacks_too_many(F.col("features"), SC.GENERALIZED_FEATURES)
+    return rows.select("row_key", F.when(rejected, "rejected").otherwise("accepted").alias("outcome"))
 
 
 @query
@@ -519,15 +518,19 @@ def _incident_view(df: DataFrame) -> DataFrame:
     )
 
 
-def _halves(spark, sf):
-    scored = V.scored(spark, sf)
+def _stored(spark, sf):
+    """Scored flows as the stored table incidents are made from."""
+    columns = ["flow_seq", "src_ip", "dst_ip", "is_attack", "is_anomaly", "prediction", "risk_score", "source_type", "dataset", "timestamp"]
+    return materialize(V.scored(spark, sf).select(*columns), "scored-flows")
+
+
+def _halves(scored):
     early = F.col("timestamp") < F.lit("2024-01-15 00:00:00").cast("timestamp")
     return I.correlate(scored.where(early)), I.correlate(scored.where(~early))
 
 
-def _existing(spark, sf):
+def _existing(first):
     """Incidents of the first half, some of them already resolved."""
-    first, _ = _halves(spark, sf)
     done = F.col("flow_count") % 3 == 0
     return first.withColumn("status", F.when(done, "Resolved").when(F.col("flow_count") % 3 == 1, "Investigating").otherwise("New"))
 
@@ -539,8 +542,8 @@ def q_incidents(spark, sf):
 
 @query
 def q_incident_upsert(spark, sf):
-    _, second = _halves(spark, sf)
-    return _incident_view(I.upsert(_existing(spark, sf), second))
+    first, second = _halves(_stored(spark, sf))
+    return _incident_view(I.upsert(_existing(first), second))
 
 
 @query
@@ -557,7 +560,7 @@ def q_incident_get(spark, sf):
 
 @query
 def q_incident_triage(spark, sf):
-    existing = _existing(spark, sf)
+    existing = _existing(_halves(_stored(spark, sf))[0])
     n = F.col("flow_count")
     updates = existing.where(n % 2 == 0).select(
         "incident_id", F.col("last_seen").alias("updated_at"), F.when(n % 4 == 0, "Acknowledged").otherwise("").alias("status"),

@@ -12,7 +12,7 @@ from flowlens.operators import models as M
 from flowlens.operators import reports as R
 from flowlens.operators import rules as RU
 from flowlens.plans import views as V
-from flowlens.session import materialize, scratch_path
+from flowlens.session import scratch_path, spread
 from flowlens.sources import sinks as SK
 from flowlens.sources.tables import packet_stream
 from flowlens.streaming import flow_state as ST
@@ -37,16 +37,20 @@ def _generalized(spark, sf):
     return A.adapt(raw, "generalized", keep=["row_key", "actual"]).withColumn("is_bad", F.col("actual") != "BENIGN")
 
 
+def _forest_rows(spark, sf):
+    return spread(V.table(spark, sf, "lineitem")).select(*V.flow_columns())
+
+
 @job
 def q_iforest_outliers(spark, sf):
-    rows = FO.outliers(V.flow_table(spark, sf), RULE_FEATURES)
+    rows = FO.outliers(_forest_rows(spark, sf), RULE_FEATURES)
     return rows.select("row_key", "outlier_index", "is_outlier")
 
 
 @job
 def q_iforest_evidence(spark, sf):
     """Rule flags and the statistical outlier flag together, most suspicious rows first."""
-    scored = materialize(FO.outliers(V.flow_table(spark, sf), RULE_FEATURES), "outliers")
+    scored = FO.outliers(V.flow_table(spark, sf), RULE_FEATURES)
     rows = RU.with_evidence(RU.flag_rows(scored), "is_outlier", "outlier_index")
     return RU.top_evidence(rows, "row_key").select("row_key", "n_flags", "outlier_score", "evidence")
 

@@ -9,6 +9,7 @@ from flowlens.functions import scalars as S
 from flowlens.operators import decide as D
 from flowlens.operators import flows as FL
 from flowlens.schemas import GENERALIZED_FEATURES, THRESHOLDS
+from flowlens.session import spread
 
 IDLE_SECONDS = 86_400.0
 
@@ -20,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as packets: users talk to eight servers, some event types are the server's answers."""
-    e = table(spark, sf_dir, "events")
-    user, kind = F.col("user_id"), F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("int")
+    # parsed once: the optimizer keeps an expensive column apart when it is read several times
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    user, kind, k = F.col("user_id"), F.col("event_type"), F.col("k")
     udp = k % 4 == 3
     client_ip = F.concat(F.lit("10.0."), F.floor(user / 256).cast("string"), F.lit("."), (user % 256).cast("string"))
     client_port = (F.lit(40000) + user % 1000).cast("int")
@@ -188,7 +189,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose generalized features sit in a map, some of them absent, some not numbers."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"))
     cells = []
     for i, name in enumerate(GENERALIZED_FEATURES):
         key = name.upper() if i % 2 else name
