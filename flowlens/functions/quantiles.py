@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 BUCKETS = 256
 EXACT_ROWS = 1 << 20
 SORT_ROWS = 1 << 16
+BROADCAST_BRACKETS = 10_000
 LARGEST = sys.float_info.max
 
 _BRACKETS = T.StructType([
@@ -89,8 +90,15 @@ def exact_quantiles(
     return df.sparkSession.createDataFrame(out, "grp string, name string, q array<double>")
 
 
+def _inside(rows: DataFrame, open_brackets: list) -> DataFrame:
+    """Rows with the brackets they fall into; few brackets are broadcast, many are joined as Spark sees fit."""
+    brackets = rows.sparkSession.createDataFrame([b[:6] for b in open_brackets], _BRACKETS)
+    if len(open_brackets) <= BROADCAST_BRACKETS:
+        brackets = F.broadcast(brackets)
+    return rows.join(brackets, ["grp", "name"]).where(F.col("value").between(F.col("low"), F.col("high")))
+
+
 def _order_statistics(rows: DataFrame, known: list, probs: list[float], sort_rows: int) -> dict:
-    spark = rows.sparkSession
     found: dict = {}
     live = []
     for s in known:
@@ -104,16 +112,14 @@ def _order_statistics(rows: DataFrame, known: list, probs: list[float], sort_row
             else:
                 (small if b[6] <= sort_rows else wide).append(b)
         if small:
-            brackets = spark.createDataFrame([b[:6] for b in small], _BRACKETS)
-            inside = rows.join(F.broadcast(brackets), ["grp", "name"]).where(F.col("value").between(F.col("low"), F.col("high")))
+            inside = _inside(rows, small)
             ranked = inside.groupBy("grp", "name", "rank", "below").agg(F.sort_array(F.collect_list("value")).alias("v"))
             at = F.get("v", (F.col("rank") - F.col("below")).cast("int"))
             for r in ranked.select("grp", "name", "rank", at.alias("value")).collect():
                 found[r["grp"], r["name"], r["rank"]] = r["value"]
         if not wide:
             break
-        brackets = spark.createDataFrame([b[:6] for b in wide], _BRACKETS)
-        inside = rows.join(F.broadcast(brackets), ["grp", "name"]).where(F.col("value").between(F.col("low"), F.col("high")))
+        inside = _inside(rows, wide)
         # halves keep the width finite when the bracket spans most of the double range
         width = F.col("high") / 2 - F.col("low") / 2
         slot = F.least(F.lit(BUCKETS - 1), F.floor((F.col("value") / 2 - F.col("low") / 2) / width * BUCKETS))

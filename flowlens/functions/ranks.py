@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 4096
+SLICE_ROWS = 1 << 20
+MAX_SLICES = 1 << 20
 
 
-def hashed_rank(df: DataFrame, group: str, key: str, slices: int = SLICES) -> DataFrame:
+def hashed_rank(df: DataFrame, group: str, key: str, slices: int | None = None) -> DataFrame:
     """``rank`` (1-based, by md5 of ``key``) and ``group_rows`` per ``group``, without one task per group.
 
-    The leading hash digits cut each group into even slices: rows are numbered inside slices and offset by the
-    counts of the slices before, of which there are at most ``slices`` per group.
+    The leading hash digits cut each group into even slices of about ``SLICE_ROWS`` rows: rows are numbered inside
+    slices and offset by the counts of the slices before. The number of slices follows from the table's row count.
     """
+    if slices is None:
+        slices = max(1, min(MAX_SLICES, df.count() // SLICE_ROWS))
+    if slices == 1:
+        rows = df.withColumn("_hash", F.md5(F.col(key).cast("string")))
+        return rows.withColumns({
+            "rank": F.row_number().over(Window.partitionBy(group).orderBy("_hash", key)),
+            "group_rows": F.count(F.lit(1)).over(Window.partitionBy(group)),
+        }).drop("_hash")
     digest = F.md5(F.col(key).cast("string"))
     rows = df.withColumn("_hash", digest).withColumn(
         "_slice", F.conv(F.substring("_hash", 1, 6), 16, 10).cast("long") % F.lit(1 << 24)

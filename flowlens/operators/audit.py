@@ -165,6 +165,19 @@ def choose_schema(headers: DataFrame, requested: str | None = None) -> DataFrame
     )
 
 
+def extra_columns(headers: DataFrame, model: str, limit: int = 20) -> DataFrame:
+    """Per file its feature columns that ``model`` does not use, the first ``limit`` in file order."""
+    used = resolve_headers(headers).where(F.col("model") == model).select(
+        "file", F.transform(F.map_values("sources"), lambda s: s["column"]).alias("used")
+    )
+    name = F.trim("column")
+    cells = headers.where(~F.lower(name).isin(*sorted(SC.LABEL_NAMES))).groupBy("file").agg(
+        F.sort_array(F.collect_list(F.struct("position", name.alias("column")))).alias("cells")
+    )
+    rest = F.filter(F.transform("cells", lambda c: c["column"]), lambda c: ~F.array_contains(F.col("used"), c))
+    return cells.join(used, "file").select("file", F.slice(rest, 1, limit).alias("extra_features"))
+
+
 def _fill(template: str, **values: Column) -> Column:
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])

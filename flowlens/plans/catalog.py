@@ -263,6 +263,12 @@ def q_schema_missing(spark, sf):
     return rows.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("target_feature")), ",").alias("missing_features"))
 
 
+@query
+def q_schema_extra(spark, sf):
+    """Columns of a file the generalized model does not use, in file order."""
+    return AU.extra_columns(V.headers(spark, sf), "generalized").select("file", F.array_join("extra_features", ",").alias("extra_features"))
+
+
 @query
 def q_mapping_search(spark, sf):
     rows = AU.mapping_rows(V.headers(spark, sf)).where(F.col("model") == "generalized")

@@ -161,7 +161,7 @@ CTE["predictions"] = (["labelled"], f"""
     FROM labelled)""")
 
 CTE["headers"] = ([], f"""
-  SELECT DISTINCT 'file-' || (l_orderkey // 4) AS file, {text_list(HEADER_NAMES)}[CAST(l_partkey % {len(HEADER_NAMES)} AS INTEGER) + 1] AS "column"
+  SELECT DISTINCT 'file-' || (l_orderkey // 4) AS file, {text_list(HEADER_NAMES)}[CAST(l_partkey % {len(HEADER_NAMES)} AS INTEGER) + 1] AS "column", l_partkey % {len(HEADER_NAMES)} AS position
   FROM lineitem""")
 
 CTE["rules"] = ([], "SELECT * FROM (VALUES " + ", ".join(
@@ -515,6 +515,8 @@ def all_sql() -> dict[str, str]:
         max(missing) FILTER (WHERE model = 'generalized') OVER (PARTITION BY file) AS m_g FROM compat) WHERE place_no = 1""", "compat")
     q["q_schema_requested"] = sql("SELECT file, model, status, match_percentage FROM compat WHERE model = 'unsw'", "compat")
     q["q_schema_missing"] = sql("SELECT file, string_agg(target_feature, ',' ORDER BY target_feature) AS missing_features FROM mapping WHERE model = 'generalized' AND transform_type = 'MISSING' GROUP BY file", "mapping")
+    q["q_schema_extra"] = sql("""SELECT file, coalesce(string_agg("column", ',' ORDER BY position) FILTER (WHERE NOT used), '') AS extra_features
+      FROM (SELECT h.*, EXISTS (SELECT 1 FROM found f WHERE f.file = h.file AND f.model = 'generalized' AND f.source = h."column") AS used FROM headers h WHERE h."column" <> 'Label') GROUP BY file""", "headers", "found")
     q["q_mapping_search"] = sql("SELECT target_feature, source_feature, count(*) AS files FROM mapping WHERE model = 'generalized' AND transform_type = 'ALIAS_MAPPED' GROUP BY 1, 2", "mapping")
     # profile
     q["q_prof_missing"] = sql(_missing(_DIRTY), "dirty")
