@@ -62,7 +62,7 @@ def assign_flows(
     single_block: bool | None = None,
 ) -> DataFrame:
     """Every packet with ``flow_seq`` (arrival number of its flow's first packet), the flow's ``start_t``,
-    ``a_opens`` (the lower endpoint of the key is the initiator), ``is_fwd``, ``timed_out`` (this packet is the last before an idle split) and ``wide`` (its tuple spans blocks).
+    ``a_opens`` (the lower endpoint of the key is the initiator), ``is_fwd``, ``timed_out`` (this packet is the last before an idle split) and ``wide`` (its tuple has more packets than a block).
 
     ``single_block`` may be given to save the count that decides whether the table fits one block.
     """
@@ -96,7 +96,7 @@ def assign_flows(
         rows = rows.withColumn("opener", F.last(F.when(F.col("starts"), _opener()), ignorenulls=True).over(upto))
         next_starts = F.lead("starts").over(order)
     else:
-        carry = _carry(rows, key, block, gap)
+        carry = _carry(rows, key, block, gap, block_rows)
         rows = rows.join(carry, block)
         opens = F.col("open_t").isNull()
         if gap is not None:
@@ -121,7 +121,7 @@ def assign_flows(
     )
 
 
-def _carry(rows: DataFrame, key: list[str], block: list[str], gap: int | None) -> DataFrame:
+def _carry(rows: DataFrame, key: list[str], block: list[str], gap: int | None, block_rows: int) -> DataFrame:
     """Per (tuple, block): the flow still open when the block begins, when it was last seen, and whether the
     block's last flow ends by silence before the next block."""
     ends = rows.groupBy(*block).agg(
@@ -140,7 +140,7 @@ def _carry(rows: DataFrame, key: list[str], block: list[str], gap: int | None) -
     ends = ends.withColumn("out_t", F.max(F.struct("era", alive.alias("t"))).over(upto)["t"])
     ends = ends.withColumns({
         "open_t": F.lag("out_t").over(along),
-        "wide": F.sum("n").over(Window.partitionBy(*key)) > F.max("n").over(Window.partitionBy(*key)),
+        "wide": F.sum("n").over(Window.partitionBy(*key)) > block_rows,
         "next_t": F.lead("first_t").over(along),
     })
     fresh = F.col("has_term") | F.col("open_t").isNull()
@@ -156,7 +156,8 @@ def with_gaps(assigned: DataFrame, single_block: bool, bucket_seconds: int = BUC
     """``gap`` and ``dir_gap``: microseconds since the previous packet of the flow and of the flow's direction,
     in time order (null for the first).
 
-    Flows of tuples that span blocks are cut into time buckets, with the last times of earlier buckets carried over.
+    Flows of tuples with more packets than a block are cut into time buckets, with the last times of earlier buckets
+    carried over.
     """
     flow = [c for c in assigned.columns if c == "capture"] + KEY + ["flow_seq"]
     parts = flow
@@ -175,7 +176,7 @@ def with_gaps(assigned: DataFrame, single_block: bool, bucket_seconds: int = BUC
         "last_bwd": F.last(bwd_t, ignorenulls=True).over(before),
     })
     if not single_block:
-        edges = rows.groupBy(*parts).agg(
+        edges = rows.where("wide").groupBy(*parts).agg(
             F.max("t").alias("max_t"), F.max(fwd_t).alias("max_fwd"), F.max(bwd_t).alias("max_bwd")
         )
         earlier = Window.partitionBy(*flow).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,7 +186,7 @@ def with_gaps(assigned: DataFrame, single_block: bool, bucket_seconds: int = BUC
             F.max("max_fwd").over(earlier).alias("edge_fwd"),
             F.max("max_bwd").over(earlier).alias("edge_bwd"),
         )
-        rows = rows.join(edges, parts).withColumns({
+        rows = rows.join(edges, parts, "left").withColumns({
             "last_t": F.coalesce("last_t", "edge_t"),
             "last_fwd": F.coalesce("last_fwd", "edge_fwd"),
             "last_bwd": F.coalesce("last_bwd", "edge_bwd"),

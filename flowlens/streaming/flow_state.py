@@ -34,10 +34,8 @@ LAST = [f"{s}last" for s in SIDES]
 FIELDS = COUNTERS + [f"{g}_{m}" for g in GROUPS for m in MOMENTS] + LAST + ["first_fwd_gap"]
 INDEX = {name: i for i, name in enumerate(FIELDS)}
 
-STATE_SCHEMA = (
-    "flow_seq long, start_t long, last_t long, src_ip string, dst_ip string, src_port int, dst_port int, "
-    "stats array<double>"
-)
+# ``a_opens``: the initiator is the lower endpoint of the key
+STATE_SCHEMA = "flow_seq long, start_t long, last_t long, a_opens boolean, stats array<double>"
 STAT_NAMES = [f"{s}{k}_{m}" for k in ("len", "gap") for s in SIDES for m in ("min", "max", "mean", "std")]
 OUTPUT_SCHEMA = (
     "proto string, flow_seq long, fwd_packets long, bwd_packets long, fwd_bytes long, bwd_bytes long, fwd_header long, "
@@ -98,7 +96,9 @@ def fold(stats: np.ndarray, p: dict[str, np.ndarray], fwd: np.ndarray) -> None:
 
 
 def closed_flow(key: tuple, flow: tuple, stats: np.ndarray, reason: str) -> dict:
-    flow_seq, start_t, last_t, src_ip, dst_ip, src_port, dst_port = flow
+    flow_seq, start_t, last_t, a_opens = flow
+    ip_a, ip_b, port_a, port_b, _proto = key
+    src_ip, dst_ip, src_port, dst_port = (ip_a, ip_b, port_a, port_b) if a_opens else (ip_b, ip_a, port_b, port_a)
     get = lambda name: float(stats[INDEX[name]])
     out = {"proto": key[4], "flow_seq": flow_seq}
     for side in ("fwd", "bwd"):
@@ -137,18 +137,21 @@ class FlowProcessor(StatefulProcessor):
             for _ in rows:
                 pass
             return iter([])
-        frame = pd.concat(list(rows)).sort_values("packet_seq", kind="stable")
-        p = {c: frame[c].to_numpy() for c in ("t", "pkt_len", "tcp_flags", "win_size", "header_len", "packet_seq")}
-        src_ip, src_port = frame["src_ip"].to_numpy(), frame["src_port"].to_numpy()
-        dst_ip, dst_port = frame["dst_ip"].to_numpy(), frame["dst_port"].to_numpy()
+        # numbers only: some forty bytes per packet of this key in this micro-batch
+        chunks = [{c: part[c].to_numpy() for c in PACKET_FIELDS} for part in rows]
+        p = {c: np.concatenate([chunk[c] for chunk in chunks]) for c in PACKET_FIELDS}
+        arrival = np.argsort(p["packet_seq"], kind="stable")
+        p = {c: v[arrival] for c, v in p.items()}
+        from_a = p.pop("from_a")
+        size = len(from_a)
         flow, stats = None, None
         if self.open.exists():
             saved = self.open.get()
-            flow, stats = tuple(saved[:7]), np.array(saved[7], dtype=float)
+            flow, stats = tuple(saved[:4]), np.array(saved[4], dtype=float)
         done = []
         terms = np.flatnonzero(p["tcp_flags"] & 5)
         start = 0
-        for end in [*(terms + 1), len(frame)]:
+        for end in [*(terms + 1), size]:
             while start < end:
                 seen = np.maximum.accumulate(p["t"][start:end])
                 before = np.concatenate(([flow[2] if flow else seen[0]], seen[:-1]))
@@ -161,18 +164,17 @@ class FlowProcessor(StatefulProcessor):
                     continue
                 stop = start + int(silent[0]) if len(silent) else end
                 if flow is None:
-                    flow = (int(p["packet_seq"][start]), int(p["t"][start]), int(p["t"][start]), src_ip[start],
-                            dst_ip[start], int(src_port[start]), int(dst_port[start]))
+                    flow = (int(p["packet_seq"][start]), int(p["t"][start]), int(p["t"][start]), bool(from_a[start]))
                     stats = fresh_stats()
                 part = slice(start, stop)
-                fwd = (src_ip[part] == flow[3]) & (src_port[part] == flow[5])
+                fwd = from_a[part] == flow[3]
                 fold(stats, {k: v[part] for k, v in p.items()}, fwd)
                 flow = (*flow[:2], max(flow[2], int(p["t"][part].max())), *flow[3:])
                 if stop < end:
                     done.append(closed_flow(key, flow, stats, "inactivity_timeout"))
                     flow, stats = None, None
                 start = stop
-            if end and end in terms + 1 and flow is not None:
+            if flow is not None and end and p["tcp_flags"][end - 1] & 5:
                 flags = int(p["tcp_flags"][end - 1])
                 done.append(closed_flow(key, flow, stats, "tcp_fin" if flags & 1 else "tcp_rst"))
                 flow, stats = None, None
@@ -186,7 +188,7 @@ class FlowProcessor(StatefulProcessor):
         draining = timerValues.getCurrentWatermarkInMs() >= DRAIN_MILLIS
         reason = "active" if draining else "inactivity_timeout"
         self.open.clear()
-        return self._rows([closed_flow(key, tuple(saved[:7]), np.array(saved[7], dtype=float), reason)])
+        return self._rows([closed_flow(key, tuple(saved[:4]), np.array(saved[4], dtype=float), reason)])
 
     def _keep(self, flow: tuple | None, stats: np.ndarray | None) -> None:
         for timer in list(self.handle.listTimers()):
@@ -202,6 +204,7 @@ class FlowProcessor(StatefulProcessor):
         return iter([pd.DataFrame(done, columns=OUTPUT_COLUMNS)]) if done else iter([])
 
 
+PACKET_FIELDS = ["packet_seq", "t", "pkt_len", "tcp_flags", "win_size", "header_len", "from_a"]
 OUTPUT_COLUMNS = [part.split()[0] for part in OUTPUT_SCHEMA.split(", ")]
 
 
@@ -212,8 +215,8 @@ def stream_flows(packets: DataFrame, idle_timeout: float = 3.0, lateness: str =
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = packets.withWatermark("ts", lateness)
     keyed = with_canonical_key(rows).select(
-        *KEY, "ts", "packet_seq", F.unix_micros("ts").alias("t"), "src_ip", "dst_ip", "src_port", "dst_port",
-        "pkt_len", "tcp_flags", "win_size", "header_len",
+        *KEY, "ts", "packet_seq", F.unix_micros("ts").alias("t"), "pkt_len", "tcp_flags", "win_size", "header_len",
+        ((F.col("src_ip") == F.col("ip_a")) & (F.col("src_port") == F.col("port_a"))).alias("from_a"),
     )
     flows = keyed.groupBy(*KEY).transformWithStateInPandas(
         FlowProcessor(idle_timeout), outputStructType=OUTPUT_SCHEMA, outputMode="append", timeMode="eventTime",
