@@ -85,14 +85,23 @@ def recommend(scored: DataFrame) -> DataFrame:
 
 
 def incident_attributions(incidents: DataFrame, dataset: str | None = None) -> DataFrame:
-    """Each incident with the global attributions of its dataset (``dataset`` column, else the given one)."""
-    table = F.broadcast(attribution_table(incidents.sparkSession, dataset))
+    """Each incident with the global attributions of its dataset (``dataset`` column, else the given one).
+
+    The ten bases per dataset are part of the plan, so the lookup is a map access in the row, not a join.
+    """
     if dataset is not None:
         wanted = F.lit(SC.resolve_dataset(dataset))
     else:
         names = [x for d, shown in SC.DISPLAY_NAME.items() for x in (F.lit(shown), F.lit(d))]
-        wanted = F.create_map(*names)[F.col("dataset")]
-    return incidents.withColumn("attribution_dataset", wanted).join(table, "attribution_dataset", "left")
+        wanted = F.try_element_at(F.create_map(*names), F.col("dataset"))
+    tables = []
+    for name, bases in SC.ATTRIBUTION_BASES.items():
+        cells = [
+            F.struct(F.lit(f).alias("feature"), F.lit(b).alias("base"), F.lit(text).alias("description")) for f, b, text in bases
+        ]
+        tables += [F.lit(name), F.array(*cells)]
+    found = F.try_element_at(F.create_map(*tables), wanted)
+    return incidents.select("*", wanted.alias("attribution_dataset"), F.inline_outer(found))
 
 
 def global_ranking(attributions: DataFrame) -> DataFrame:

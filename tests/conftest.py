@@ -12,7 +12,10 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", shuffle_partitions=4, memory="6g")
+    session = local_session("4", shuffle_partitions=2, memory="6g")
+    # fixtures hold a few rows: compiling stages would take most of the time (compare.py and bench.py do compile them)
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    return session
 
 
 @pytest.fixture(scope="session")
