@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from flowlens import schemas as SC
 from flowlens.operators.decide import LOGISTIC, LOGISTIC_BIAS
 from flowlens.plans.mapping import name_rules
@@ -363,10 +365,6 @@ def _unsw_sql() -> str:
     )
 
 
-def _spread(name: str) -> str:
-    return ", ".join(f"round({c}, 4) AS {c}" for c in name)
-
-
 def _decision(p: str, hit: str, name: str, confidence: str, margin: str, dataset: str) -> str:
     score = f"round({p} * 100, 2)"
     return f"""'{dataset}' AS dataset, CASE WHEN {p} IS NULL THEN 'Unclassifiable' ELSE {name} END AS prediction,
@@ -501,7 +499,7 @@ def all_sql() -> dict[str, str]:
     q["q_schema_mapping"] = sql("SELECT * FROM mapping WHERE transform_type <> 'MISSING'", "mapping")
     q["q_schema_audit"] = sql("SELECT * FROM compat", "compat")
     gaps_text = " || ".join(
-        quoted(p) if i % 2 == 0 else f"CAST(m_{p} AS VARCHAR)" for i, p in enumerate(__import__("re").split(r"\{(\w+)\}", SC.EXPLAIN_UNSUPPORTED))
+        quoted(p) if i % 2 == 0 else f"CAST(m_{p} AS VARCHAR)" for i, p in enumerate(re.split(r"\{(\w+)\}", SC.EXPLAIN_UNSUPPORTED))
     )
     place = "CASE model WHEN 'cicids' THEN 1 WHEN 'unsw' THEN 2 ELSE 3 END"
     name = "CASE model " + " ".join(f"WHEN '{m}' THEN {quoted(n)}" for m, n in SC.SCHEMA_NAME.items()) + " END"

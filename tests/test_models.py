@@ -4,8 +4,6 @@ from pyspark.sql import functions as F
 from flowlens import schemas as SC
 from flowlens.operators import forest as FO
 from flowlens.operators import models as M
-from flowlens.operators import rules as RU
-from flowlens.sources.tables import guard_one
 
 
 @pytest.fixture(scope="module")
@@ -53,4 +51,3 @@ def test_forest_scores_in_range(spark, train):
     trees = FO.load(FO.fit(train, names, trees=10, sample=64))
     s = train.select(FO.score_column(trees, names, 64).alias("s")).agg(F.min("s"), F.max("s")).first()
     assert -1 < s[0] < s[1] < 0
-    assert RU.numeric_columns(train) and guard_one

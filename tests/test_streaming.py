@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import flows as FL
 from flowlens.operators import incidents as I
 from flowlens.plans import jobs
 from flowlens.plans import views as V
@@ -72,4 +71,3 @@ def test_monitor(spark, sf):
     assert (state.status, state.flow_count) == ("Stopped", stored.count())
     assert monitor.recent(5).count() == 5 and monitor.counters().first().flow_count == stored.count()
     assert stored.select("flow_id").distinct().count() == stored.count()
-    assert FL.header_columns()
