@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+LOCAL_SCRATCH = "/tmp/checkpoints"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,16 +31,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder.
+    Only a local master, as in tests, may leave it unset; then one fixed local folder is named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="flowlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.conf.set("spark.checkpoint.dir", LOCAL_SCRATCH)
+    return LOCAL_SCRATCH
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
