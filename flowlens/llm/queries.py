@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, urls
-from flowlens.llm.common import table
+from flowlens.llm import chat, langid, packing, urls
+from flowlens.llm.common import held_out, table, tokenizer_path
 
 QUERIES = {}
 SQL = {}
@@ -74,3 +74,18 @@ m AS (
   FROM h, r WHERE (host = r.h OR suffix(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY page_id)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(v, 'allow') AS verdict
 FROM h LEFT JOIN m USING (page_id)"""
+
+
+@query
+def op10_bin_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out(F.col("doc_id"), 5, 0)))
+    judged = langid.predict(docs, model, ["doc_id"])
+    return judged.select(
+        "row.doc_id", held_out(F.col("row.doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
+    )
