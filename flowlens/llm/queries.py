@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, langid, packing, urls
+from flowlens.llm import chat, langid, packing, substrings, urls
 from flowlens.llm.common import held_out, table, tokenizer_path
 
 QUERIES = {}
@@ -89,3 +89,24 @@ def op6_language_id(spark, sf_dir):
     return judged.select(
         "row.doc_id", held_out(F.col("row.doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
     )
+
+
+@query
+def op1_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+SQL["op1_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS low FROM h GROUP BY h),
+c AS (SELECT h.doc_id, list(i ORDER BY i) AS starts FROM h JOIN f USING (h) WHERE low < h.doc_id GROUP BY h.doc_id),
+p AS (SELECT doc_id, unnest(list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 50))))) AS gone FROM c),
+g AS (SELECT doc_id, list(gone) AS gone FROM p GROUP BY doc_id),
+k AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w
+    ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))), lambda i: w[i]) END AS kept
+  FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
