@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, langid, packing, substrings, urls
+from flowlens.llm import chat, langid, neardup, packing, substrings, urls
 from flowlens.llm.common import held_out, table, tokenizer_path
 
 QUERIES = {}
@@ -110,3 +110,25 @@ k AS (
     ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))), lambda i: w[i]) END AS kept
   FROM d LEFT JOIN g USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
+
+
+@query
+def op2_minhash_dedup(spark, sf_dir):
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), limit=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL["op2_minhash_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM d),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, md5_number(unnest(sh)) AS h FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS m FROM n UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.doc_id),
+k AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN k USING (doc_id)"""
