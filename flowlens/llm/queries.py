@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, langid, neardup, packing, substrings, urls
+from flowlens.llm import chat, fingerprints, langid, neardup, packing, substrings, urls
 from flowlens.llm.common import held_out, table, tokenizer_path
 
 QUERIES = {}
@@ -132,3 +132,11 @@ l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS m FROM n UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.doc_id),
 k AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
 SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN k USING (doc_id)"""
+
+
+@query
+def op7_fingerprints(spark, sf_dir):
+    found = fingerprints.compare_versions(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
