@@ -27,6 +27,7 @@ from flowlens.llm.common import mix, signed, text_chunks
 
 ORDER = 4
 ROWS = 600
+LANGUAGES = 1000
 CHUNK = 1 << 20
 #: Spreads above the usual cross-entropy at which a text is rejected.
 REJECT_AT = 8.0
@@ -160,9 +161,15 @@ def count_grams(rows):
 def fit(labelled, rows: int = ROWS, seed: int = 17) -> Model | None:
     """``labelled``: lang, text. At most about ``rows`` texts a language are drawn; a fifth of them calibrates."""
     usable = labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang is not null and text is not null")
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(LANGUAGES + 1).toArrow()
+    if sizes.num_rows == 0:
+        return None
+    if sizes.num_rows > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels")
+    # the few labels join without moving a text
+    known = F.broadcast(labelled.sparkSession.createDataFrame(sizes))
     drawn = (
-        usable.withColumn("u", F.rand(seed)).join(sizes, "lang").where(F.col("u") * F.col("rows") < rows)
+        usable.withColumn("u", F.rand(seed)).join(known, "lang").where(F.col("u") * F.col("rows") < rows)
         .withColumn("calibrates", F.col("u") * F.col("rows") >= 0.8 * F.least(F.lit(rows), F.col("rows")))
     )
     counted = count_grams(drawn.where("not calibrates")).toArrow()
