@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, fingerprints, langid, neardup, packing, substrings, urls
+from flowlens.llm import chat, fingerprints, langid, neardup, packing, pii, substrings, urls
 from flowlens.llm.common import held_out, table, tokenizer_path
 
 QUERIES = {}
@@ -140,3 +140,13 @@ def op7_fingerprints(spark, sf_dir):
     return found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
+
+
+@query
+def op8_pii(spark, sf_dir):
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    return found.select(
+        "doc_id", *[pii.count_kind(base, k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
+        pii.spans_text(F.concat(base, F.col("added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
