@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -121,7 +122,7 @@ class Subwords:
     words with trailing marks go straight to the BPE model; every other piece takes the tokenizer's whole path.
     """
 
-    CACHE = 400_000
+    CACHE = 1_000_000
 
     def __init__(self, path: str):
         import re
@@ -131,6 +132,7 @@ class Subwords:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.size = self.tokenizer.get_vocab_size()
         self.plain = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -139,24 +141,25 @@ class Subwords:
 
     def reset(self):
         self.places: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.flat: list[int] = []
-        self.begin = [0]
+        self.cores: dict[str, bytes] = {}
+        self.flat = array("i")
+        self.begin = array("q", [0])
 
-    def model(self, word: str) -> list[int]:
+    def model(self, word: str) -> bytes:
         got = self.cores.get(word)
         if got is None:
             spelled = word.encode().decode("latin-1").translate(self.shown)
-            got = self.cores[word] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+            got = self.cores[word] = array("i", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
         return got
 
     def learn(self, piece: str) -> int:
         found = self.plain.fullmatch(piece)
         if found:
-            ids = self.model(found[1].lower()) + (self.model(found[2]) if found[2] else [])
+            self.flat.frombytes(self.model(found[1].lower()))
+            if found[2]:
+                self.flat.frombytes(self.model(found[2]))
         else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self.flat.extend(ids)
+            self.flat.extend(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         self.begin.append(len(self.flat))
         self.places[piece] = place = len(self.begin) - 2
         return place
@@ -173,7 +176,8 @@ class Subwords:
                 place = get(piece)
                 index.append(learn(piece) if place is None else place)
             counts.append(len(index) - before)
-        flat, begin = np.array(self.flat, np.int32), np.array(self.begin, np.int64)
+        # views: nothing is learned before they are gone
+        flat, begin = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), np.frombuffer(self.begin, np.int64)
         index = np.array(index, np.int64)
         size = begin[index + 1] - begin[index]
         ends = np.cumsum(size)
