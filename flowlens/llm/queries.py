@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, fingerprints, langid, neardup, packing, pii, substrings, urls
+from flowlens.llm import chat, decontaminate, fingerprints, langid, lm, neardup, packing, pii, substrings, urls
 from flowlens.llm.common import held_out, table, tokenizer_path
 
 QUERIES = {}
@@ -150,3 +150,14 @@ def op8_pii(spark, sf_dir):
         "doc_id", *[pii.count_kind(base, k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
         pii.spans_text(F.concat(base, F.col("added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
+
+
+@query
+def op9_lm_scoring(spark, sf_dir):
+    return lm.score_texts(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op5_decontaminate(spark, sf_dir):
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select("row.doc_id", "contaminated", "n_items", "best_item", "best_share")
