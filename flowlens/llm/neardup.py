@@ -283,3 +283,25 @@ def near_duplicates(docs, limit: int = 80):
     judged = made.drop("registers").join(named, same, "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
     return judged.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs, limit: int = 80):
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id (then text hash).
+
+    Rows without words are in no group and all stay.
+    """
+    found = materialize(near_duplicates(docs, limit), "near-duplicates")
+    worded = found.where("n_shingles > 0")
+    group = worded.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    best = group.select(F.col("best.doc_id").alias("d"), F.col("best.text_key").alias("k"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+    gone = worded.join(best, same, "left_anti").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    # equal rows: all but one go
+    twice = worded.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(best, same, "left_semi")
+    twice = materialize(twice.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")), "repeated")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    kept = rows.join(gone.union(twice).distinct(), same, "left_anti")
+    if not twice.isEmpty():
+        kept = kept.union(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return kept.select("row.*")

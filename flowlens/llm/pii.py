@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -204,3 +205,25 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
             out += [text[at:start], f"<{kind.upper()}>"]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def redact(docs, confident: float = CONFIDENT):
+    """``docs`` with every span masked, and n_chars, where there is such a column, counted anew."""
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        def one(text, found):
+            if not found:
+                return text
+            return mask(text, [(int(a), int(b), k) for k, a, b in (s.split(":") for s in found.split(","))])
+
+        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    found = find_personal(docs, confident).dropDuplicates(["doc_id", "text_key"]).select(
+        F.col("doc_id").alias("d"), F.col("text_key").alias("k"), spans_text(F.concat("base", "added")).alias("spans")).where("spans != ''")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text).alias("own_key"))
+    joined = rows.join(found, F.col("own_id").eqNullSafe(F.col("d")) & (F.col("own_key") == F.col("k")), "left")
+    joined = joined.withColumn("clean", masked(F.col("row.text"), F.coalesce("spans", F.lit(""))))
+    kinds = dict(docs.dtypes)
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast(kinds.get("n_chars", "long"))}
+    return joined.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
