@@ -31,6 +31,8 @@ LANGUAGES = 1000
 CHUNK = 1 << 20
 #: Spreads above the usual cross-entropy at which a text is rejected.
 REJECT_AT = 8.0
+#: Least spread between texts, and spread that one symbol adds to a short text, in nats.
+BETWEEN, WITHIN = 0.15, 2.0
 
 
 @lru_cache(maxsize=1)
@@ -208,9 +210,9 @@ def calibrate(rows, model: Model) -> np.ndarray:
     figures = seen.groupBy("k").agg(
         F.median("h").alias("level"), F.coalesce(F.stddev_pop("h"), F.lit(0.0)).alias("between"),
     ).collect()
-    usual = np.tile([[3.0, 1.0, 2.0]], (len(model.languages), 1))
+    usual = np.tile([[3.0, 1.0, WITHIN]], (len(model.languages), 1))
     for x in figures:
-        usual[x["k"]] = (x["level"], max(x["between"], 0.05), 2.0)
+        usual[x["k"]] = (x["level"], max(x["between"], BETWEEN), WITHIN)
     return usual
 
 
