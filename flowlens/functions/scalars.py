@@ -62,10 +62,10 @@ def iso_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def hashed_id(prefix: str, *parts: Column, length: int = 12) -> Column:
-    """A prefixed id that depends on content only, so a re-run task makes the same one."""
+def hashed_id(prefix: str, *parts: Column) -> Column:
+    """A prefixed id of 256 bits that depends on content only, so a re-run task makes the same one."""
     text = F.concat_ws("|", *[p.cast("string") for p in parts])
-    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(text, 256), 1, length))
+    return F.concat(F.lit(f"{prefix}-"), F.sha2(text, 256))
 
 
 # --- decisions -------------------------------------------------------------
@@ -74,7 +74,7 @@ def attack_probability(benign: Column) -> Column:
 
 
 def risk_score(attack: Column) -> Column:
-    return F.round(attack * 100.0, 2)
+    return F.round(clamp(attack, 0.0, 1.0) * 100.0, 2)
 
 
 def risk_level(score: Column) -> Column:

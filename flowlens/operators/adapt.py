@@ -155,9 +155,16 @@ def validate(df: DataFrame, dataset: str) -> DataFrame:
 
 
 def lenient_features(features: Column, required: list[str]) -> list[Column]:
-    """Required features out of a map column; whatever is absent or not a number is 0.0."""
-    folded = F.transform_keys(features, lambda k, _v: F.lower(F.trim(k)))
-    return [S.clean_double(F.try_element_at(folded, F.lit(f.lower()))).alias(f) for f in required]
+    """Required features out of a map column; whatever is absent or not a number is 0.0.
+
+    The exact key counts, or else the last one that is the same without case and outer spaces.
+    """
+    def value(f: str) -> Column:
+        alike = F.filter(F.map_entries(features), lambda e: F.lower(F.trim(e["key"])) == f.lower())
+        last = F.try_element_at(alike, F.lit(-1))["value"]
+        return F.when(F.map_contains_key(features, F.lit(f)), F.try_element_at(features, F.lit(f))).otherwise(last)
+
+    return [S.clean_double(value(f)).alias(f) for f in required]
 
 
 def absent_count(features: Column, required: list[str]) -> Column:

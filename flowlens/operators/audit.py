@@ -165,8 +165,8 @@ def choose_schema(headers: DataFrame, requested: str | None = None) -> DataFrame
     )
 
 
-def extra_columns(headers: DataFrame, model: str, limit: int = 20) -> DataFrame:
-    """Per file its feature columns that ``model`` does not use, the first ``limit`` in file order."""
+def extra_columns(headers: DataFrame, model: str, limit: int | None = None) -> DataFrame:
+    """Per file its feature columns that ``model`` does not use, in file order (the first ``limit`` if given)."""
     used = resolve_headers(headers).where(F.col("model") == model).select(
         "file", F.transform(F.map_values("sources"), lambda s: s["column"]).alias("used")
     )
@@ -175,7 +175,7 @@ def extra_columns(headers: DataFrame, model: str, limit: int = 20) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("position", name.alias("column")))).alias("cells")
     )
     rest = F.filter(F.transform("cells", lambda c: c["column"]), lambda c: ~F.array_contains(F.col("used"), c))
-    return cells.join(used, "file").select("file", F.slice(rest, 1, limit).alias("extra_features"))
+    return cells.join(used, "file").select("file", (rest if limit is None else F.slice(rest, 1, limit)).alias("extra_features"))
 
 
 def _fill(template: str, **values: Column) -> Column:

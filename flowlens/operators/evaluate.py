@@ -15,6 +15,8 @@ from flowlens.functions.ranks import hashed_rank
 
 WEIGHT_CAP = 20.0
 HUNDREDTHS = 100
+#: Ranges of scores (between 0 and 1) that are ordered apart.
+AUC_RANGES = 10_000
 
 
 def _n() -> Column:
@@ -88,7 +90,7 @@ def classification_report(df: DataFrame, actual: str = "actual", predicted: str
     return rows.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-def top_confusions(df: DataFrame, limit: int | None = 15, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+def top_confusions(df: DataFrame, limit: int | None = None, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     wrong = pair_counts(df, actual, predicted).where(F.col("actual") != F.col("predicted"))
     ranked = wrong.orderBy(F.col("n").desc(), "actual", "predicted")
     return ranked if limit is None else ranked.limit(limit)
@@ -127,7 +129,10 @@ def threshold_sweep(df: DataFrame, positive: Column, score: str, start: int, sto
     Scores are counted once per hundredth; thresholds read cumulative sums over at most 101 buckets instead of
     meeting every row.
     """
-    bucket = F.floor(F.round(F.col(score) * HUNDREDTHS, 6)).cast("int")
+    near, value = F.floor(F.col(score) * HUNDREDTHS), F.col(score)
+    # the product may round across a hundredth, so the score itself is held against it
+    above, below = value >= (near + 1) / float(HUNDREDTHS), value < near / float(HUNDREDTHS)
+    bucket = F.when(above, near + 1).when(below, near - 1).otherwise(near).cast("int")
     counts = df.select(bucket.alias("bucket"), positive.alias("p")).groupBy("bucket").agg(
         F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg")
     )
@@ -193,21 +198,26 @@ def classwise_risk(df: DataFrame, normal: str = "BENIGN") -> DataFrame:
     ).orderBy(F.col("error_rate").desc(), "predicted")
 
 
-def roc_auc(df: DataFrame, positive: Column, score: str, digits: int = 4) -> DataFrame:
+def roc_auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums over distinct scores, ties counted half.
 
-    Probabilities are stored with ``digits`` decimals, so the ordered step sees at most 10**digits + 1 rows.
+    Distinct scores are ordered inside ten thousand ranges of scores; the positives above a range come from the ranges'
+    totals, so no task orders them all.
     """
-    counts = df.groupBy(F.round(F.col(score), digits).alias("s")).agg(
+    value = F.col(score).cast("double")
+    counts = df.where(value.isNotNull()).groupBy(value.alias("s")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
-    )
-    above = Window.partitionBy(F.lit(1)).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("neg") * (F.coalesce(F.sum("pos").over(above), F.lit(0)) + F.col("pos") / 2.0)
-    pairs = counts.select("pos", "neg", won.alias("won"))
+    ).withColumn("range", F.greatest(F.lit(0), F.least(F.lit(AUC_RANGES), F.floor(F.col("s") * AUC_RANGES))).cast("int"))
+    ranges = counts.groupBy("range").agg(F.sum("pos").alias("range_pos"))
+    over = Window.partitionBy(F.lit(1)).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("range", F.coalesce(F.sum("range_pos").over(over), F.lit(0)).alias("over"))
+    inside = Window.partitionBy("range").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("ahead", F.coalesce(F.sum("pos").over(inside), F.lit(0))).join(ranges, "range")
+    pairs = ranked.select("pos", "neg", (F.col("neg") * (F.col("over") + F.col("ahead") + F.col("pos") / 2.0)).alias("won"))
     return pairs.agg(F.round(S.ratio(F.sum("won"), F.sum("pos") * F.sum("neg")), 6).alias("roc_auc"))
 
 
-def feature_means(df: DataFrame, detected: Column, features: list[str], limit: int = 15) -> DataFrame:
+def feature_means(df: DataFrame, detected: Column, features: list[str], limit: int | None = None) -> DataFrame:
     """Mean of each feature over detected and over missed rows, largest difference first."""
     flag = detected
     means = df.agg(*[
@@ -218,10 +228,11 @@ def feature_means(df: DataFrame, detected: Column, features: list[str], limit: i
         for i, f in enumerate(features)
     ])
     rows = means.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(features))])))
-    return rows.select(
+    ranked = rows.select(
         "feature", F.round("d", 4).alias("detected_mean"), F.round("m", 4).alias("missed_mean"),
         F.round(F.abs(F.col("d") - F.col("m")), 4).alias("absolute_difference"),
-    ).orderBy(F.col("absolute_difference").desc(), "feature").limit(limit)
+    ).orderBy(F.col("absolute_difference").desc(), "feature")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def split_distribution(df: DataFrame, category: str, split: str = "split") -> DataFrame:

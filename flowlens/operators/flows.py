@@ -58,17 +58,16 @@ def _opener() -> Column:
 def assign_flows(
     packets: DataFrame,
     idle_timeout: float | None = None,
-    block_rows: int = BLOCK_ROWS,
-    single_block: bool | None = None,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Every packet with ``flow_seq`` (arrival number of its flow's first packet), the flow's ``start_t``,
     ``a_opens`` (the lower endpoint of the key is the initiator), ``is_fwd``, ``timed_out`` (this packet is the last before an idle split) and ``wide`` (its tuple has more packets than a block).
 
-    ``single_block`` may be given to save the count that decides whether the table fits one block.
+    Without ``block_rows`` each tuple is one block: fewer shuffles, for tables without very long conversations. Nothing
+    in the plan depends on the table's size.
     """
     rows, key = _prepared(packets)
-    if single_block is None:
-        single_block = packets.count() <= block_rows
+    single_block = block_rows is None
     block = key if single_block else key + ["block"]
     if not single_block:
         rows = rows.withColumn("block", F.floor(F.col("packet_seq") / block_rows))
@@ -269,15 +268,15 @@ def aggregate_flows(rows: DataFrame) -> DataFrame:
 def build_flows(
     packets: DataFrame,
     idle_timeout: float | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
     bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
-    """Packets to flow statistics: one full shuffle while the table fits a block, block-wise beyond.
+    """Packets to flow statistics: block-wise, or in one full shuffle with ``block_rows=None``.
 
     The block-wise form reads the assigned packets twice, so they are written to the shared folder once.
     """
-    single = packets.count() <= block_rows
-    assigned = assign_flows(packets, idle_timeout, block_rows, single_block=single)
+    single = block_rows is None
+    assigned = assign_flows(packets, idle_timeout, block_rows)
     if not single:
         assigned = materialize(assigned, "assigned-packets")
     return aggregate_flows(with_gaps(assigned, single, bucket_seconds))

@@ -1,4 +1,4 @@
-"""Isolation forest (Liu, Ting & Zhou 2008): trees grown in parallel from small hash samples, scored in batches."""
+"""Isolation forest (Liu, Ting & Zhou 2008): trees grown in parallel from small samples, scored in batches."""
 
 from __future__ import annotations
 
@@ -13,15 +13,17 @@ from flowlens.functions.scalars import clean_double
 from flowlens.operators.rules import numeric_columns
 from flowlens.session import materialize
 
-TREES, SAMPLE, MAX_FEATURES, SEED = 50, 256, 10, 42
+TREES, SAMPLE, SEED = 50, 256, 42
 OUTLIER_SCORE, OUTLIER_SHARE = 70.0, 0.15
 OFFSET = -0.5
 FOREST_SCHEMA = "tree int, node int, feature int, split double, left int, right int, path double"
 
 
-def varying_columns(df: DataFrame, columns: list[str] | None = None, limit: int = MAX_FEATURES) -> list[str]:
-    """The first numeric columns that are not constant."""
+def varying_columns(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> list[str]:
+    """The numeric columns that are not constant, the first ``limit`` of them if given."""
     names = columns or numeric_columns(df)
+    if not names:
+        return []
     spans = df.agg(*[
         (F.min(clean_double(F.col(f"`{c}`"))) < F.max(clean_double(F.col(f"`{c}`")))).alias(f"v{i}")
         for i, c in enumerate(names)
@@ -60,26 +62,21 @@ def grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "split", "left", "right", "path"])
 
 
-def fit(df: DataFrame, columns: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+def fit(df: DataFrame, columns: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, key: str | None = None) -> DataFrame:
     """The forest as a table of at most ``trees * (2 * sample - 1)`` nodes.
 
-    Sampling is by a hash of the row's values, so it does not depend on partitioning. A large table is first thinned
-    to a few times the wanted rows, so that only those are ordered.
+    Every row is drawn for every tree by itself, from a hash of its place in the table, so equal rows weigh as often as
+    they occur; with the name of a unique ``key`` column the draw does not depend on partitions. A few more rows than wanted are drawn; each tree then keeps the ``sample`` with the lowest hashes.
     """
     values = [clean_double(F.col(f"`{c}`")).alias(f"x{i}") for i, c in enumerate(columns)]
-    rows = df.select(*values)
-    names = rows.columns
-    wanted = trees * sample
-    digest = F.xxhash64(F.lit(seed), *names)
-    total = rows.count()
-    if total > wanted:
-        unit = F.pmod(digest, F.lit(1 << 30)) / float(1 << 30)
-        kept = rows.withColumn("h", digest).where(unit < min(1.0, 4.0 * wanted / total)).orderBy("h", *names).limit(wanted)
-        placed = kept.withColumn("tree", (F.row_number().over(Window.orderBy("h", *names)) % trees).cast("int"))
-    else:
-        spread = rows.withColumn("id", F.monotonically_increasing_id()).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        per_tree = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", *names), "id")
-        placed = spread.withColumn("place", F.row_number().over(per_tree)).where(F.col("place") <= sample)
+    rows = df.select(*values, (F.monotonically_increasing_id() if key is None else F.xxhash64(key)).alias("id"))
+    names = rows.columns[:-1]
+    share = min(1.0, (sample + 6 * np.sqrt(sample)) / max(rows.count(), 1))
+    unit = 1 << 30
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("id")), F.lit(unit)) < F.lit(int(share * unit)))
+    placed = rows.withColumn("tree", F.explode(drawn))
+    per_tree = Window.partitionBy("tree").orderBy(F.pmod(F.xxhash64(F.lit(seed), "tree", "id"), F.lit(unit)), "id")
+    placed = placed.withColumn("place", F.row_number().over(per_tree)).where(F.col("place") <= sample)
 
     def one_tree(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         points = part.sort_values(names)[names].to_numpy(dtype=float)
@@ -125,12 +122,17 @@ def with_decision(df: DataFrame, trees, columns: list[str], threshold: float) ->
     )
 
 
-def outliers(df: DataFrame, columns: list[str] | None = None, min_rows: int = 10) -> DataFrame | None:
-    """``outlier_raw``, ``outlier_index`` (0 to 100) and ``is_outlier`` for an unknown table; None if it has too few
-    rows or columns. All rows are scored; only the fit samples."""
-    names = varying_columns(df, columns)
-    if len(names) < 2 or df.limit(min_rows).count() < min_rows:
-        return None
+def outliers(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """``outlier_raw``, ``outlier_index`` (0 to 100) and ``is_outlier`` for an unknown table.
+
+    All rows are scored, on all numeric columns that vary (or the first ``limit``); only the fit samples. With fewer than
+    two such columns nothing is an outlier: the raw score is null and the index 0.
+    """
+    names = varying_columns(df, columns, limit)
+    if len(names) < 2:
+        return df.withColumns({
+            "outlier_raw": F.lit(None).cast("double"), "is_outlier": F.lit(False), "outlier_index": F.lit(0.0),
+        })
     trees = load(fit(df, names))
     # scored once: ends, the quantile and the result read the stored scores
     rows = materialize(df.withColumn("outlier_raw", score_column(trees, names)), "outlier-scores")

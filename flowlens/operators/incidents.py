@@ -30,7 +30,7 @@ def correlate(scored: DataFrame, order: str = "flow_seq") -> DataFrame:
         F.max("timestamp").alias("last_seen"),
     )
     return grouped.select(
-        S.hashed_id("inc", F.col("src_ip"), F.col("attack_category"), F.col("first_seen"), length=10).alias("incident_id"),
+        S.hashed_id("inc", F.col("src_ip"), F.col("attack_category"), F.col("first_seen")).alias("incident_id"),
         F.concat(F.lit("Potential "), "attack_category", F.lit(" attack from "), "src_ip").alias("title"),
         F.lit("New").alias("status"),
         # severity is a function of risk, so the severity of the highest risk is that of the maximum
@@ -43,11 +43,16 @@ def correlate(scored: DataFrame, order: str = "flow_seq") -> DataFrame:
 
 def upsert(incidents: DataFrame, fresh: DataFrame) -> DataFrame:
     """``fresh`` merged into ``incidents``: an open incident of the same (source, category) takes the counts, the
-    higher risk with its severity and the later time; everything else is kept, or added as new."""
+    higher risk with its severity and the later time; everything else is kept, or added as new. Where several are open
+    for one (source, category), the first of them (by time, then id) takes it."""
     keys = ["src_ip", "attack_category"]
     is_open = F.col("status").isin(*SC.OPEN_STATUSES)
-    closed = incidents.where(~F.coalesce(is_open, F.lit(False)))
-    both = incidents.where(is_open).alias("o").join(fresh.alias("n"), keys, "full_outer")
+    is_open = F.coalesce(is_open, F.lit(False))
+    takers = incidents.where(is_open).groupBy(*keys).agg(F.min_by("incident_id", F.struct("first_seen", "incident_id")).alias("incident_id"))
+    takes = incidents.join(takers.withColumn("takes", F.lit(True)), [*keys, "incident_id"], "left")
+    takes = takes.withColumn("takes", is_open & F.coalesce("takes", F.lit(False)))
+    closed = takes.where(~F.col("takes"))
+    both = takes.where("takes").drop("takes").alias("o").join(fresh.alias("n"), keys, "full_outer")
 
     def old(c: str) -> Column:
         return F.col(f"o.{c}")
@@ -85,7 +90,7 @@ def triage(incidents: DataFrame, updates: DataFrame) -> DataFrame:
     ).drop("new_status", "new_notes", "new_analyst")
 
 
-def list_incidents(incidents: DataFrame, status: str | None = None, severity: str | None = None, limit: int | None = 50) -> DataFrame:
+def list_incidents(incidents: DataFrame, status: str | None = None, severity: str | None = None, limit: int | None = None) -> DataFrame:
     rows = incidents
     if status:
         rows = rows.where(F.col("status") == status)

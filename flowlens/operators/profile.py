@@ -105,7 +105,7 @@ def value_counts(df: DataFrame, column: str, limit: int | None = None) -> DataFr
     return ranked if limit is None else ranked.limit(limit)
 
 
-def protocol_distribution(df: DataFrame, limit: int = 10) -> DataFrame | None:
+def protocol_distribution(df: DataFrame, limit: int | None = None) -> DataFrame | None:
     column = find_column(df.columns, SC.PROTOCOL_NAMES)
     return None if column is None else value_counts(df, column, limit)
 

@@ -109,11 +109,12 @@ def dashboard(alerts: DataFrame, dataset: str) -> DataFrame:
     )
 
 
-def recent(rows: DataFrame, time: str, key: str, limit: int) -> DataFrame:
-    return rows.orderBy(F.col(time).desc(), key).limit(limit)
+def recent(rows: DataFrame, time: str, key: str, limit: int | None) -> DataFrame:
+    ordered = rows.orderBy(F.col(time).desc(), key)
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def history(predictions: DataFrame, dataset: str | None = None, risk_level: str | None = None, limit: int = 50) -> DataFrame:
+def history(predictions: DataFrame, dataset: str | None = None, risk_level: str | None = None, limit: int | None = None) -> DataFrame:
     rows = predictions
     if dataset:
         rows = rows.where(F.col("dataset").ilike(f"%{dataset}%"))
@@ -130,8 +131,9 @@ def page(predictions: DataFrame, number: int, size: int) -> DataFrame:
     return rows.withColumns({"record_id": place + skip, "warning": S.is_high_risk(F.col("risk_level"))})
 
 
-def analysis_summary(predictions: DataFrame, limit: int = 100) -> DataFrame:
-    rows = recent(predictions, "timestamp", "prediction_id", limit)
+def analysis_summary(predictions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Counts over all predictions, or over the newest ``limit``."""
+    rows = predictions if limit is None else recent(predictions, "timestamp", "prediction_id", limit)
     return rows.agg(
         F.count(F.lit(1)).alias("total_records"), F.count_if(~F.col("is_attack")).alias("normal_records"),
         F.count_if("is_attack").alias("attack_records"),
@@ -155,12 +157,12 @@ def flows_of_job(flows: DataFrame, job_id: str, order: str = "flow_seq", limit:
     return rows if limit is None else rows.limit(limit)
 
 
-def recent_flows(flows: DataFrame, source_type: str | None = None, limit: int = 50) -> DataFrame:
+def recent_flows(flows: DataFrame, source_type: str | None = None, limit: int | None = None) -> DataFrame:
     rows = flows if source_type is None else flows.where(F.col("source_type") == source_type)
     return recent(rows, "timestamp", "flow_id", limit)
 
 
-def last_flows(flows: DataFrame, limit: int = 50) -> DataFrame:
+def last_flows(flows: DataFrame, limit: int | None = None) -> DataFrame:
     """The newest flows, oldest of them first."""
     return recent_flows(flows, None, limit).orderBy("timestamp", F.col("flow_id").desc())
 

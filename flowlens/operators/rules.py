@@ -178,13 +178,18 @@ def top_evidence(rows: DataFrame, row_key: str, limit: int = 50, fallback: int =
     return ranked.where(hit | (~F.col("_any") & (F.col("_at") <= fallback))).drop("_any", "_at")
 
 
+def flagged_evidence(rows: DataFrame) -> DataFrame:
+    """All rows with a flag, for search and export."""
+    return rows.where(F.col("n_flags") > 0)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def key_features(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Map of the first five numeric columns, two decimals, null kept."""
-    names = (columns or numeric_columns(df))[:5]
+def key_features(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> Column:
+    """Map of the numeric columns (the first ``limit`` if given), two decimals, null kept."""
+    names = (columns or numeric_columns(df))[:limit]
     return F.map_from_arrays(
         F.array(*[F.lit(n) for n in names]), F.array(*[F.round(F.col(f"`{n}`").cast("double"), 2) for n in names])
     )

@@ -133,11 +133,26 @@ def q_flow_idle_split(spark, sf):
 @query
 def q_packet_gaps(spark, sf):
     packets = V.packets(spark, sf)
-    single = packets.count() <= FL.BLOCK_ROWS
-    rows = FL.with_gaps(FL.assign_flows(packets, None, single_block=single), single)
+    rows = FL.with_gaps(FL.assign_flows(packets, None, block_rows=None), True)
     return rows.select("packet_seq", "flow_seq", "is_fwd", "gap", "dir_gap")
 
 
+@query
+def q_gap_buckets(spark, sf):
+    """The same from blocks and time buckets, far smaller than the tables' conversations."""
+    assigned = materialize(FL.assign_flows(V.packets(spark, sf), None, block_rows=64), "assigned-packets")
+    return FL.with_gaps(assigned, False, bucket_seconds=5).select("packet_seq", "flow_seq", "is_fwd", "gap", "dir_gap")
+
+
+@query
+def q_flow_blocks(spark, sf):
+    """Idle splits, block by block."""
+    flows = FL.build_flows(V.packets(spark, sf), V.IDLE_SECONDS, block_rows=64, bucket_seconds=5)
+    return flows.select(
+        "flow_seq", "src_ip", "src_port", "packets", "bytes", F.round("seconds", 6).alias("seconds"), "termination_reason"
+    )
+
+
 @query
 def q_packet_keys(spark, sf):
     keyed = FL.with_canonical_key(V.packets(spark, sf))
@@ -298,7 +313,7 @@ def q_prof_numeric(spark, sf):
 
 @query
 def q_prof_protocol(spark, sf):
-    return P.protocol_distribution(V.dirty_table(spark, sf))
+    return P.protocol_distribution(V.dirty_table(spark, sf), 10)
 
 
 @query
@@ -392,14 +407,14 @@ def q_rule_evidence(spark, sf):
 def q_evidence_export(spark, sf):
     numeric = ["dst_port", "fwd_pkts", "bwd_pkts", "fwd_bytes", "duration"]
     rows = RU.with_evidence(flagged(spark, sf))
-    top = RU.top_evidence(rows.withColumn("key_features", RU.key_features(rows, numeric)), "row_key")
-    return RU.export_evidence(top, "row_key", "label", numeric)
+    hits = RU.flagged_evidence(rows.withColumn("key_features", RU.key_features(rows, numeric)))
+    return RU.export_evidence(hits, "row_key", "label", numeric)
 
 
 @query
 def q_evidence_search(spark, sf):
-    top = RU.top_evidence(RU.with_evidence(flagged(spark, sf)), "row_key")
-    return RU.search_evidence(top, "Volume", "label").select("row_key", "n_flags")
+    hits = RU.flagged_evidence(RU.with_evidence(flagged(spark, sf)))
+    return RU.search_evidence(hits, "Volume", "label").select("row_key", "n_flags")
 
 
 # --- decisions -------------------------------------------------------------
@@ -546,7 +561,13 @@ def q_incidents(spark, sf):
 @query
 def q_incident_upsert(spark, sf):
     first, second = _halves(_stored(spark, sf))
-    return _incident_view(I.upsert(_existing(first), second))
+    existing = _existing(first)
+    # some keys have a second open incident; the older one takes what is new
+    again = existing.where((F.col("status") != "Resolved") & (F.col("flow_count") % 5 == 0)).withColumns({
+        "incident_id": F.concat("incident_id", F.lit("-2")), "title": F.concat("title", F.lit(" (2)")),
+        "first_seen": F.col("first_seen") + F.expr("INTERVAL 1 HOUR"),
+    })
+    return _incident_view(I.upsert(existing.unionByName(again), second))
 
 
 @query
@@ -557,7 +578,7 @@ def q_incident_list(spark, sf):
 @query
 def q_incident_get(spark, sf):
     rows = I.correlate(V.scored(spark, sf))
-    key = S.hashed_id("inc", F.col("src_ip"), F.col("attack_category"), F.col("first_seen"), length=10)
+    key = S.hashed_id("inc", F.col("src_ip"), F.col("attack_category"), F.col("first_seen"))
     return _incident_view(rows.where(F.col("incident_id") == key).where(F.col("src_ip") == "10.0.0.7"))
 
 

@@ -145,4 +145,5 @@ def q_exported_flows(spark, sf):
 
 @job
 def q_result_sample(spark, sf):
-    return V.scored(spark, sf).limit(50).select("flow_id", "prediction", "risk_score")
+    """Every scored row, as the result of a run is handed on."""
+    return V.scored(spark, sf).select("flow_id", "prediction", "risk_score")

@@ -86,7 +86,7 @@ def _stats() -> str:
 CTE["flows"] = (["gaps"], f"""
   SELECT *, greatest(1e-6, (last_t - start_t) / 1000000.0) AS seconds, fwd_packets + bwd_packets AS packets,
     fwd_bytes + bwd_bytes AS bytes, reason <> 'active' AS is_terminated,
-    'flow-' || substr(sha256(concat_ws('|', ip_a, ip_b, port_a, port_b, proto, flow_seq)), 1, 12) AS flow_id
+    'flow-' || sha256(concat_ws('|', ip_a, ip_b, port_a, port_b, proto, flow_seq)) AS flow_id
   FROM (SELECT flow_seq, any_value(ip_a) AS ip_a, any_value(ip_b) AS ip_b, any_value(port_a) AS port_a,
     any_value(port_b) AS port_b, any_value(proto) AS proto, any_value(init_ip) AS src_ip, any_value(resp_ip) AS dst_ip,
     any_value(init_port) AS src_port, any_value(resp_port) AS dst_port, any_value(start_t) AS start_t, max(t) AS last_t,
@@ -433,7 +433,9 @@ def _incident_upsert() -> str:
     coalesce(o.notes, n.notes) AS notes, coalesce(o.analyst, n.analyst) AS analyst
   FROM (SELECT * FROM existing WHERE status <> 'Resolved') o FULL OUTER JOIN second_half n ON o.src_ip = n.src_ip AND o.attack_category = n.attack_category
   UNION ALL SELECT title, status, severity, src_ip, dst_ip, attack_category, flow_count, risk_score, first_seen, last_seen, notes, analyst
-  FROM existing WHERE status = 'Resolved')"""
+  FROM existing WHERE status = 'Resolved'
+  UNION ALL SELECT title || ' (2)', status, severity, src_ip, dst_ip, attack_category, flow_count, risk_score, first_seen + INTERVAL 1 HOUR, last_seen, notes, analyst
+  FROM existing WHERE status <> 'Resolved' AND flow_count % 5 = 0)"""
 
 
 def _feature_present(i: int) -> str:
@@ -547,8 +549,8 @@ def all_sql() -> dict[str, str]:
         for k, v in SC.INDICATORS.items()), "flagged")
     q["q_rule_evidence"] = sql("SELECT row_key, n_flags, array_to_string(indicators, '|') AS indicators, evidence FROM top_evidence", "top_evidence")
     q["q_evidence_export"] = sql("""SELECT row_key AS row_index, label AS actual_dataset_label, array_to_string(indicators, ', ') AS potential_threat_indicators, 0.0 AS statistical_outlier_score, evidence AS evidence_details,
-      CAST(dst_port AS DOUBLE) AS feature_dst_port, fwd_pkts AS feature_fwd_pkts, bwd_pkts AS feature_bwd_pkts, round(fwd_bytes, 2) AS feature_fwd_bytes, round(duration, 2) AS feature_duration FROM top_evidence""", "top_evidence")
-    q["q_evidence_search"] = sql("SELECT row_key, n_flags FROM top_evidence WHERE lower(label) LIKE '%volume%' OR lower(evidence) LIKE '%volume%' OR lower(array_to_string(indicators, '|')) LIKE '%volume%'", "top_evidence")
+      CAST(dst_port AS DOUBLE) AS feature_dst_port, fwd_pkts AS feature_fwd_pkts, bwd_pkts AS feature_bwd_pkts, round(fwd_bytes, 2) AS feature_fwd_bytes, round(duration, 2) AS feature_duration FROM evidence WHERE n_flags > 0""", "evidence")
+    q["q_evidence_search"] = sql("SELECT row_key, n_flags FROM evidence WHERE n_flags > 0 AND (lower(label) LIKE '%volume%' OR lower(evidence) LIKE '%volume%' OR lower(array_to_string(indicators, '|')) LIKE '%volume%')", "evidence")
     # decisions
     q["q_score"] = sql("SELECT flow_seq, flow_id, prediction, is_attack, confidence, attack_probability, risk_score, risk_level, prediction_margin, anomaly_score, is_anomaly, generalized_prediction FROM scored", "scored")
     q["q_risk"] = sql("""SELECT band, b.risk_level, count(s.flow_seq) AS n FROM (VALUES (0, 'Low'), (1, 'Moderate'), (2, 'High'), (3, 'Critical')) AS b(band, risk_level) LEFT JOIN scored s ON s.risk_level = b.risk_level GROUP BY 1, 2""", "scored")
@@ -581,7 +583,7 @@ def all_sql() -> dict[str, str]:
     # incidents
     q["q_incidents"] = sql(f"SELECT {_INCIDENT_OUT} FROM incidents", "incidents")
     q["q_incident_upsert"] = sql(_incident_upsert(), "existing", "second_half")
-    q["q_incident_list"] = sql(f"SELECT {_INCIDENT_OUT} FROM (SELECT *, 'inc-' || substr(sha256(concat_ws('|', src_ip, attack_category, {_spark_time('first_seen')})), 1, 10) AS incident_id FROM incidents WHERE severity = 'Critical' ORDER BY last_seen DESC, incident_id LIMIT 20)", "incidents")
+    q["q_incident_list"] = sql(f"SELECT {_INCIDENT_OUT} FROM (SELECT *, 'inc-' || sha256(concat_ws('|', src_ip, attack_category, {_spark_time('first_seen')})) AS incident_id FROM incidents WHERE severity = 'Critical' ORDER BY last_seen DESC, incident_id LIMIT 20)", "incidents")
     q["q_incident_get"] = sql(f"SELECT {_INCIDENT_OUT} FROM incidents WHERE src_ip = '10.0.0.7'", "incidents")
     q["q_incident_triage"] = sql(f"""SELECT {_INCIDENT_OUT} FROM (SELECT * REPLACE (CASE WHEN flow_count % 4 = 0 THEN 'Acknowledged' ELSE status END AS status,
       CASE WHEN flow_count % 2 = 0 THEN 'second note' ELSE notes END AS notes, CASE WHEN flow_count % 2 = 0 THEN 'ana' END AS analyst) FROM existing)""", "existing")
@@ -602,7 +604,7 @@ def all_sql() -> dict[str, str]:
     q["q_recent_alerts"] = sql("SELECT record_id, " + iso("ts", "timestamp") + ", dataset, prediction, is_attack, risk_score, risk_level, confidence, input_source FROM (SELECT * FROM alerts ORDER BY ts DESC, record_id LIMIT 15)", "alerts")
     q["q_history"] = sql("SELECT prediction_id, " + iso("ts", "timestamp") + ", prediction, risk_score FROM (SELECT * FROM predictions WHERE dataset ILIKE '%unsw%' AND risk_level = 'High' ORDER BY ts DESC, prediction_id LIMIT 40)", "predictions")
     q["q_analysis_summary"] = sql("""SELECT count(*) AS total_records, count(*) FILTER (WHERE NOT is_attack) AS normal_records, count(*) FILTER (WHERE is_attack) AS attack_records,
-      count(*) FILTER (WHERE risk_level IN ('High', 'Critical')) AS high_risk_records FROM (SELECT * FROM predictions ORDER BY ts DESC, prediction_id LIMIT 100)""", "predictions")
+      count(*) FILTER (WHERE risk_level IN ('High', 'Critical')) AS high_risk_records FROM predictions""", "predictions")
     q["q_warnings"] = sql("""SELECT 'warn-' || prediction_id AS warning_id, prediction_id AS record_id, dataset, prediction AS predicted_category, risk_level, risk_score,
       'Security Alert: ' || risk_level || ' Risk Traffic Detected (' || prediction || ')' AS reason, 'Network flow evaluated with a risk score of ' || risk_score || '/100. Classified as ' || prediction || '.' AS recommendation
       FROM predictions WHERE risk_level IN ('High', 'Critical')""", "predictions")
@@ -645,6 +647,10 @@ def all_sql() -> dict[str, str]:
       FROM labelled, (SELECT CAST(0.01 AS DOUBLE) AS target_fpr, quantile_cont(attack_prob, 0.99) AS th FROM labelled WHERE actual = 'BENIGN' UNION ALL SELECT 0.1, quantile_cont(attack_prob, 0.9) FROM labelled WHERE actual = 'BENIGN') GROUP BY target_fpr)""", "labelled")
     q["q_stratified_split"] = sql("SELECT * FROM split", "split")
     q["q_split_dist"] = sql("SELECT actual AS category, count(*) FILTER (WHERE split = 'train') AS train_samples, count(*) FILTER (WHERE split = 'validation') AS validation_samples, count(*) FILTER (WHERE split = 'test') AS test_samples FROM split GROUP BY 1", "split")
+    # the same results from blocks, time buckets and slices
+    q["q_flow_blocks"], q["q_gap_buckets"] = q["q_flow_idle_split"], q["q_packet_gaps"]
+    q["q_result_sample"] = sql("SELECT flow_id, prediction, risk_score FROM scored", "scored")
+    q["q_stored_flows"] = sql("SELECT flow_id, src_ip, prediction FROM (SELECT * FROM scored WHERE source_type = 'pcap' ORDER BY ts DESC, flow_id LIMIT 50)", "scored")
     return q
 
 

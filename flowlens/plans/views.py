@@ -50,7 +50,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str, idle_timeout: float | None = None) -> DataFrame:
-    return FL.build_flows(packets(spark, sf_dir), idle_timeout)
+    return FL.build_flows(packets(spark, sf_dir), idle_timeout, block_rows=None)
 
 
 def flow_columns() -> list[Column]:

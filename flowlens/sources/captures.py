@@ -144,7 +144,6 @@ class CaptureReader(DataSourceReader):
         return [CaptureFile(p) for p in self.files]
 
     def read(self, partition: CaptureFile):
-        name = os.path.basename(partition.path)
         for seq, (link, micros, frame, length) in enumerate(records(partition.path)):
             if self.limit and seq >= self.limit:
                 return
@@ -154,7 +153,7 @@ class CaptureReader(DataSourceReader):
                 continue
             src, dst, sport, dport, proto, flags, window, segment, header = found
             ts = EPOCH + datetime.timedelta(microseconds=micros)
-            yield name, seq, ts, src, dst, sport, dport, proto, len(frame), flags, window, segment, header
+            yield partition.path, seq, ts, src, dst, sport, dport, proto, len(frame), flags, window, segment, header
 
 
 class CaptureSource(DataSource):

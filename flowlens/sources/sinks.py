@@ -113,5 +113,6 @@ def active_session(state: DataFrame) -> DataFrame:
     return state.where(F.col("status") == "Running").orderBy(F.col("started_at").desc()).limit(1)
 
 
-def session_history(state: DataFrame, limit: int = 20) -> DataFrame:
-    return state.orderBy(F.col("started_at").desc(), "session_id").limit(limit)
+def session_history(state: DataFrame, limit: int | None = None) -> DataFrame:
+    rows = state.orderBy(F.col("started_at").desc(), "session_id")
+    return rows if limit is None else rows.limit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +31,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names only; no row is looked at."""
-    return read_csv(spark, path, spark.read.csv(path, header=True).schema).columns
+    """Column names only, from the raw first line: the reader renames repeated names in its own way."""
+    raw = spark.read.csv(path, header=False, inferSchema=False).first()
+    return [] if raw is None else unique_names([str(name or "") for name in raw])
 
 
 def file_headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +48,10 @@ def file_headers(spark: SparkSession, folder: str) -> DataFrame:
     first = starts.groupBy("file").agg(F.min_by("value", "n").alias("line"))
     cells = F.split("line", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")
     named = first.select("file", F.posexplode(cells).alias("position", "column"))
-    return named.withColumn("column", F.trim(F.regexp_replace("column", '^\\s*"|"\\s*$', "")))
+    named = named.withColumn("column", F.trim(F.regexp_replace("column", '^\\s*"|"\\s*$', "")))
+    # a repeated name gets .1, .2 ..., as in ``unique_names``
+    again = F.row_number().over(Window.partitionBy("file", "column").orderBy("position")) - 1
+    return named.withColumn("column", F.when(again > 0, F.concat_ws(".", "column", again)).otherwise(F.col("column")))
 
 
 def guard_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +87,7 @@ def profile_csv(spark: SparkSession, path: str, requested: str | None = None, sa
     model, plan = choose_model(columns, requested)
     out = {
         "status": plan.status, "compatible_model": None if plan.missing else model, "mapping_report": plan.report(),
-        "match_percentage": plan.match_percentage, "missing_features": plan.missing, "extra_features": plan.extra[:20],
+        "match_percentage": plan.match_percentage, "missing_features": plan.missing, "extra_features": plan.extra,
         "label_columns": split_labels(columns)[1], "validation_errors": [],
     }
     if sample_rows:

@@ -79,5 +79,5 @@ class Monitor:
     def counters(self) -> DataFrame:
         return session_counters(self.flows().where(F.col("session_id") == self.session_id))
 
-    def recent(self, limit: int = 50) -> DataFrame:
+    def recent(self, limit: int | None = None) -> DataFrame:
         return last_flows(self.flows(), limit)

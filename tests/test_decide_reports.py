@@ -140,3 +140,16 @@ def test_sinks_and_logs(spark, tmp_path):
     assert SK.active_session(state).first().session_id == "s2" and SK.session_history(state, 1).first().session_id == "s2"
     SK.export(flows(spark).withColumns({"duration": F.lit(1.0), "packet_count": F.lit(1), "byte_count": F.lit(1)}), str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).columns == SC.EXPORT_COLUMNS
+
+
+def test_one_of_two_open_incidents_takes_what_is_new(spark):
+    rows = [("inc-1", "t", "New", "High", "a", "b", "DDoS", 5, 60.0, "2024-01-02", "2024-01-02", "n", None),
+            ("inc-2", "t", "Investigating", "High", "a", "b", "DDoS", 5, 60.0, "2024-01-01", "2024-01-02", "n", None)]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'flow_count' else 'double' if c == 'risk_score' else 'string'}" for c in I.INCIDENT_COLUMNS))
+    got = {r.incident_id: r.flow_count for r in I.upsert(table, table.where("incident_id = 'inc-1'")).collect()}
+    assert got == {"inc-1": 5, "inc-2": 10}
+
+
+def test_risk_stays_between_0_and_100(spark):
+    rows = spark.createDataFrame([(-0.5,), (0.25,), (1.5,)], "p double")
+    assert [r.r for r in rows.select(S.risk_score(F.col("p")).alias("r")).collect()] == [0.0, 25.0, 100.0]

@@ -5,6 +5,7 @@ from flowlens import schemas as SC
 from flowlens.operators import evaluate as E
 
 # Published confusion matrix of a ten-class detector (rows actual, columns predicted, class order of the schema)
+# Published matrix, report and training figures.
 MATRIX = [
     [93, 96, 23, 412, 16, 0, 37, 0, 0, 0], [93, 88, 23, 348, 17, 6, 2, 0, 6, 0], [206, 721, 426, 2543, 77, 26, 15, 24, 51, 0],
     [301, 703, 141, 9464, 147, 32, 97, 157, 86, 4], [200, 195, 64, 991, 3519, 6, 877, 7, 203, 0],
@@ -54,7 +55,7 @@ def test_matrix_and_pairs(labelled, spark):
     norm = {r.actual: r for r in E.normalized_confusion(labelled, SC.UNSW_CLASSES).collect()}
     assert norm["Analysis"].predicted_Analysis == 0.137371 and norm["Normal"].predicted_Fuzzers == 0.202459 and norm["Worms"].predicted_Worms == 0.431818
     assert [tuple(r) for r in E.top_confusions(labelled, 5).collect()] == PAIRS
-    assert E.top_confusions(labelled).count() == 15 and E.top_confusions(labelled, None).count() == sum(
+    assert E.top_confusions(labelled, 15).count() == 15 and E.top_confusions(labelled, None).count() == sum(
         MATRIX[i][j] > 0 for i in range(10) for j in range(10) if i != j)
     assert E.expand_matrix(spark, matrix, SC.UNSW_CLASSES).agg(F.sum("n")).first()[0] == 82332
 

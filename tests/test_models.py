@@ -51,3 +51,23 @@ def test_forest_scores_in_range(spark, train):
     trees = FO.load(FO.fit(train, names, trees=10, sample=64))
     s = train.select(FO.score_column(trees, names, 64).alias("s")).agg(F.min("s"), F.max("s")).first()
     assert -1 < s[0] < s[1] < 0
+
+
+def test_exact_key_before_the_last_one_alike(spark):
+    row = M.single_row(spark, {"Total_Bytes": 1, "total_bytes": 2, " TOTAL_BYTES": 3, "Forward_Packets": 4, "FORWARD_PACKETS": 5}, SC.GENERALIZED_FEATURES)
+    assert (row.first().total_bytes, row.first().forward_packets) == (2.0, 5.0)
+
+
+def test_forest_sample_follows_the_rows(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.rand(1)).alias("x"), F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.rand(2)).alias("y"))
+    # the repeated row is half of each sample, so it is never isolated
+    trees = FO.load(FO.fit(df, ["x", "y"], trees=20, sample=128))
+    assert len(trees) == 20
+    s = df.select("x", FO.score_column(trees, ["x", "y"], 128).alias("s")).groupBy((F.col("x") == 7).alias("hot")).agg(F.avg("s").alias("s")).collect()
+    scores = {r.hot: r.s for r in s}
+    assert scores[True] > scores[False]
+
+
+def test_outliers_without_columns_that_vary(spark):
+    got = FO.outliers(spark.range(3).select(F.lit(1.0).alias("a"), F.lit("t").alias("b"))).collect()
+    assert len(got) == 3 and not any(r.is_outlier for r in got)

@@ -126,14 +126,14 @@ def test_outliers_stand_out(spark):
     got = {r.packets: r.outlier_index for r in out.collect()}
     assert got[50_000.0] == pytest.approx(100.0, abs=0.1) and got[15.0] < 60
     assert out.where("is_outlier").count() > 0
-    assert FO.outliers(df.limit(5), ["packets", "bytes"]) is None
+    assert FO.outliers(df.limit(5), ["packets", "bytes"]).count() == 5
 
 
 def test_forest_does_not_depend_on_partitions(spark):
-    df = spark.range(2000).select((F.sin("id") * 100).alias("a"), (F.col("id") % 17).cast("double").alias("b"))
+    df = spark.range(2000).select("id", (F.sin("id") * 100).alias("a"), (F.col("id") % 17).cast("double").alias("b"))
     results = []
     for n in (1, 6):
-        trees = FO.fit(df.repartition(n), ["a", "b"], trees=5, sample=64)
+        trees = FO.fit(df.repartition(n), ["a", "b"], key="id", trees=5, sample=64)
         results.append(trees.orderBy("tree", "node").toPandas())
     assert results[0].equals(results[1])
     assert results[0].groupby("tree").size().max() <= 2 * 64 - 1

@@ -1,4 +1,5 @@
 import json
+import os
 import socket
 import struct
 
@@ -61,7 +62,7 @@ def test_captures(spark, tmp_path):
     (tmp_path / "big.pcap").write_bytes(classic(talk[:1], order=">", nano=True))
     (tmp_path / "skip.txt").write_text("no capture")
     rows = C.read_captures(spark, str(tmp_path)).orderBy("capture", "packet_seq").collect()
-    got = [(r.capture, r.proto, r.src_port, r.dst_port, r.tcp_flags, r.header_len) for r in rows]
+    got = [(os.path.basename(r.capture), r.proto, r.src_port, r.dst_port, r.tcp_flags, r.header_len) for r in rows]
     assert got == [
         ("big.pcap", "TCP", 54321, 80, 2, 20), ("one.pcap", "TCP", 54321, 80, 2, 20), ("one.pcap", "TCP", 80, 54321, 18, 25),
         ("one.pcap", "TCP", 54321, 80, 17, 20), ("two.pcapng", "UDP", 12345, 53, 0, 8), ("two.pcapng", "ICMP", 0, 0, 0, 0),
@@ -72,6 +73,21 @@ def test_captures(spark, tmp_path):
     assert flows.count() == 5
     assert flows.where("termination_reason = 'tcp_fin'").first().packets == 3
     assert C.read_captures(spark, str(tmp_path / "one.pcap"), max_packets=2).count() == 2
+    # two files of one name are two captures
+    for folder in ("a", "b"):
+        (tmp_path / "same" / folder).mkdir(parents=True)
+        (tmp_path / "same" / folder / "x.pcap").write_bytes(classic(talk))
+    assert C.read_captures(spark, str(tmp_path / "same")).select("capture").distinct().count() == 2
+
+
+def test_repeated_header_name_is_an_exact_match(spark, tmp_path):
+    names = [n.removesuffix(".1") for n in SC.FEATURES["cicids"]]
+    (tmp_path / "canonical.csv").write_text(",".join(names) + "\n" + ",".join("1" * len(names)) + "\n")
+    assert ST.header_of(spark, str(tmp_path / "canonical.csv")) == SC.FEATURES["cicids"]
+    out = ST.profile_csv(spark, str(tmp_path / "canonical.csv"))
+    assert (out["status"], out["compatible_model"]) == ("EXACT_MATCH", "cicids")
+    heads = [r["column"] for r in ST.file_headers(spark, str(tmp_path)).orderBy("position").collect()]
+    assert heads == SC.FEATURES["cicids"]
 
 
 def test_csv_headers(spark, tmp_path):
