@@ -107,6 +107,16 @@ def q_stream_flows(spark, sf):
     return spark.read.parquet(out).select("flow_seq", *FL.header_columns(), *FL.generalized_columns())
 
 
+@job
+def q_stream_split(spark, sf):
+    """The stream's idle splits in the columns of the batch query."""
+    rows = q_stream_flows(spark, sf)
+    return rows.select(
+        "flow_seq", "src_ip", "src_port", F.col("packet_count").alias("packets"), F.col("byte_count").alias("bytes"),
+        F.round("duration", 6).alias("seconds"), "termination_reason",
+    )
+
+
 def score_stream(batch):
     """The deterministic scorer in a micro-batch, from the columns the flow stream delivers."""
     from flowlens.operators import decide as D

@@ -651,6 +651,7 @@ def all_sql() -> dict[str, str]:
     q["q_flow_blocks"], q["q_gap_buckets"] = q["q_flow_idle_split"], q["q_packet_gaps"]
     q["q_result_sample"] = sql("SELECT flow_id, prediction, risk_score FROM scored", "scored")
     q["q_stored_flows"] = sql("SELECT flow_id, src_ip, prediction FROM (SELECT * FROM scored WHERE source_type = 'pcap' ORDER BY ts DESC, flow_id LIMIT 50)", "scored")
+    q["q_exported_flows"], q["q_stream_split"] = q["q_export"], q["q_flow_idle_split"]
     return q
 
 
