@@ -8,9 +8,10 @@ time by which all registers are almost surely filled are not made; should one be
 2. Registers are cut into bands; classes that agree in a whole band share a bucket.
 3. In each bucket everyone is compared with one member. Sizes, then the joint likelihood of the two sketches sort out
    what cannot reach the limit (a wide margin is left); the rest is verified on full sets. Links make components.
-4. Buckets that still hold several components are compared in blocks, every pair of members of different components,
-   and what passes is verified. So no two linked texts that share a bucket stay apart, and groups of copies never become
-   all their pairs. Two texts with a similarity of 0.85 miss every bucket with a probability below 1e-10.
+4. Buckets that still hold several components are compared in blocks: first sketches, each pair where it first meets, to
+   find the members with a plausible partner in another component; then the full sets of those, all pairs of a block in
+   one product. Only links are put out, no more than tie a block together. So no two linked texts that share a bucket
+   stay apart, and groups of copies, or of texts just below the limit, never become rows for all their pairs. Two texts with a similarity of 0.85 miss every bucket with a probability below 1e-10.
 
 Nulls and odd rows: null and empty texts have an empty set and are linked with nothing; fewer than five words are one
 shingle; repeated rows are linked (similarity 1); rows of one id with different texts are judged by their own text. A
@@ -209,46 +210,106 @@ def groups(batches, keys: list[str]):
         yield held
 
 
-def rest_of_buckets(members, sketches, roots, limit: int):
-    """Pairs of bucket members in different components, compared block by block; only plausible ones are emitted.
-
-    ``members``: bucket, id, hub (already compared with all), n.
-    """
-    placed = members.join(roots, F.col("id") == F.col("node"), "left").select(
-        "bucket", "id", "hub", "n", F.coalesce("root", "id").alias("root")
-    )
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    rest = placed.where("id != hub").join(open_, "bucket").join(sketches.select("id", "n_shingles", "registers"), "id")
+def dealt_blocks(rows):
+    """Rows of a bucket (with its size ``n``) dealt over blocks, and each pair of blocks together: bucket, i, j, own."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
-    )
-    dealt = dealt.select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n_shingles", "registers"
-    )
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "n")
     keys = ["bucket", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def open_pairs(block: pa.Table, size: np.ndarray, limit: int) -> np.ndarray:
+    """Which pairs of a block belong to it, lie in different components, and have sizes that allow the limit."""
+    root, own = block.column("root").to_numpy(), block.column("own").to_numpy()
+    i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+    fit = (root[:, None] != root) & (100 * np.minimum(size[:, None], size) >= limit * np.maximum(size[:, None], size))
+    return fit & np.triu(np.ones(fit.shape, bool), 1) if i == j else fit & (own[:, None] == i) & (own == j)
+
+
+def plausible_members(rows, limit: int):
+    """(bucket, id) of bucket members with a plausible partner in another component, that they first meet in this bucket."""
 
     def compare(batches):
-        for block in groups(batches, keys):
+        for block in groups(batches, ["bucket", "i", "j"]):
             if block.num_rows < 2:
                 continue
-            id_, root, size, own = (block.column(c).to_numpy() for c in ("id", "root", "n_shingles", "own"))
             registers = registers_of(block.column("registers"))
-            i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+            fit = open_pairs(block, block.column("n_shingles").to_numpy(), limit)
+            keys = band_keys(registers)
+            band = int(np.flatnonzero(keys[0].view(np.int64) == block.column("bucket")[0].as_py())[0])
+            hit = np.zeros(len(registers), bool)
+            for a in np.flatnonzero(fit.any(1)):
+                b = np.flatnonzero(fit[a])
+                b = b[(registers[b] == registers[a]).sum(1) >= (limit / 100 - MARGIN) * REGISTERS]
+                b = b[(keys[b] == keys[a]).argmax(1) == band]
+                hit[b] = True
+                hit[a] |= len(b) > 0
+            yield block.select(["bucket", "id"]).filter(pa.array(hit)).combine_chunks().to_batches()[0] if hit.any() else pa.RecordBatch.from_arrays(
+                [pa.array([], pa.int64()), pa.array([], pa.int64())], ["bucket", "id"])
+
+    return dealt_blocks(rows).select("bucket", "i", "j", "own", "id", "root", "n_shingles", "registers").mapInArrow(
+        compare, "bucket long, id long").distinct()
+
+
+def common_counts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sizes of all pairwise intersections of some sets."""
+    n = len(offsets) - 1
+    of = np.repeat(np.arange(n), np.diff(offsets))
+    _, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    often = times[place] > 1
+    _, place = np.unique(place[often], return_inverse=True)
+    of, width = of[often], 4096
+    order = np.argsort(place, kind="stable")
+    place, of = place[order], of[order]
+    out = np.zeros((n, n), np.float32)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, (first, first + width))
+        part = np.zeros((n, width), np.float32)
+        part[of[a:b], place[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def block_links(rows, limit: int):
+    """Links between members of different components, verified on full sets; of each block no more than tie it together."""
+
+    def verify(batches):
+        for block in groups(batches, ["bucket", "i", "j"]):
+            if block.num_rows < 2:
+                continue
+            ids = block.column("id").to_numpy()
+            hashes, offsets = shingle_sets([x.as_py().encode() for x in block.column("text")])
+            size = np.diff(offsets)
+            common = common_counts(hashes, offsets)
+            linked = open_pairs(block, size, limit) & (common > 0) & (100 * common >= limit * (size[:, None] + size - common))
+            top = np.arange(len(ids))
             out = []
-            for a in range(len(id_)):
-                b = np.arange(a + 1, len(id_)) if i == j else np.arange(len(id_))
-                fit = (root[b] != root[a]) & (100 * np.minimum(size[a], size[b]) >= limit * np.maximum(size[a], size[b]))
-                if i != j:
-                    fit &= (own[a] == i) & (own[b] == j)
-                b = b[fit]
-                if len(b):
-                    b = b[(registers[b] == registers[a]).sum(1) >= (limit / 100 - MARGIN) * REGISTERS]
-                out.append((np.full(len(b), id_[a]), id_[b]))
-            u, v = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+            for a, b in zip(*np.nonzero(linked), strict=True):
+                if top[a] != top[b]:
+                    out.append((a, b))
+                    top[top == top[a]] = top[b]
+            u, v = ids[[a for a, _ in out]], ids[[b for _, b in out]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], ["u", "v"])
+
+    return dealt_blocks(rows).select("bucket", "i", "j", "own", "id", "root", "text").mapInArrow(verify, "u long, v long").distinct()
+
+
+def rest_of_buckets(members, sketches, texts, roots, limit: int):
+    """Links between bucket members in different components. Nothing is put out for a pair that is no link.
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, v long").distinct()
+    ``members``: bucket, id, hub (already compared with all), n.
+    """
+    placed = members.join(roots, F.col("id") == F.col("node"), "left").select(
+        "bucket", "id", "hub", "n", F.coalesce("root", "id").alias("root")
+    )
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    rest = placed.where("id != hub").drop("hub").join(open_, "bucket")
+    near = materialize(plausible_members(rest.join(sketches.select("id", "n_shingles", "registers"), "id"), limit), "plausible")
+    counted = near.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    rooted = near.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    return block_links(rooted.join(counted, "bucket").join(texts, "id"), limit)
 
 
 def near_duplicates(docs, limit: int = 80):
@@ -275,8 +336,8 @@ def near_duplicates(docs, limit: int = 80):
     stars = members.where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
     links = materialize(verified(plausible(stars, sketches, limit), texts, limit), "star-links")
     roots = components(links)
-    more = materialize(rest_of_buckets(members.where("n > 2"), sketches, roots, limit), "more-pairs")
-    roots = components(links.union(verified(plausible(more, sketches, limit), texts, limit)))
+    more = rest_of_buckets(members.where("n > 2"), sketches, texts, roots, limit)
+    roots = components(links.union(more))
     placed = classes.join(roots, F.col("id") == F.col("node"), "left").select(*same, "least_id", F.coalesce("root", "id").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "root").select(*same, "component_id", F.lit(True).alias("linked"))
