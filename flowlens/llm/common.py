@@ -122,7 +122,7 @@ class Subwords:
     words with trailing marks go straight to the BPE model; every other piece takes the tokenizer's whole path.
     """
 
-    CACHE = 1_000_000
+    CACHE = 800_000
 
     def __init__(self, path: str):
         import re
