@@ -31,17 +31,31 @@ def keyed(docs):
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
+def text_chunks(batch: pa.RecordBatch | pa.Array, column: str | None, limit: int = CHUNK_BYTES):
     """(first row, list of UTF-8 texts) of consecutive rows with about ``limit`` bytes; null texts are empty."""
-    texts = [(b.as_buffer().to_pybytes() if b.is_valid else b"") for b in batch.column(column).cast(pa.large_binary())]
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
+    whole = batch if column is None else batch.column(column)
+    start, size, texts = 0, 0, []
+    # a few rows at a time, so that no second copy of the batch is held
+    for at in range(0, len(whole), 128):
+        for t in whole.slice(at, 128).cast(pa.large_binary()).to_pylist():
+            t = t or b""
+            if texts and size + len(t) > limit:
+                yield start, texts
+                start, size, texts = start + len(texts), 0, []
+            texts.append(t)
+            size += len(t)
+    if texts:
+        yield start, texts
+
+
+def row_and_text(keep: list[str], text: str):
+    """Columns to keep as struct ``row``, and ``text`` beside it unless it is one of them."""
+    row = F.struct(*[F.col(c) for c in keep]).alias("row")
+    return [row] if text in keep else [row, F.col(text).cast("string").alias("text")]
+
+
+def text_of(batch: pa.RecordBatch, keep: list[str], text: str) -> pa.Array:
+    return batch.column("row").field(keep.index(text)) if text in keep else batch.column("text")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -122,7 +136,7 @@ class Subwords:
     words with trailing marks go straight to the BPE model; every other piece takes the tokenizer's whole path.
     """
 
-    CACHE = 800_000
+    CACHE = 600_000
 
     def __init__(self, path: str):
         import re

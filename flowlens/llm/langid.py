@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import mix, signed, text_chunks
+from flowlens.llm.common import mix, row_and_text, signed, text_chunks, text_of
 
 ORDER = 4
 ROWS = 600
@@ -218,7 +218,7 @@ def calibrate(rows, model: Model) -> np.ndarray:
 
 def predict(docs, model: Model | None, keep: list[str], text: str = "text"):
     """The ``keep`` columns as struct ``row``, with lang_pred, score, cross_entropy and rejected, for each row."""
-    given = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(text).cast("string").alias("text"))
+    given = docs.select(*row_and_text(keep, text))
     if model is None:
         return given.select(
             "row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"),
@@ -229,7 +229,7 @@ def predict(docs, model: Model | None, keep: list[str], text: str = "text"):
     def judge(batches):
         names = np.array([*shared.value.languages, "und"], dtype=object)
         for batch in batches:
-            for first, texts in text_chunks(batch, "text", CHUNK):
+            for first, texts in text_chunks(text_of(batch, keep, text), None, CHUNK):
                 best, score, entropy, rejected = shared.value.judge(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(first, len(texts)), pa.array(names[best], pa.string()), pa.array(score),
