@@ -317,6 +317,12 @@ def near_duplicates(docs, limit: int = 80):
 
     ``limit``: hundredths of similarity at which two texts are linked. The registers' bands are laid out for 80 and more.
     """
+    return rooted_duplicates(docs, limit).drop("root")
+
+
+def rooted_duplicates(docs, limit: int):
+    """``near_duplicates`` and each component's own number ``root`` (null: empty set). Ids do not tell components apart:
+    several may have none, and rows of one id may lie in several."""
     rows = keyed(docs)
     made = materialize(sketch_rows(rows), "sketches")
     full = made.where("n_shingles > 0")
@@ -340,10 +346,11 @@ def near_duplicates(docs, limit: int = 80):
     roots = components(links.union(more))
     placed = classes.join(roots, F.col("id") == F.col("node"), "left").select(*same, "least_id", F.coalesce("root", "id").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(least, "root").select(*same, "component_id", F.lit(True).alias("linked"))
+    named = placed.join(least, "root").select(*same, "root", "component_id", F.lit(True).alias("linked"))
     judged = made.drop("registers").join(named, same, "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return judged.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return judged.select(
+        "doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "root")
 
 
 def keep_one(docs, limit: int = 80):
@@ -351,9 +358,9 @@ def keep_one(docs, limit: int = 80):
 
     Rows without words are in no group and all stay.
     """
-    found = materialize(near_duplicates(docs, limit), "near-duplicates")
+    found = materialize(rooted_duplicates(docs, limit), "near-duplicates")
     worded = found.where("n_shingles > 0")
-    group = worded.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    group = worded.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
     best = group.select(F.col("best.doc_id").alias("d"), F.col("best.text_key").alias("k"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
     gone = worded.join(best, same, "left_anti").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))

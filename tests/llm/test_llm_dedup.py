@@ -125,6 +125,13 @@ def test_keep_one(spark):
     assert len(worded) > len(groups) and len(got) == len(groups) + len(empty) and set(got) <= set(rows)
 
 
+def test_keep_one_of_unrelated_texts_with_null_and_shared_ids(spark):
+    rows = [(None if k < 6 else 7, " ".join(f"t{k}x{j}" for j in range(40 + k))) for k in range(12)]
+    rows += [(None, rows[2][1] + " end"), (7, rows[8][1] + " end"), (None, rows[9][1]), (8, rows[3][1])]
+    got = [r["text"].removesuffix(" end") for r in neardup.keep_one(documents(spark, rows), 80).collect()]
+    assert sorted(got) == sorted(t for _, t in rows[:12])
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 900).astype(np.uint64)
