@@ -120,6 +120,17 @@ def test_peeling_recovers_what_differs(spark, differing):
     assert {(x["digest"], x["side"]) for x in r["d"]} == {(x, 1) for x in set(r["a"]) - set(r["b"])} | {(x, -1) for x in set(r["b"]) - set(r["a"])}
 
 
+@pytest.mark.parametrize("end", [". ", ", ", "nd "])
+def test_an_insertion_changes_paragraphs_around_it_only(spark, end):
+    rng = random.Random(6)
+    text = "".join(" ".join(f"k{rng.randrange(900)}" for _ in range(9)) + end for _ in range(60))
+    c = F.col
+    frame = spark.createDataFrame([(text, "inserted " + text)], "a string, b string").select(
+        fingerprints.paragraphs(c("a")).alias("a"), fingerprints.paragraphs(c("b")).alias("b"))
+    frame = frame.select("a", "b", fingerprints.sketch(c("a")).alias("x"), fingerprints.sketch(c("b")).alias("y"))
+    assert frame.select(fingerprints.likeness(c("a"), c("b"), c("x"), c("y")).alias("s")).first()["s"] > 0.9
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------
 
 def plain_spans(t):
