@@ -131,6 +131,18 @@ def test_an_insertion_changes_paragraphs_around_it_only(spark, end):
     assert frame.select(fingerprints.likeness(c("a"), c("b"), c("x"), c("y")).alias("s")).first()["s"] > 0.9
 
 
+def test_common_digests_do_not_differ_beyond_the_last_retry(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "DEPTH", 1)
+    c = F.col
+    both = [f"line {k}" for k in range(500)]
+    frame = spark.createDataFrame([("\n".join([*both, *(f"a {k}" for k in range(400))]), "\n".join(both))], "a string, b string").select(
+        fingerprints.paragraphs(c("a")).alias("a"), fingerprints.paragraphs(c("b")).alias("b"))
+    frame = frame.select("a", "b", fingerprints.sketch(c("a")).alias("x"), fingerprints.sketch(c("b")).alias("y"))
+    r = frame.select("a", "b", fingerprints.differences(c("a"), c("b"), c("x"), c("y")).alias("d")).first()
+    assert {(x["digest"], x["side"]) for x in r["d"]} == {(x, 1) for x in set(r["a"]) - set(r["b"])} | {(x, -1) for x in set(r["b"]) - set(r["a"])}
+    assert len(r["d"]) < 410
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------
 
 def plain_spans(t):
