@@ -1,13 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words of the benchmark items are weighted by how rare they are in all documents. A randomised SVD of the items' TF-IDF
-rows (range finder with power iterations; the rows' products are added up in Spark) gives a latent space. Every passage
-of every document is folded in; passages near an item by cosine, and with enough of its weight, are candidates. A
+Words of the benchmark items are weighted by how rare they are in all documents. Items are cut into passages like
+documents. A randomised SVD of the items' TF-IDF passages (range finder with power iterations; the rows' products are
+added up in Spark) gives a latent space. Every passage of every document is folded in; those near a passage of an item
+by cosine, and with enough of its weight, are candidates for the item. So are stretches with
+as many of the rarer half of its words as no copy can do without, so that no copy is missed, however long the item. A
 candidate is verified on the words themselves: by the longest common subsequence of the item and a stretch of the document
 not much longer than the item. A share of ``COPY`` of the item's words is a copy; a paraphrase needs ``PARAPHRASE`` and
 the item's answer (its last words, in one piece).
 
-The benchmark is a stated query set. It is taken in blocks of ``BLOCK`` items, which bounds what the driver and each
+The benchmark is a stated query set. It is taken in blocks of about ``BLOCK`` item passages, which bounds what the driver and each
 broadcast hold; documents are never collected.
 
 Nulls and odd rows: null and empty texts are clean; items without words match nothing; a null item id is reported as null
@@ -17,6 +19,7 @@ documents clean, an empty table gives an empty result. Columns to keep are passe
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +32,7 @@ BLOCK = 4096
 #: Words of a passage and the shift to the next one.
 PASSAGE, SHIFT = 48, 24
 DIMENSIONS, EXTRA, POWERS = 256, 16, 2
-#: Cosine, and share of the item's weight, from which a passage is a candidate.
+#: Cosine, and share of the item passage's weight, from which a passage is a candidate.
 COSINE, WEIGHT = 0.4, 0.3
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 5
 
@@ -76,14 +79,39 @@ def best_share(item: Item, words: list[int], start: int, stop: int) -> tuple[flo
 
 @dataclass
 class Space:
-    """A block of items in latent space."""
+    """A block of items, their passages in latent space, and what no copy of them is without."""
 
     items: list[Item]
+    #: The item of each passage.
+    of: np.ndarray
     words: np.ndarray
     weights: np.ndarray
     axes: np.ndarray
     latent: np.ndarray
     least: float
+    #: Items by word: (begin of each word's items, items), for the rarer words.
+    rare: tuple[np.ndarray, np.ndarray]
+    #: How many rarer words a copy of each item has at least.
+    need: np.ndarray
+
+
+def cuts(n: int) -> np.ndarray:
+    """Bounds of the passages of an item of n words, about equally long."""
+    return np.linspace(0, n, -(-n // PASSAGE) + 1).astype(np.int64)
+
+
+def by_word(pairs: list[tuple[int, int]], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Items of each word from distinct (word, item) pairs."""
+    both = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
+    return np.searchsorted(both[:, 0], np.arange(n_words + 1)), both[:, 1]
+
+
+def rarer_words(at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarer half of an item's words, and how many of them are in every stretch that shares ``COPY`` of the item."""
+    size = len(at)
+    shared = next(c for c in range(size + 1) if c / size >= COPY)
+    number = max(size // 2, size - shared + 1)
+    return at[np.argsort(-weights[at], kind="stable")[:number]], shared - (size - number)
 
 
 def read_items(rows) -> list[Item]:
@@ -116,7 +144,7 @@ def document_frequency(docs, words: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def latent_axes(items, words: np.ndarray, weights: np.ndarray, dimensions: int, seed: int = 3) -> np.ndarray:
-    """The leading right singular vectors of the items' TF-IDF rows: a matrix of words x dimensions."""
+    """The leading right singular vectors of the items' TF-IDF passages: a matrix of words x dimensions."""
     context = items.sparkSession.sparkContext
     size = min(dimensions + EXTRA, len(words))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(words), size)))[0]
@@ -132,8 +160,9 @@ def latent_axes(items, words: np.ndarray, weights: np.ndarray, dimensions: int,
                 for _, texts in text_chunks(batch, "text"):
                     w = Words(texts, lower=True)
                     at = np.searchsorted(known, w.hashes)
-                    for d in range(len(texts)):
-                        own, tf = np.unique(at[w.offsets[d]:w.offsets[d + 1]], return_counts=True)
+                    bounds = [(a + f, a + t) for a, n in zip(w.offsets, w.counts(), strict=False) for f, t in itertools.pairwise(cuts(int(n)))]
+                    for first, end in bounds:
+                        own, tf = np.unique(at[first:end], return_counts=True)
                         x = tf * weight[own]
                         y = x @ b[own]
                         if gram:
@@ -165,16 +194,51 @@ def build_space(docs, block, dimensions: int = DIMENSIONS) -> Space | None:
     weights = np.log((total + 1) / (frequency + 1)) + 1e-3
     known = block.where("text is not null")
     axes = latent_axes(known, words, weights, dimensions)
-    latent = np.zeros((len(items), axes.shape[1]), np.float32)
-    for i, x in enumerate(items):
-        own, tf = np.unique(np.searchsorted(words, np.array(x.words, np.uint64)), return_counts=True)
-        latent[i] = (tf * weights[own]).astype(np.float32) @ axes[own]
-    mass = np.array([sum(weights[np.searchsorted(words, np.array(x.words, np.uint64))] ** 2) for x in items])
-    return Space(items, words, weights.astype(np.float32), axes * weights[:, None].astype(np.float32), latent, float(mass.min()))
+    spelled = [np.searchsorted(words, np.array(x.words, np.uint64)) for x in items]
+    passages = [(i, at[f:t]) for i, at in enumerate(spelled) for f, t in itertools.pairwise(cuts(len(at)))]
+    latent = np.zeros((len(passages), axes.shape[1]), np.float32)
+    for k, (_, at) in enumerate(passages):
+        own, tf = np.unique(at, return_counts=True)
+        latent[k] = (tf * weights[own]).astype(np.float32) @ axes[own]
+    least = min(float((weights[at] ** 2).sum()) for _, at in passages)
+    rarer = [rarer_words(at, weights) for at in spelled]
+    return Space(
+        items, np.array([i for i, _ in passages]), words, weights.astype(np.float32), axes * weights[:, None].astype(np.float32), latent, least,
+        by_word([(w, i) for i, (own, _) in enumerate(rarer) for w in own.tolist()], len(words)),
+        np.array([n for _, n in rarer]))
+
+
+def meetings(lists: tuple[np.ndarray, np.ndarray], at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, item) for the items of the word at each place."""
+    begin, items = lists
+    number = begin[at[places] + 1] - begin[at[places]]
+    some = number > 0
+    places, number = places[some], number[some]
+    ends = np.cumsum(number)
+    return np.repeat(places, number), items[np.arange(number.sum()) + np.repeat(begin[at[places]] - (ends - number), number)]
+
+
+def copies(space: Space, words: Words, at: np.ndarray, hit: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    """(text, item, first word, end word) of stretches with enough of an item's rarer words."""
+    places = np.flatnonzero(hit)
+    found = []
+    # the needed number of rarer words within a stretch
+    p, i = meetings(space.rare, at, places)
+    order = np.lexsort((p, i))
+    p, i = p[order], i[order]
+    length = np.array([len(x.words) + len(x.words) // 2 for x in space.items])
+    first = np.arange(len(p))
+    last = first + space.need[i] - 1
+    inside = last < len(p)
+    first, last = first[inside], last[inside]
+    fits = (i[first] == i[last]) & (of[p[first]] == of[p[last]]) & (p[last] - p[first] < length[i[first]])
+    first, last = first[fits], last[fits]
+    found.append(np.stack([of[p[first]], i[first], p[first] - words.offsets[of[p[first]]], p[last] + 1 - words.offsets[of[p[last]]]], 1))
+    return found
 
 
 def candidates(space: Space, words: Words) -> list[tuple[int, int, int, int]]:
-    """(text, item, first word, end word within the text) of passages near an item, overlapping ones joined."""
+    """(text, item, first word, end word within the text) of stretches that may hold an item, overlapping ones joined."""
     at = np.minimum(np.searchsorted(space.words, words.hashes), len(space.words) - 1)
     hit = space.words[at] == words.hashes
     sizes = words.counts()
@@ -186,7 +250,7 @@ def candidates(space: Space, words: Words) -> list[tuple[int, int, int, int]]:
     mass = np.concatenate(([0], np.cumsum(np.where(hit, space.weights[at].astype(np.float64) ** 2, 0))))
     rich = np.flatnonzero(mass[stop] - mass[start] >= WEIGHT * space.least)
     norms = np.linalg.norm(space.latent, axis=1)
-    found = []
+    found = copies(space, words, at, hit, words.doc())
     for a in range(0, len(rich), 512):
         own = rich[a:a + 512]
         size = stop[own] - start[own]
@@ -195,14 +259,12 @@ def candidates(space: Space, words: Words) -> list[tuple[int, int, int, int]]:
         products = vectors @ space.latent.T
         near = (products >= COSINE * np.linalg.norm(vectors, axis=1)[:, None] * norms) & (products >= WEIGHT * norms**2) & (products > 0)
         p, i = np.nonzero(near)
-        found.append(np.stack([doc[own[p]], i, start[own[p]] - words.offsets[doc[own[p]]], stop[own[p]] - words.offsets[doc[own[p]]]], 1))
-    if not found:
-        return []
+        found.append(np.stack([doc[own[p]], space.of[i], start[own[p]] - words.offsets[doc[own[p]]], stop[own[p]] - words.offsets[doc[own[p]]]], 1))
     out = []
     every = np.concatenate(found)
     for d, i, s, e in every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))].tolist():
         if out and out[-1][:2] == (d, i) and s <= out[-1][3]:
-            out[-1] = (d, i, out[-1][2], e)
+            out[-1] = (d, i, out[-1][2], max(e, out[-1][3]))
         else:
             out.append((d, i, s, e))
     return out
@@ -214,7 +276,9 @@ def find_leaks(docs, benchmark, keep: list[str], text: str = "text"):
                         F.lit(None).cast("long").alias("best_item"), F.lit(0.0).alias("best_share"))
     kind = found.schema["row"].dataType.simpleString()
     given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-given.count() // BLOCK))
+    # some words too many for blanks at the ends
+    sizes = F.ceil(F.size(F.split("text", "[ \\t-\\r]+")) / PASSAGE)
+    blocks = max(1, -(-(given.where("text is not null").agg(F.sum(sizes)).first()[0] or 0) // BLOCK))
     for b in range(blocks):
         block = given if blocks == 1 else given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         space = build_space(docs.select(F.col(text).cast("string").alias("text")), block)
@@ -235,7 +299,7 @@ def judge_with(shared):
                     if spoken[0] != d:
                         spoken = (d, words.hashes[words.offsets[d]:words.offsets[d + 1]].tolist())
                     item = space.items[i]
-                    share, leak = best_share(item, spoken[1], max(0, s - len(item.words)), min(len(spoken[1]), e + len(item.words)))
+                    share, leak = best_share(item, spoken[1], max(0, s - 2 * len(item.words)), min(len(spoken[1]), e + len(item.words)))
                     if leak:
                         leaked[d, i] = max(share, leaked.get((d, i), 0.0))
                 for (d, i), share in sorted(leaked.items()):

@@ -260,6 +260,20 @@ def test_leaks_against_all_stretches(spark):
     assert decontaminate.find_leaks(documents(spark, []), bench, ["doc_id"]).count() == 0
 
 
+def test_copies_of_long_items(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(6000)]
+    say = lambda n: [vocabulary[int(6000 ** rng.random()) - 1] for _ in range(n)]
+    long = [(k, say(n)) for k, n in enumerate([200, 260, 400, 640, 1000])]
+    rows = []
+    for i, w in long:
+        rows.append((i, " ".join([*say(90), *w, *say(70)])))
+    rows += [(100 + k, " ".join(say(300))) for k in range(300)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in long], "item_id long, text string")
+    got = {r["row"]["doc_id"]: r["best_item"] for r in decontaminate.find_leaks(documents(spark, rows), bench, ["doc_id"]).where("contaminated").collect()}
+    assert got == {i: i for i, _ in long}
+
+
 def test_leaks_of_the_tables(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {r["row"]["doc_id"]: r["contaminated"] for r in decontaminate.find_leaks(docs, bench, ["doc_id"]).collect()}
