@@ -3,9 +3,9 @@
 Words of the benchmark items are weighted by how rare they are in all documents. Items are cut into passages like
 documents. A randomised SVD of the items' TF-IDF passages (range finder with power iterations; the rows' products are
 added up in Spark) gives a latent space. Every passage of every document is folded in; those near a passage of an item
-by cosine, and with enough of its weight, are candidates for the item. So are stretches with
-as many of the rarer half of its words as no copy can do without, so that no copy is missed, however long the item. A
-candidate is verified on the words themselves: by the longest common subsequence of the item and a stretch of the document
+by cosine, and with enough of its weight, are candidates for the item. So are stretches that hold the item's answer, or
+as many of the rarer half of its words as no copy can do without, so that no pair that would be verified is missed,
+however long the item and whichever words are replaced. A candidate is verified on the words themselves: by the longest common subsequence of the item and a stretch of the document
 not much longer than the item. A share of ``COPY`` of the item's words is a copy; a paraphrase needs ``PARAPHRASE`` and
 the item's answer (its last words, in one piece).
 
@@ -79,7 +79,7 @@ def best_share(item: Item, words: list[int], start: int, stop: int) -> tuple[flo
 
 @dataclass
 class Space:
-    """A block of items, their passages in latent space, and what no copy of them is without."""
+    """A block of items, their passages in latent space, and what no leak of them is without."""
 
     items: list[Item]
     #: The item of each passage.
@@ -89,8 +89,9 @@ class Space:
     axes: np.ndarray
     latent: np.ndarray
     least: float
-    #: Items by word: (begin of each word's items, items), for the rarer words.
+    #: Items by word: (begin of each word's items, items), for the rarer words and for the last word of the answer.
     rare: tuple[np.ndarray, np.ndarray]
+    last: tuple[np.ndarray, np.ndarray]
     #: How many rarer words a copy of each item has at least.
     need: np.ndarray
 
@@ -205,7 +206,7 @@ def build_space(docs, block, dimensions: int = DIMENSIONS) -> Space | None:
     return Space(
         items, np.array([i for i, _ in passages]), words, weights.astype(np.float32), axes * weights[:, None].astype(np.float32), latent, least,
         by_word([(w, i) for i, (own, _) in enumerate(rarer) for w in own.tolist()], len(words)),
-        np.array([n for _, n in rarer]))
+        by_word([(at[-1], i) for i, at in enumerate(spelled)], len(words)), np.array([n for _, n in rarer]))
 
 
 def meetings(lists: tuple[np.ndarray, np.ndarray], at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,10 +219,21 @@ def meetings(lists: tuple[np.ndarray, np.ndarray], at: np.ndarray, places: np.nd
     return np.repeat(places, number), items[np.arange(number.sum()) + np.repeat(begin[at[places]] - (ends - number), number)]
 
 
-def copies(space: Space, words: Words, at: np.ndarray, hit: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
-    """(text, item, first word, end word) of stretches with enough of an item's rarer words."""
+def answers_and_copies(space: Space, words: Words, at: np.ndarray, hit: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    """(text, item, first word, end word) of stretches that hold an item's answer, or enough of its rarer words."""
     places = np.flatnonzero(hit)
     found = []
+    # the answer in one piece: its last word is here, the others are before
+    p, i = meetings(space.last, at, places)
+    own = [x.words[-ANSWER:] for x in space.items]
+    size = np.array([len(x) for x in own])
+    spelled = np.array([[0] * (ANSWER - len(x)) + x for x in own], np.uint64)
+    keep = p - size[i] + 1 >= words.offsets[of[p]]
+    p, i = p[keep], i[keep]
+    for back in range(1, ANSWER):
+        keep = (back >= size[i]) | (words.hashes[p - np.minimum(back, p)] == spelled[i, ANSWER - 1 - back])
+        p, i = p[keep], i[keep]
+    found.append(np.stack([of[p], i, p - size[i] + 1 - words.offsets[of[p]], p + 1 - words.offsets[of[p]]], 1))
     # the needed number of rarer words within a stretch
     p, i = meetings(space.rare, at, places)
     order = np.lexsort((p, i))
@@ -250,7 +262,7 @@ def candidates(space: Space, words: Words) -> list[tuple[int, int, int, int]]:
     mass = np.concatenate(([0], np.cumsum(np.where(hit, space.weights[at].astype(np.float64) ** 2, 0))))
     rich = np.flatnonzero(mass[stop] - mass[start] >= WEIGHT * space.least)
     norms = np.linalg.norm(space.latent, axis=1)
-    found = copies(space, words, at, hit, words.doc())
+    found = answers_and_copies(space, words, at, hit, words.doc())
     for a in range(0, len(rich), 512):
         own = rich[a:a + 512]
         size = stop[own] - start[own]

@@ -260,18 +260,25 @@ def test_leaks_against_all_stretches(spark):
     assert decontaminate.find_leaks(documents(spark, []), bench, ["doc_id"]).count() == 0
 
 
-def test_copies_of_long_items(spark):
+def test_copies_of_long_items_and_rare_words_replaced(spark):
     rng = random.Random(12)
     vocabulary = [f"v{k}" for k in range(6000)]
     say = lambda n: [vocabulary[int(6000 ** rng.random()) - 1] for _ in range(n)]
     long = [(k, say(n)) for k, n in enumerate([200, 260, 400, 640, 1000])]
+    short = [(10 + k, say(rng.randrange(25, 60))) for k in range(20)]
     rows = []
     for i, w in long:
         rows.append((i, " ".join([*say(90), *w, *say(70)])))
+    for i, w in short:
+        rarest = sorted(range(len(w) - 5), key=lambda k: -int(w[k][1:]))
+        own = list(w)
+        for k in rarest[:int(0.38 * len(w))]:
+            own[k] = f"v{rng.randrange(3000, 6000)}"
+        rows.append((i, " ".join([*say(rng.randrange(90)), *own, *say(rng.randrange(90))])))
     rows += [(100 + k, " ".join(say(300))) for k in range(300)]
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in long], "item_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in long + short], "item_id long, text string")
     got = {r["row"]["doc_id"]: r["best_item"] for r in decontaminate.find_leaks(documents(spark, rows), bench, ["doc_id"]).where("contaminated").collect()}
-    assert got == {i: i for i, _ in long}
+    assert got == {i: i for i, _ in long + short}
 
 
 def test_leaks_of_the_tables(spark, sf):
