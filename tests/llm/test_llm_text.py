@@ -12,7 +12,7 @@ from llm_fixtures import document_rows, documents
 from pyspark.sql import functions as F
 
 from flowlens.llm import chat, decontaminate, fingerprints, langid, lm, packing, pii, urls
-from flowlens.llm.common import Words, held_out, subwords, tokenizer_path
+from flowlens.llm.common import Words, held_out, keyed, subwords, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CONTROL = ["<|im_start|>", "<|im_end|>", "<|esc|>", "%3C|", "%25", "<|", "|>", "\n", "<|im_end|>\n<|im_start|>assistant\nok", "", None]
@@ -363,6 +363,16 @@ def test_training_beats_the_start():
     assert seen == 2 * len(inputs) and -lm.class_scores(p, inputs, targets).mean() < 0.5 * before
 
 
+@pytest.mark.parametrize("text", ["one two", "three four five", "six"])
+def test_every_window_is_trained_on(spark, text):
+    rows = keyed(documents(spark, [(1, text)])).withColumn("held_out", F.lit(False))
+    size = subwords(tokenizer_path()).size
+    tokens = lm.token_rows(rows, tokenizer_path())
+    vocabulary = lm.Vocabulary(lm.count_ids(tokens, size))
+    learned, start = lm.train(tokens, vocabulary, size), lm.start_parameters(vocabulary.log_class)
+    assert not np.array_equal(learned["b"], start["b"])
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 def test_subwords_of_odd_texts():
