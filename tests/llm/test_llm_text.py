@@ -417,6 +417,13 @@ def test_fullest_combination():
 
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
+def test_packed_sequences_hold_their_ids(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.best_fit_packing(spark, documents(spark), None).collect()
+    assert got and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in got)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
     from flowlens.session import materialize
