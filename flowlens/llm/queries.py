@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, decontaminate, fingerprints, langid, lm, neardup, packing, pii, substrings, urls
+from flowlens.llm import (
+    chat, decontaminate, fingerprints, infill, langid, lines, lm, merkle, neardup, packing, pii, substrings, urls,
+)
 from flowlens.llm.common import held_out, table, tokenizer_path
 
 QUERIES = {}
@@ -161,3 +163,100 @@ def op9_lm_scoring(spark, sf_dir):
 def op5_decontaminate(spark, sf_dir):
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select("row.doc_id", "contaminated", "n_items", "best_item", "best_share")
+
+
+@query
+def op11_line_dedup(spark, sf_dir):
+    found = lines.remove_common_lines(table(spark, sf_dir, "documents"), threshold=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op11_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d),
+k AS (
+  SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id"""
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
+    n_chars = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = merkle.manifest(docs, "lang", n_chars=n_chars)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    found = infill.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+SQL["op13_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(u) + 1) AS x,
+    CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 AS r,
+    CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 AS o FROM d),
+p AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r >= 100
+      THEN 'plain' WHEN o < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[:least(x, y)], '') AS a, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS b,
+    array_to_string(u[greatest(x, y) + 1:], '') AS c FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(coalesce(a, '')) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(coalesce(b, '')) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || coalesce(a, '') || '<S>' || coalesce(c, '') || '<M>' || coalesce(b, '')
+    WHEN 'spm' THEN '<S>' || coalesce(c, '') || '<P>' || coalesce(a, '') || '<M>' || coalesce(b, '') ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# lo: the groups' trees by level, hi: the tree of their roots; a step is the side and digest of a sibling, or '-'
+SQL["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE b AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g, {_leaf('n_chars')} AS leaf, list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT)),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)) AS crc,
+    {_leaf('n_chars + 1')} AS touched FROM documents),
+p AS (
+  SELECT doc_id, g, leaf, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN touched ELSE leaf END AS claim,
+    row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM b),
+lo AS (
+  SELECT g, 0 AS lvl, pos, leaf AS d, n FROM p
+  UNION ALL SELECT g, lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2 FROM lo WHERE n > 1 GROUP BY g, lvl, pos // 2, n),
+q AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM lo WHERE n = 1),
+hi AS (
+  SELECT 0 AS lvl, pos, d, n FROM q
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2 FROM hi WHERE n > 1 GROUP BY lvl, pos // 2, n),
+u AS (
+  SELECT p.doc_id, p.leaf, p.claim, a.lvl, coalesce(CASE WHEN a.pos % 2 = 0 THEN 'R' ELSE 'L' END || s.d, '-') AS step
+  FROM p JOIN lo a ON a.g = p.g AND a.n > 1 AND a.pos = p.pos >> a.lvl LEFT JOIN lo s ON s.g = a.g AND s.lvl = a.lvl AND s.pos = xor(a.pos, 1)
+  UNION ALL SELECT p.doc_id, p.leaf, p.claim, 1000 + a.lvl, coalesce(CASE WHEN a.pos % 2 = 0 THEN 'R' ELSE 'L' END || s.d, '-')
+  FROM p JOIN q ON q.g = p.g JOIN hi a ON a.n > 1 AND a.pos = q.pos >> a.lvl LEFT JOIN hi s ON s.lvl = a.lvl AND s.pos = xor(a.pos, 1)),
+w AS (SELECT doc_id, list(step ORDER BY lvl) AS steps FROM u GROUP BY doc_id),
+f AS (
+  SELECT p.doc_id, p.leaf, q.d AS subroot, (SELECT d FROM hi WHERE n = 1) AS root,
+    sha256(array_to_string(list_transform(coalesce(steps, []), lambda s: substr(s, 2)), '')) AS proof_sha256,
+    list_reduce(list_prepend(p.claim, coalesce(steps, [])),
+      lambda t, s: sha256(CASE WHEN s[1] = 'L' THEN substr(s, 2) || t ELSE t || substr(s, 2) END)) AS folded_root
+  FROM p JOIN q ON q.g = p.g LEFT JOIN w ON w.doc_id = p.doc_id)
+SELECT *, folded_root = root AS verified FROM f"""
