@@ -133,7 +133,8 @@ class Subwords:
     """Ids of whole texts by a word-wise BPE file, with a bounded cache of pieces between spaces and line ends.
 
     The tokenizer normalises and splits at white space, so the ids of a text are those of its pieces in order. Plain
-    words with trailing marks go straight to the BPE model; every other piece takes the tokenizer's whole path.
+    words with trailing marks go straight to the BPE model; every other piece takes the tokenizer's whole path, which also
+    finds the file's added tokens (they hold no space, so none spans two pieces).
     """
 
     CACHE = 600_000
@@ -145,7 +146,6 @@ class Subwords:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.plain = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -12,6 +12,7 @@ carried along; repeated rows are packed one by one. An empty table gives an empt
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -104,23 +105,21 @@ def minimum_bin_slack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets, fills
 
 
-def pack_shards(pieces, capacity: int, round_no: int, shards: int):
-    """Deals the rows of a written table evenly over ``shards`` and packs each."""
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "fill")]
-    dealt = pieces.select(*names, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
+def pack_shards(lengths, capacity: int, round_no: int, shards: int):
+    """Deals numbered lengths evenly over ``shards``, anew in every round, and packs each."""
+    dealt = lengths.select("number", "length", F.pmod(F.xxhash64("number", F.lit(round_no)), F.lit(shards)).alias("shard"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         bins, offsets, fills = minimum_bin_slack(rows["length"].to_numpy(), capacity)
         base = (round_no << 56) + (int(rows["shard"].iloc[0]) << 16)
         return rows.drop(columns="shard").assign(sequence_id=base + bins, offset=offsets, fill=fills)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*names).schema)
-    return dealt.groupBy("shard").applyInPandas(pack, schema + ", sequence_id long, offset long, fill long")
+    return dealt.groupBy("shard").applyInPandas(pack, "number long, length long, sequence_id long, offset long, fill long")
 
 
-def pack_pieces(pieces, capacity: int = 4096, shard: int = SHARD):
-    """Pieces with ``sequence_id`` and ``offset``."""
-    done, loose = [], materialize(pieces, "pieces")
+def pack_lengths(lengths, capacity: int, shard: int):
+    """number, sequence_id and offset of each (number, length) of a written table."""
+    done, loose = [], lengths
     for round_no in range(ROUNDS):
         shards = max(1, -(-loose.count() // shard))
         placed = materialize(pack_shards(loose, capacity, round_no, shards), "packed")
@@ -129,10 +128,14 @@ def pack_pieces(pieces, capacity: int = 4096, shard: int = SHARD):
             break
         done.append(placed.where(F.col("fill") == capacity))
         loose = placed.where(F.col("fill") < capacity)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.drop("fill")
+    return reduce(lambda a, b: a.unionByName(b), done).select("number", "sequence_id", "offset")
+
+
+def pack_pieces(pieces, capacity: int = 4096, shard: int | None = None):
+    """Pieces with ``sequence_id`` and ``offset``. Only numbers and lengths are packed; the rest meets its place once."""
+    numbered = materialize(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    placed = pack_lengths(numbered.select("number", "length"), capacity, shard or SHARD)
+    return numbered.join(placed, "number").drop("number")
 
 
 def pack_documents(docs, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False):

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from llm_fixtures import document_rows, documents
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from flowlens.llm import chat, decontaminate, fingerprints, langid, lm, packing, pii, urls
 from flowlens.llm.common import Words, held_out, keyed, subwords, tokenizer_path
@@ -376,21 +377,21 @@ def test_every_window_is_trained_on(spark, text):
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 def test_subwords_of_odd_texts():
-    coder = subwords(tokenizer_path())
-    texts = [t or "" for _, t in document_rows()] + ["It's 3.5% — DON'T, ﬁne! İstanbul ΣΑΣ naïve naïve <|endoftext|> \x1c\x85\u2028 x", "ab\r\ncd\x00e", "“quote”, 漢字 😀!"]
+    coder, plain = subwords(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    texts = [t or "" for _, t in document_rows()] + ["It's 3.5% — DON'T, ﬁne! İstanbul ΣΑΣ naïve naïve <|endoftext|> \x1c\x85\u2028 x", "ab\r\ncd\x00e", "“quote”, 漢字 😀!",
+        "<|endoftext|>", "a<|endoftext|><|startoftext|>b.c <|ENDOFTEXT|> <|endoftext|", "e<|endoftext|>\u0301 \u0301x", "<|endof text|>"]
     ids, offsets = coder.encode(texts)
     for k, t in enumerate(texts):
-        assert ids[offsets[k]:offsets[k + 1]].tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids[offsets[k]:offsets[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
-def test_packing(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD", 16)
-    rows = document_rows()
-    got = packing.pack_pieces(packing.cut_documents(documents(spark), tokenizer_path(), 512), 512, 16).toPandas()
-    coder = subwords(tokenizer_path())
+def test_packing(spark):
+    rows = [*document_rows(), (500, "<|endoftext|> one <|startoftext|>two")]
+    got = packing.pack_pieces(packing.cut_documents(documents(spark, rows), tokenizer_path(), 512), 512, 16).toPandas()
+    plain = Tokenizer.from_file(tokenizer_path())
     want = Counter()
     for i, t in rows:
-        ids = [*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
         for k, a in enumerate(range(0, len(ids), 512)):
             part = ids[a:a + 512]
             want[i, k, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
