@@ -60,7 +60,7 @@ def fit_generalized(df: DataFrame, label: str, iterations: int = 100, depth: int
 
 
 def fit_multiclass(df: DataFrame, features: list[str], label: str, classes: list[str], trees: int = 100, depth: int = 8) -> PipelineModel:
-    """Spark's boosting is binary, so many classes use a weighted random forest."""
+    """A weighted random forest over many classes; ``boosting.fit_boosted`` is the boosted form."""
     xs = _safe(features)
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
     rows = with_class_weights(model_input(df, features), label).withColumn("y", index.cast("double")).where("y >= 0")
@@ -104,6 +104,13 @@ def score_multiclass(model: PipelineModel, df: DataFrame, dataset: str, features
     return D.decide_multiclass(probs, "probs", dataset).drop("probs")
 
 
+def score_boosted(model, df: DataFrame, dataset: str) -> DataFrame:
+    """Decisions of a boosted multiclass model (``boosting.fit_boosted``) over the dataset's classes."""
+    from flowlens.operators.boosting import boosted_probabilities
+
+    return D.decide_multiclass(boosted_probabilities(model, df, "probs"), "probs", dataset).drop("probs")
+
+
 def with_telemetry(scored: DataFrame, generalized: PipelineModel, trees) -> DataFrame:
     """Adds anomaly score and flag and the generalized model's opinion to every scored flow, in the same pass.
 

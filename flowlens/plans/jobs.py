@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens import schemas as SC
 from flowlens.operators import adapt as A
+from flowlens.operators import boosting as BO
 from flowlens.operators import flows as FL
 from flowlens.operators import forest as FO
 from flowlens.operators import models as M
@@ -69,6 +70,34 @@ def q_model_multiclass(spark, sf):
     return M.score_multiclass(model, rows, "cicids2017", SC.GENERALIZED_FEATURES).select("row_key", "prediction", "confidence", "risk_level")
 
 
+def class_rows(spark, sf):
+    """``lineitem`` as flows whose class follows from steps of two features, one row in nine mislabelled."""
+    line, names = V.table(spark, sf, "lineitem"), F.array(*[F.lit(c) for c in V.ACTUAL])
+    steps = F.floor(F.col("l_quantity") / 10) + F.floor(F.col("l_discount") * 50) + 2 * (F.col("l_returnflag") == "R").cast("int")
+    wrong = ((F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 9 == 0).cast("int")
+    held_out = F.crc32(F.encode(F.col("row_key"), "UTF-8")) % 4 == 0
+    rows = line.select(*V.flow_columns(), (F.col("l_discount") * 100).alias("loss"), F.get(names, ((steps + wrong) % 5).cast("int")).alias("actual"))
+    return rows.withColumn("held_out", held_out)
+
+
+CLASS_FEATURES = ["fwd_pkts", "bwd_pkts", "fwd_bytes", "duration", "dst_port", "loss"]
+
+
+@job
+def q_model_boosted(spark, sf):
+    """Held-out flows scored by boosted trees that learned from the others, saved and loaded again."""
+    rows = class_rows(spark, sf)
+    model = BO.fit_boosted(rows.where("not held_out"), CLASS_FEATURES, "actual", V.ACTUAL, rounds=12, depth=4, rate=0.3)
+    path = scratch_path(spark, "boosted-model")
+    BO.save(spark, model, path)
+    probs = BO.boosted_probabilities(BO.load(spark, path), rows.where("held_out"))
+    best = F.array_position("probs", F.array_max("probs")).cast("int") - 1
+    return probs.select(
+        "row_key", "actual", F.get(F.array(*[F.lit(c) for c in V.ACTUAL]), best).alias("prediction"),
+        F.round(F.array_max("probs"), 4).alias("confidence"),
+    )
+
+
 @job
 def q_model_telemetry(spark, sf):
     """Flows scored by the generalized model (saved and loaded again) with anomaly telemetry."""

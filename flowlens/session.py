@@ -38,7 +38,6 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.conf.set("spark.checkpoint.dir", LOCAL_SCRATCH)
     return LOCAL_SCRATCH
 
 
@@ -54,6 +53,34 @@ def materialize(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that live as long as a block: for steps that need each table only until the next one is written.
+
+    They lie in the warehouse, which all executors share, and are dropped one by one or when the block ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in list(self.names):
+            self.drop(name)
+
+    def write(self, df, name: str) -> str:
+        """The name of the written table."""
+        full = f"scratch_{name}_{uuid.uuid4().hex[:12]}"
+        df.write.saveAsTable(full)
+        self.names.append(full)
+        return full
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names.remove(name)
+
+
 def spread(df):
     """``df`` over all cores when its files come in fewer splits than there are cores; a large table stays as it is.
 
