@@ -31,7 +31,8 @@ def with_canonical_key(packets: DataFrame) -> DataFrame:
     )
 
 
-def _prepared(packets: DataFrame) -> tuple[DataFrame, list[str]]:
+def prepared(packets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Packets with nulls filled and their key, and the names of the key's columns."""
     capture = ["capture"] if "capture" in packets.columns else []
     zero = F.lit(0)
     rows = packets.select(
@@ -66,7 +67,7 @@ def assign_flows(
     Without ``block_rows`` each tuple is one block: fewer shuffles, for tables without very long conversations. Nothing
     in the plan depends on the table's size.
     """
-    rows, key = _prepared(packets)
+    rows, key = prepared(packets)
     single_block = block_rows is None
     block = key if single_block else key + ["block"]
     if not single_block:

@@ -41,18 +41,24 @@ def correlate(scored: DataFrame, order: str = "flow_seq") -> DataFrame:
     )
 
 
-def upsert(incidents: DataFrame, fresh: DataFrame) -> DataFrame:
-    """``fresh`` merged into ``incidents``: an open incident of the same (source, category) takes the counts, the
-    higher risk with its severity and the later time; everything else is kept, or added as new. Where several are open
-    for one (source, category), the first of them (by time, then id) takes it."""
-    keys = ["src_ip", "attack_category"]
-    is_open = F.col("status").isin(*SC.OPEN_STATUSES)
-    is_open = F.coalesce(is_open, F.lit(False))
-    takers = incidents.where(is_open).groupBy(*keys).agg(F.min_by("incident_id", F.struct("first_seen", "incident_id")).alias("incident_id"))
-    takes = incidents.join(takers.withColumn("takes", F.lit(True)), [*keys, "incident_id"], "left")
-    takes = takes.withColumn("takes", is_open & F.coalesce("takes", F.lit(False)))
-    closed = takes.where(~F.col("takes"))
-    both = takes.where("takes").drop("takes").alias("o").join(fresh.alias("n"), keys, "full_outer")
+KEYS = ["src_ip", "attack_category"]
+
+
+def same_key(left: str, right: str) -> Column:
+    """Equal sources and categories; null sources are equal too."""
+    return F.col(f"{left}.src_ip").eqNullSafe(F.col(f"{right}.src_ip")) & F.col(f"{left}.attack_category").eqNullSafe(F.col(f"{right}.attack_category"))
+
+
+def _split_takers(incidents: DataFrame) -> DataFrame:
+    """``incidents`` with ``takes``: is it the one that takes new flows of its (source, category)?"""
+    is_open = F.coalesce(F.col("status").isin(*SC.OPEN_STATUSES), F.lit(False))
+    takers = incidents.where(is_open).groupBy(*KEYS).agg(F.min_by("incident_id", F.struct("first_seen", "incident_id")).alias("incident_id"))
+    rows = incidents.join(takers.select("incident_id", F.lit(True).alias("takes")), "incident_id", "left")
+    return rows.withColumn("takes", is_open & F.coalesce("takes", F.lit(False)))
+
+
+def _merged(takers: DataFrame, fresh: DataFrame, how: str) -> DataFrame:
+    both = takers.alias("o").join(fresh.alias("n"), same_key("o", "n"), how)
 
     def old(c: str) -> Column:
         return F.col(f"o.{c}")
@@ -60,17 +66,31 @@ def upsert(incidents: DataFrame, fresh: DataFrame) -> DataFrame:
     def new(c: str) -> Column:
         return F.col(f"n.{c}")
 
+    known = old("incident_id").isNotNull()
     worse = new("risk_score") > F.coalesce(old("risk_score"), F.lit(-1.0))
-    merged = {c: F.coalesce(old(c), new(c)) for c in INCIDENT_COLUMNS if c not in keys}
+    merged = {c: F.coalesce(old(c), new(c)) for c in INCIDENT_COLUMNS}
     merged["flow_count"] = F.coalesce(old("flow_count"), F.lit(0)) + F.coalesce(new("flow_count"), F.lit(0))
     merged["risk_score"] = F.when(worse, new("risk_score")).otherwise(old("risk_score"))
     merged["severity"] = F.when(worse, new("severity")).otherwise(old("severity"))
     merged["last_seen"] = F.greatest(old("last_seen"), new("last_seen"))
     merged["first_seen"] = F.least(old("first_seen"), new("first_seen"))
     # a new incident's notes may be null; an existing one keeps its own
-    merged["notes"] = F.when(old("incident_id").isNotNull(), old("notes")).otherwise(new("notes"))
-    open_rows = both.select(*[(merged[c] if c in merged else F.col(c)).alias(c) for c in INCIDENT_COLUMNS])
-    return open_rows.unionByName(closed.select(*INCIDENT_COLUMNS))
+    merged["notes"] = F.when(known, old("notes")).otherwise(new("notes"))
+    return both.select(*[merged[c].alias(c) for c in INCIDENT_COLUMNS])
+
+
+def upsert(incidents: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``fresh`` merged into ``incidents``: an open incident of the same (source, category) takes the counts, the
+    higher risk with its severity and the later time; everything else is kept, or added as new. Where several are open
+    for one (source, category), the first of them (by time, then id) takes it."""
+    rows = _split_takers(incidents)
+    merged = _merged(rows.where("takes"), fresh, "full_outer")
+    return merged.unionByName(rows.where("not takes").select(*INCIDENT_COLUMNS))
+
+
+def changed(incidents: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Of ``upsert`` only the incidents that ``fresh`` changes or adds."""
+    return _merged(_split_takers(incidents).where("takes"), fresh, "right_outer")
 
 
 def triage(incidents: DataFrame, updates: DataFrame) -> DataFrame:

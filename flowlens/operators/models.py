@@ -127,6 +127,19 @@ def with_telemetry(scored: DataFrame, generalized: PipelineModel, trees) -> Data
     }).drop("_g")
 
 
+def stream_scorer(spark: SparkSession, model_path: str, forest_path: str):
+    """The scoring step of a stream: model and forest are read once, when the stream starts, and applied to each batch."""
+    from flowlens.operators.flows import generalized_columns, header_columns
+
+    model, trees = load(model_path), FO.load(spark.read.parquet(forest_path))
+
+    def score(closed: DataFrame) -> DataFrame:
+        rows = closed.select("flow_seq", *header_columns(), *generalized_columns())
+        return with_telemetry(score_binary(model, rows, "generalized", missing="null"), model, trees)
+
+    return score
+
+
 def single_row(spark: SparkSession, features: dict, required: list[str]) -> DataFrame:
     """One flow given as a dict, absent or bad features 0.0: input of the same operators as a whole table."""
     from flowlens.operators.adapt import lenient_features

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens import schemas as SC
+from flowlens.functions import scalars as S
 from flowlens.operators import adapt as A
 from flowlens.operators import boosting as BO
 from flowlens.operators import flows as FL
@@ -146,25 +147,77 @@ def q_stream_split(spark, sf):
     )
 
 
-def score_stream(batch):
-    """The deterministic scorer in a micro-batch, from the columns the flow stream delivers."""
-    from flowlens.operators import decide as D
-
-    rows = batch.select("flow_seq", *FL.header_columns(), *FL.generalized_columns()).withColumn("p", D.logistic_probability())
-    rows = D.decide_binary(rows, "p", "generalized").drop("p")
-    return rows.withColumns({"anomaly_score": F.lit(0.1), "is_anomaly": F.lit(False)})
+def _parts(spark, sf, view, parts: int = 3):
+    """Packets in arrival order, in parts, then the drain row: what a stream is fed step by step."""
+    packets = view(spark, sf)
+    end = packets.agg((F.max("packet_seq") + 1).alias("n")).scalar()
+    for i in range(parts):
+        yield packets.where(F.floor(F.col("packet_seq") * parts / end) == i)
+    yield ST.drain_packet(spark)
+
+
+def fed_monitor(spark, sf, score, session_id: str = "mon-1", lateness: str = "1 day", view=V.packets) -> Monitor:
+    """A monitor after a stream that was stopped and went on between the parts of its packets."""
+    monitor = Monitor(spark, scratch_path(spark, "monitor"), score, session_id)
+    source = scratch_path(spark, "packet-stream")
+    for part in _parts(spark, sf, view):
+        part.write.mode("append").parquet(source)
+        flows = ST.stream_flows(packet_stream(spark, source), V.IDLE_SECONDS, lateness, with_late=True)
+        query = monitor.start(flows, available_now=True)
+        query.awaitTermination()
+    monitor.stop(query)
+    return monitor
 
 
 @job
 def q_stream_incidents(spark, sf):
-    """Micro-batches scored, stored and merged into incident snapshots; the last snapshot is returned."""
-    root = scratch_path(spark, "monitor")
-    monitor = Monitor(spark, root, score_stream, "mon-1")
-    flows = ST.stream_flows(packet_stream(spark, _stream_source(spark, sf)), V.IDLE_SECONDS, "1 day")
-    query = monitor.start(flows, available_now=True)
-    query.awaitTermination()
-    monitor.stop(query)
-    return monitor.incidents().select("incident_id", "src_ip", "attack_category", "flow_count", "severity", "risk_score")
+    """Micro-batches scored, stored and merged into the incident store, as the store is after the last one."""
+    found = fed_monitor(spark, sf, V.score_flows).incidents()
+    return found.select("title", "src_ip", "attack_category", "flow_count", "severity", "risk_score", S.iso_time(F.col("first_seen")).alias("first_seen"),
+                        S.iso_time(F.col("last_seen")).alias("last_seen"))
+
+
+@job
+def q_stream_counters(spark, sf):
+    """Counters of a session as its micro-batches wrote them."""
+    return fed_monitor(spark, sf, V.score_flows).live_counters()
+
+
+@job
+def q_stream_recent(spark, sf):
+    """The newest flows that a running monitor keeps at hand."""
+    return fed_monitor(spark, sf, V.score_flows).recent(50).select("flow_seq", "src_ip", "prediction", S.iso_time(F.col("timestamp")).alias("timestamp"))
+
+
+@job
+def q_stream_scores(spark, sf):
+    """A stream scored by the generalized model and the isolation forest, both read from their files once."""
+    train, root = _generalized(spark, sf), scratch_path(spark, "models")
+    M.save(M.fit_generalized(train, "is_bad", iterations=5, depth=4), f"{root}/model")
+    FO.fit(train, SC.GENERALIZED_FEATURES, key="row_key").write.parquet(f"{root}/forest")
+    stored = fed_monitor(spark, sf, M.stream_scorer(spark, f"{root}/model", f"{root}/forest")).flows()
+    return stored.select("flow_seq", "prediction", "risk_score", "anomaly_score", "is_anomaly", "generalized_prob", "generalized_prediction")
+
+
+def delayed_packets(spark, sf):
+    """Packets that arrive out of order: one in five 37 places late, one in 101 far later."""
+    seq = F.col("packet_seq")
+    delay = F.when(seq % 101 == 0, 1500).when(seq % 5 == 0, 37).otherwise(0)
+    return V.packets(spark, sf).withColumn("packet_seq", (seq + delay) * 4096 + seq % 4096)
+
+
+@job
+def q_stream_gaps(spark, sf):
+    """Gap statistics of a stream whose packets arrive out of order over several micro-batches, and its late packets."""
+    source, out, check = (scratch_path(spark, x) for x in ("packet-stream", "stream-flows", "stream-check"))
+    for part in _parts(spark, sf, delayed_packets, 4):
+        part.write.mode("append").parquet(source)
+        flows = ST.stream_flows(packet_stream(spark, source), 3650 * 86_400.0, "1 day", with_late=True)
+        flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    names = [f"{side}gap_{m}" for side in ("", "fwd_", "bwd_") for m in ("min", "max", "mean", "total")] + ["first_fwd_gap"]
+    return spark.read.parquet(out).select(
+        "flow_seq", "termination_reason", "packets", "bytes", *[F.round(F.col(n) / 1e6, 2).alias(n) for n in names]
+    )
 
 
 @job

@@ -279,18 +279,35 @@ CTE["split"] = (["labelled"], """
     count(*) OVER (PARTITION BY actual) AS n FROM labelled)""")
 
 
-def sql(body: str, *names: str) -> str:
+def sql(body: str, *names: str, instead: dict[str, tuple[list[str], str]] | None = None) -> str:
+    """``body`` over the named table expressions; ``instead`` puts others in their place."""
     order: list[str] = []
+    defined = CTE | (instead or {})
 
     def add(name: str) -> None:
         if name not in order:
-            for needed in CTE[name][0]:
+            for needed in defined[name][0]:
                 add(needed)
             order.append(name)
 
     for name in names:
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS ({defined[n][1]})" for n in order) + "\n" + body
+
+
+# flows split at idle times: the segments, cut once more
+IDLE_FLOWS = {"segments": (["raw_segments"], """
+  SELECT * EXCLUDE (seg, seen), seg * 1000000 + sum(CASE WHEN t - seen >= 86400000000 THEN 1 ELSE 0 END) OVER (
+      PARTITION BY ip_a, ip_b, port_a, port_b, proto, seg ORDER BY packet_seq) AS seg
+  FROM (SELECT *, max(t) OVER (PARTITION BY ip_a, ip_b, port_a, port_b, proto, seg ORDER BY packet_seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM raw_segments)"""), "raw_segments": CTE["segments"]}
+# packets that arrive out of order in four parts; one is late when a day older than the newest of an earlier part
+DELAYED = {"in_order": CTE["packets"], "arriving": (["in_order"], """
+  SELECT * REPLACE ((packet_seq + CASE WHEN packet_seq % 101 = 0 THEN 1500 WHEN packet_seq % 5 = 0 THEN 37 ELSE 0 END) * 4096
+      + packet_seq % 4096 AS packet_seq) FROM in_order"""), "dealt": (["arriving"], """
+  SELECT *, floor(packet_seq * 4 / (SELECT max(packet_seq) + 1 FROM arriving)) AS part FROM arriving"""), "judged": (["dealt"], """
+  SELECT *, coalesce(t <= (max(t) OVER (ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) // 1000 * 1000 - 86400000000, false) AS late
+  FROM dealt"""), "packets": (["judged"], "SELECT * FROM judged WHERE NOT late")}
 
 
 def iso(column: str, name: str | None = None) -> str:
@@ -651,6 +668,14 @@ def all_sql() -> dict[str, str]:
     q["q_flow_blocks"], q["q_gap_buckets"] = q["q_flow_idle_split"], q["q_packet_gaps"]
     q["q_result_sample"] = sql("SELECT flow_id, prediction, risk_score FROM scored", "scored")
     q["q_stored_flows"] = sql("SELECT flow_id, src_ip, prediction FROM (SELECT * FROM scored WHERE source_type = 'pcap' ORDER BY ts DESC, flow_id LIMIT 50)", "scored")
+    # streams
+    q["q_stream_incidents"] = sql("SELECT title, src_ip, attack_category, flow_count, severity, risk_score, " + iso("first_seen") + ", " + iso("last_seen") + " FROM incidents", "incidents", instead=IDLE_FLOWS)
+    q["q_stream_counters"] = sql("""SELECT CAST(sum(packets) AS BIGINT) AS packets, count(*) AS flows, count(*) FILTER (WHERE is_attack) AS attacks, count(*) FILTER (WHERE is_anomaly) AS anomalies,
+      count(*) FILTER (WHERE risk_level IN ('High', 'Critical')) AS high_risk, 0 AS late FROM scored""", "scored", instead=IDLE_FLOWS)
+    q["q_stream_recent"] = sql("SELECT flow_seq, src_ip, prediction, " + iso("ts", "timestamp") + " FROM (SELECT * FROM scored ORDER BY ts DESC, flow_id LIMIT 50)", "scored", instead=IDLE_FLOWS)
+    gaps = [f"{side}gap_{m}" for side in ("", "fwd_", "bwd_") for m in ("min", "max", "mean", "total")] + ["first_fwd_gap"]
+    q["q_stream_gaps"] = sql(f"""SELECT flow_seq, reason AS termination_reason, packets, bytes, {", ".join(f"round({g} / 1000000.0, 2) AS {g}" for g in gaps)} FROM flows
+      UNION ALL SELECT packet_seq, 'late', 1, pkt_len, {", ".join(["NULL"] * len(gaps))} FROM judged WHERE late""", "flows", instead=DELAYED)
     q["q_exported_flows"], q["q_stream_split"] = q["q_export"], q["q_flow_idle_split"]
     return q
 

@@ -124,7 +124,12 @@ def labelled_columns() -> list[Column]:
 
 def scored(spark: SparkSession, sf_dir: str, idle_timeout: float | None = None) -> DataFrame:
     """Flows of ``packets`` with the deterministic scorer's decisions."""
-    base = flows(spark, sf_dir, idle_timeout).select("flow_seq", *FL.header_columns(), *FL.generalized_columns())
+    return score_flows(flows(spark, sf_dir, idle_timeout))
+
+
+def score_flows(closed: DataFrame) -> DataFrame:
+    """Flows of a table or of a micro-batch with the deterministic scorer's decisions."""
+    base = closed.select("flow_seq", *FL.header_columns(), *FL.generalized_columns())
     p = D.logistic_probability()
     port = F.col("dst_port")
     category = (

@@ -1,11 +1,13 @@
 """Packet streams to flows: one small state per open flow, closed by FIN/RST, silence or the final drain.
 
-The state is a fixed-size record (counts, moments, extremes, last times), whatever the flow's length. Packets of a
-micro-batch are put in arrival order per key and folded in with array operations per flow, not per packet. How much one
-key may hold at once is bounded by the source's trigger options (files or offsets per batch).
-
-Differences from the batch form: packets later than the watermark are dropped by Spark, and a packet older than the
-flow's last one from an earlier batch counts as arriving together with it (gap 0).
+The state is a fixed-size record (counts, moments, extremes, last times) and the times of the packets that wait in a
+reorder buffer. Packets of a micro-batch are put in arrival order per key and folded in with array operations per flow,
+not per packet. Gaps are taken in time order: a packet's time waits until the watermark has passed it, when no older packet
+can follow, or until its flow ends; so gaps are those of the batch form, whatever the micro-batches. The buffer holds the
+packets of ``lateness``, eight bytes each. How much one key may hold at once is bounded by the source's trigger options.
+
+A packet that is not newer than the watermark of its micro-batch is late. It joins no flow and is put out by itself, with
+``termination_reason`` ``late``; ``late_packets`` and ``on_time`` tell the two apart.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens.functions.scalars import FLAG_BITS
-from flowlens.operators.flows import KEY, with_canonical_key
+from flowlens.operators.flows import KEY, prepared
 from flowlens.session import STATE_STORE
 
 # watermarks beyond this instant mean the stream is being drained (2200-01-01)
@@ -35,7 +37,7 @@ FIELDS = COUNTERS + [f"{g}_{m}" for g in GROUPS for m in MOMENTS] + LAST + ["fir
 INDEX = {name: i for i, name in enumerate(FIELDS)}
 
 # ``a_opens``: the initiator is the lower endpoint of the key
-STATE_SCHEMA = "flow_seq long, start_t long, last_t long, a_opens boolean, stats array<double>"
+STATE_SCHEMA = "flow_seq long, start_t long, last_t long, a_opens boolean, stats array<double>, waiting array<long>, waiting_fwd array<boolean>"
 STAT_NAMES = [f"{s}{k}_{m}" for k in ("len", "gap") for s in SIDES for m in ("min", "max", "mean", "std")]
 OUTPUT_SCHEMA = (
     "proto string, flow_seq long, fwd_packets long, bwd_packets long, fwd_bytes long, bwd_bytes long, fwd_header long, "
@@ -70,32 +72,64 @@ def add_moments(stats: np.ndarray, group: str, values: np.ndarray) -> None:
 
 
 def fold(stats: np.ndarray, p: dict[str, np.ndarray], fwd: np.ndarray) -> None:
-    """Folds packets of one flow (arrival order) into its statistics."""
+    """Folds packets of one flow (arrival order) into its counts and lengths."""
     for side, rows in (("", slice(None)), ("fwd_", fwd), ("bwd_", ~fwd)):
         add_moments(stats, f"{side}len", p["pkt_len"][rows].astype(float))
-        times = np.sort(p["t"][rows])
+        if side and len(p["t"][rows]):
+            stats[INDEX[f"{side}header"]] += p["header_len"][rows].sum()
+            windows = p["win_size"][rows]
+            if stats[INDEX[f"{side}window"]] == 0 and (windows > 0).any():
+                stats[INDEX[f"{side}window"]] = windows[windows > 0][0]
+    for name, bit in FLAG_BITS.items():
+        stats[INDEX[f"{name}_count"]] += np.count_nonzero(p["tcp_flags"] & bit)
+
+
+def fold_gaps(stats: np.ndarray, t: np.ndarray, fwd: np.ndarray) -> None:
+    """Folds times in, none of them before those folded in earlier, as gaps of the flow and of its directions."""
+    order = np.argsort(t, kind="stable")
+    t, fwd = t[order], fwd[order]
+    for side, rows in (("", slice(None)), ("fwd_", fwd), ("bwd_", ~fwd)):
+        times = t[rows]
         if not len(times):
             continue
         last = stats[INDEX[f"{side}last"]]
-        if not np.isnan(last):
-            times = np.maximum(times, last)
-            gaps = np.diff(times, prepend=last)
-        else:
-            gaps = np.diff(times)
+        gaps = np.diff(times) if np.isnan(last) else np.diff(times, prepend=last)
         if side == "fwd_" and stats[INDEX["fwd_gap_n"]] == 0 and len(gaps):
             stats[INDEX["first_fwd_gap"]] = gaps[0]
         add_moments(stats, f"{side}gap", gaps.astype(float))
         stats[INDEX[f"{side}last"]] = times[-1]
-        if side:
-            stats[INDEX[f"{side}header"]] += p["header_len"][rows].sum()
-            windows = p["win_size"][rows]
-            if stats[INDEX[f"{side}window"]] == 0 and (windows > 0).any():
-                stats[INDEX[f"{side}window"]] = windows[windows > 0][0]
-    for name, bit in FLAG_BITS.items():
-        stats[INDEX[f"{name}_count"]] += np.count_nonzero(p["tcp_flags"] & bit)
 
 
-def closed_flow(key: tuple, flow: tuple, stats: np.ndarray, reason: str) -> dict:
+class Waiting:
+    """Times of a flow's packets that the watermark has not passed."""
+
+    def __init__(self, t=(), fwd=()):
+        self.t, self.fwd = [np.array(t, np.int64)], [np.array(fwd, bool)]
+
+    def add(self, t: np.ndarray, fwd: np.ndarray) -> None:
+        self.t.append(t)
+        self.fwd.append(fwd)
+
+    def release(self, stats: np.ndarray, until: int | None = None) -> None:
+        """Folds in what is not newer than ``until`` (None: everything) and keeps the rest."""
+        t, fwd = np.concatenate(self.t), np.concatenate(self.fwd)
+        go = np.ones(len(t), bool) if until is None else t <= until
+        fold_gaps(stats, t[go], fwd[go])
+        self.t, self.fwd = [t[~go]], [fwd[~go]]
+
+
+def late_packet(key: tuple, p: dict[str, np.ndarray], from_a: np.ndarray, i: int) -> dict:
+    """A late packet in the columns of flows; what a lone packet does not have is null."""
+    ends = (key[0], key[1], key[2], key[3]) if from_a[i] else (key[1], key[0], key[3], key[2])
+    out = dict(zip(("src_ip", "dst_ip", "src_port", "dst_port"), ends, strict=True))
+    return out | {
+        "proto": key[4], "flow_seq": int(p["packet_seq"][i]), "timestamp": pd.Timestamp(int(p["t"][i]), unit="us", tz="UTC"),
+        "packets": 1, "bytes": int(p["pkt_len"][i]), "termination_reason": "late", "is_terminated": False,
+    }
+
+
+def closed_flow(key: tuple, flow: tuple, stats: np.ndarray, waiting: Waiting, reason: str) -> dict:
+    waiting.release(stats)
     flow_seq, start_t, last_t, a_opens = flow
     ip_a, ip_b, port_a, port_b, _proto = key
     src_ip, dst_ip, src_port, dst_port = (ip_a, ip_b, port_a, port_b) if a_opens else (ip_b, ip_a, port_b, port_a)
@@ -143,12 +177,16 @@ class FlowProcessor(StatefulProcessor):
         arrival = np.argsort(p["packet_seq"], kind="stable")
         p = {c: v[arrival] for c, v in p.items()}
         from_a = p.pop("from_a")
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        late = p["t"] <= passed if passed > 0 else np.zeros(len(from_a), bool)
+        done = [late_packet(key, p, from_a, i) for i in np.flatnonzero(late)]
+        p, from_a = {c: v[~late] for c, v in p.items()}, from_a[~late]
         size = len(from_a)
-        flow, stats = None, None
+        if not size:
+            return self._rows(done)
+        flow, stats, waiting = None, None, None
         if self.open.exists():
-            saved = self.open.get()
-            flow, stats = tuple(saved[:4]), np.array(saved[4], dtype=float)
-        done = []
+            flow, stats, waiting = self._saved()
         terms = np.flatnonzero(p["tcp_flags"] & 5)
         start = 0
         for end in [*(terms + 1), size]:
@@ -159,69 +197,96 @@ class FlowProcessor(StatefulProcessor):
                     before = np.maximum(before, flow[2])
                 silent = np.flatnonzero(p["t"][start:end] - before >= self.idle)
                 if flow and len(silent) and silent[0] == 0:
-                    done.append(closed_flow(key, flow, stats, "inactivity_timeout"))
+                    done.append(closed_flow(key, flow, stats, waiting, "inactivity_timeout"))
                     flow, stats = None, None
                     continue
                 stop = start + int(silent[0]) if len(silent) else end
                 if flow is None:
                     flow = (int(p["packet_seq"][start]), int(p["t"][start]), int(p["t"][start]), bool(from_a[start]))
-                    stats = fresh_stats()
+                    stats, waiting = fresh_stats(), Waiting()
                 part = slice(start, stop)
                 fwd = from_a[part] == flow[3]
                 fold(stats, {k: v[part] for k, v in p.items()}, fwd)
+                waiting.add(p["t"][part], fwd)
                 flow = (*flow[:2], max(flow[2], int(p["t"][part].max())), *flow[3:])
                 if stop < end:
-                    done.append(closed_flow(key, flow, stats, "inactivity_timeout"))
+                    done.append(closed_flow(key, flow, stats, waiting, "inactivity_timeout"))
                     flow, stats = None, None
                 start = stop
             if flow is not None and end and p["tcp_flags"][end - 1] & 5:
                 flags = int(p["tcp_flags"][end - 1])
-                done.append(closed_flow(key, flow, stats, "tcp_fin" if flags & 1 else "tcp_rst"))
+                done.append(closed_flow(key, flow, stats, waiting, "tcp_fin" if flags & 1 else "tcp_rst"))
                 flow, stats = None, None
-        self._keep(flow, stats)
+        if flow is not None and passed > 0:
+            waiting.release(stats, passed)
+        self._keep(flow, stats, waiting)
         return self._rows(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.open.exists():
             return iter([])
-        saved = self.open.get()
+        flow, stats, waiting = self._saved()
         draining = timerValues.getCurrentWatermarkInMs() >= DRAIN_MILLIS
         reason = "active" if draining else "inactivity_timeout"
         self.open.clear()
-        return self._rows([closed_flow(key, tuple(saved[:4]), np.array(saved[4], dtype=float), reason)])
+        return self._rows([closed_flow(key, flow, stats, waiting, reason)])
+
+    def _saved(self) -> tuple[tuple, np.ndarray, Waiting]:
+        saved = self.open.get()
+        return tuple(saved[:4]), np.array(saved[4], dtype=float), Waiting(saved[5], saved[6])
 
-    def _keep(self, flow: tuple | None, stats: np.ndarray | None) -> None:
+    def _keep(self, flow: tuple | None, stats: np.ndarray | None, waiting: Waiting | None) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if flow is None:
             self.open.clear()
             return
-        self.open.update((*flow, stats.tolist()))
+        self.open.update((*flow, stats.tolist(), np.concatenate(waiting.t).tolist(), np.concatenate(waiting.fwd).tolist()))
         self.handle.registerTimer(-(-(flow[2] + self.idle) // 1000))
 
     @staticmethod
     def _rows(done: list[dict]) -> Iterator[pd.DataFrame]:
-        return iter([pd.DataFrame(done, columns=OUTPUT_COLUMNS)]) if done else iter([])
+        if not done:
+            return iter([])
+        # objects, so that whole numbers and nulls stand beside each other
+        frame = pd.DataFrame({c: pd.Series([r.get(c) for r in done], dtype=object) for c in OUTPUT_COLUMNS})
+        frame["timestamp"] = pd.to_datetime(frame["timestamp"], utc=True)
+        return iter([frame])
 
 
 PACKET_FIELDS = ["packet_seq", "t", "pkt_len", "tcp_flags", "win_size", "header_len", "from_a"]
 OUTPUT_COLUMNS = [part.split()[0] for part in OUTPUT_SCHEMA.split(", ")]
 
 
-def stream_flows(packets: DataFrame, idle_timeout: float = 3.0, lateness: str = "1 second") -> DataFrame:
-    """Completed flows of a packet stream, in the columns of the batch form."""
+def stream_flows(packets: DataFrame, idle_timeout: float = 3.0, lateness: str = "1 second", with_late: bool = False) -> DataFrame:
+    """Completed flows of a packet stream, in the columns of the batch form; ``with_late``: and the late packets.
+
+    Null fields are filled as in the batch form; packets without a time cannot be placed and are left out.
+    """
     spark = packets.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = packets.withWatermark("ts", lateness)
-    keyed = with_canonical_key(rows).select(
-        *KEY, "ts", "packet_seq", F.unix_micros("ts").alias("t"), "pkt_len", "tcp_flags", "win_size", "header_len",
+    # the time goes on as a number: Spark drops late rows unseen where the time column itself reaches the state
+    rows, _ = prepared(packets.where("ts is not null").withWatermark("ts", lateness))
+    keyed = rows.select(
+        *KEY, "packet_seq", "t", "pkt_len", "tcp_flags", "win_size", "header_len",
         ((F.col("src_ip") == F.col("ip_a")) & (F.col("src_port") == F.col("port_a"))).alias("from_a"),
     )
     flows = keyed.groupBy(*KEY).transformWithStateInPandas(
         FlowProcessor(idle_timeout), outputStructType=OUTPUT_SCHEMA, outputMode="append", timeMode="eventTime",
     )
-    return with_flow_id(flows)
+    return with_flow_id(flows if with_late else on_time(flows))
+
+
+def on_time(flows: DataFrame) -> DataFrame:
+    return flows.where("termination_reason <> 'late'")
+
+
+def late_packets(flows: DataFrame) -> DataFrame:
+    """Packets that came after the watermark had passed them."""
+    return flows.where("termination_reason = 'late'").select(
+        F.col("flow_seq").alias("packet_seq"), "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "proto", F.col("bytes").alias("pkt_len")
+    )
 
 
 def with_flow_id(flows: DataFrame) -> DataFrame:
