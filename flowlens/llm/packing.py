@@ -34,19 +34,23 @@ def cut_documents(docs, tokenizer: str, capacity: int = 4096, end_id: int = 1, w
 
     def cut(batches):
         coder = subwords(tokenizer)
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for first, texts in text_chunks(batch, "text"):
-                ids, offsets = coder.encode([t.decode() for t in texts])
-                rows = [[] for _ in schema]
-                for i in range(len(texts)):
-                    own = np.append(ids[offsets[i]:offsets[i + 1]], end_id).astype("<u4")
-                    for piece, start in enumerate(range(0, len(own), capacity)):
-                        part = own[start:start + capacity]
-                        row = [doc_ids[first + i], piece, start, len(part), zlib.crc32(part.tobytes()), part]
-                        for column, value in zip(rows, row, strict=False):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+        try:
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                for first, texts in text_chunks(batch, "text"):
+                    ids, offsets = coder.encode([t.decode() for t in texts])
+                    rows = [[] for _ in schema]
+                    for i in range(len(texts)):
+                        own = np.append(ids[offsets[i]:offsets[i + 1]], end_id).astype("<u4")
+                        for piece, start in enumerate(range(0, len(own), capacity)):
+                            part = own[start:start + capacity]
+                            row = [doc_ids[first + i], piece, start, len(part), zlib.crc32(part.tobytes()), part]
+                            for column, value in zip(rows, row, strict=False):
+                                column.append(value)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+        finally:
+            # the worker goes on to other tasks; its cache would stay beside their data
+            coder.reset()
 
     types = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, types)
