@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import materialize
+
 SLICE_ROWS = 1 << 20
 MAX_SLICES = 1 << 20
 
@@ -42,3 +44,19 @@ def hashed_rank(df: DataFrame, group: str, key: str, slices: int | None = None)
         .withColumn("rank", F.col("_before") + F.col("_at"))
         .drop("_hash", "_slice", "_at", "_before")
     )
+
+
+def sums_before(df: DataFrame, order: list, values: list[str], name: str = "ordered") -> DataFrame:
+    """Adds ``<value>_before``: the sum of each of ``values`` over all rows that come earlier in ``order``.
+
+    Rows are range partitioned at sampled split points, so values of any scale spread evenly and no task orders them all; the
+    partitions' sums are one small row each. The ordered rows are written once, so that both passes see the same ranges.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), name)
+    parts = rows.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values])
+    earlier = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}") for v in values])
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = {f"{v}_before": F.col(f"_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}
+    return rows.join(parts, "_part").withColumns(ahead).drop("_part", "_row", *[f"_{v}" for v in values])

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
 from flowlens.functions.quantiles import exact_quantiles, quantile_row
-from flowlens.functions.ranks import hashed_rank
+from flowlens.functions.ranks import hashed_rank, sums_before
 
 WEIGHT_CAP = 20.0
 HUNDREDTHS = 100
 #: Ranges of scores (between 0 and 1) that are ordered apart.
-AUC_RANGES = 10_000
 
 
 def _n() -> Column:
@@ -156,6 +155,24 @@ def threshold_sweep(df: DataFrame, positive: Column, score: str, start: int, sto
     return with_rates(cells, digits)
 
 
+def sweep_at(df: DataFrame, positive: Column, score: str, thresholds: list[float], digits: int = 6) -> DataFrame:
+    """Metrics at given thresholds on scores of any scale. Rows are counted once, by the thresholds that they reach."""
+    limits = sorted(set(thresholds))
+    reached = sum((F.col(score) >= t).cast("int") for t in limits)
+    counts = df.where(F.col(score).isNotNull()).groupBy(reached.alias("reached")).agg(
+        F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
+    )
+    # one row a threshold meets at most one row a count of reached thresholds
+    grid = df.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(limits)], "place int, threshold double")
+    hit = F.col("reached") >= F.col("place")
+    every = counts.agg(F.collect_list(F.struct("reached", "pos", "neg")).alias("c")).scalar()
+    cells = grid.withColumn("c", F.explode(F.coalesce(every, F.array()))).select("place", "threshold", "c.*").groupBy("threshold").agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"), F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"),
+    )
+    return with_rates(cells, digits)
+
+
 def best_threshold(sweep: DataFrame) -> DataFrame:
     """The threshold of the highest F1, the highest of them on a tie."""
     best = F.max(F.struct("f1", "threshold"))
@@ -201,19 +218,14 @@ def classwise_risk(df: DataFrame, normal: str = "BENIGN") -> DataFrame:
 def roc_auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums over distinct scores, ties counted half.
 
-    Distinct scores are ordered inside ten thousand ranges of scores; the positives above a range come from the ranges'
-    totals, so no task orders them all.
+    Scores may have any scale (probabilities, log odds, isolation scores): ranges are cut at sampled scores.
     """
     value = F.col(score).cast("double")
     counts = df.where(value.isNotNull()).groupBy(value.alias("s")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
-    ).withColumn("range", F.greatest(F.lit(0), F.least(F.lit(AUC_RANGES), F.floor(F.col("s") * AUC_RANGES))).cast("int"))
-    ranges = counts.groupBy("range").agg(F.sum("pos").alias("range_pos"))
-    over = Window.partitionBy(F.lit(1)).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("range", F.coalesce(F.sum("range_pos").over(over), F.lit(0)).alias("over"))
-    inside = Window.partitionBy("range").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("ahead", F.coalesce(F.sum("pos").over(inside), F.lit(0))).join(ranges, "range")
-    pairs = ranked.select("pos", "neg", (F.col("neg") * (F.col("over") + F.col("ahead") + F.col("pos") / 2.0)).alias("won"))
+    )
+    ranked = sums_before(counts, [F.col("s").desc()], ["pos"], "scores")
+    pairs = ranked.select("pos", "neg", (F.col("neg") * (F.col("pos_before") + F.col("pos") / 2.0)).alias("won"))
     return pairs.agg(F.round(S.ratio(F.sum("won"), F.sum("pos") * F.sum("neg")), 6).alias("roc_auc"))
 
 

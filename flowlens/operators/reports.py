@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens import schemas as SC
@@ -131,6 +131,34 @@ def page(predictions: DataFrame, number: int, size: int) -> DataFrame:
     return rows.withColumns({"record_id": place + skip, "warning": S.is_high_risk(F.col("risk_level"))})
 
 
+def page_index(predictions: DataFrame, path: str, rows_per_range: int = 100_000) -> None:
+    """Writes the history in page order, newest first, for ``deep_page``: ``rows/range=<n>`` and a small table ``ranges``
+    with the number of rows before each range. Ranges are cut at sampled times, so none grows with the table."""
+    order = [F.col("timestamp").desc(), F.col("prediction_id")]
+    ranges = max(1, -(-predictions.count() // rows_per_range))
+    ranged = predictions.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
+    # an empty history has columns, too
+    predictions.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/rows/range=-1")
+    counts = predictions.sparkSession.read.parquet(f"{path}/rows").groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts.withColumn("before", F.coalesce(before, F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+
+
+def deep_page(spark: SparkSession, path: str, number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 1) of an indexed history: reads the ranges that hold the page, in most cases one,
+    whatever the page's number."""
+    skip = (number - 1) * size
+    hit = (F.col("before") < skip + size) & (F.col("before") + F.col("n") > skip)
+    held = spark.read.parquet(f"{path}/ranges").where(hit).orderBy("range").collect()
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("range").isin([r["range"] for r in held]))
+    order = [F.col("timestamp").desc(), F.col("prediction_id")]
+    first = held[0]["before"] if held else 0
+    rows = rows.orderBy(*order).offset(max(0, skip - first)).limit(size)
+    place = F.row_number().over(Window.orderBy(*order)) + skip
+    return rows.drop("range").withColumns({"record_id": place, "warning": S.is_high_risk(F.col("risk_level"))})
+
+
 def analysis_summary(predictions: DataFrame, limit: int | None = None) -> DataFrame:
     """Counts over all predictions, or over the newest ``limit``."""
     rows = predictions if limit is None else recent(predictions, "timestamp", "prediction_id", limit)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens import schemas as SC
 from flowlens.functions import scalars as S
+from flowlens.functions import sketches as SKE
 from flowlens.operators import adapt as A
 from flowlens.operators import audit as AU
 from flowlens.operators import decide as D
@@ -21,7 +22,7 @@ from flowlens.operators import reports as R
 from flowlens.operators import rules as RU
 from flowlens.plans import views as V
 from flowlens.plans.mapping import split_labels
-from flowlens.session import materialize
+from flowlens.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -677,6 +678,15 @@ def q_paging(spark, sf):
     return rows.select(F.col("record_id").cast("long").alias("record_id"), "prediction_id", "warning", "risk_score")
 
 
+@query
+def q_paging_deep(spark, sf):
+    """A page far into the history, read from one range of the indexed history."""
+    path = scratch_path(spark, "history")
+    R.page_index(V.predictions(spark, sf), path, 1000)
+    rows = R.deep_page(spark, path, 115, 50)
+    return rows.select(F.col("record_id").cast("long").alias("record_id"), "prediction_id", "warning", "risk_score")
+
+
 @query
 def q_search(spark, sf):
     return R.search_flows(V.scored(spark, sf), " XSS ", "high_risk").select("flow_seq", "src_ip", "dst_ip", "prediction")
@@ -800,6 +810,55 @@ def q_auc(spark, sf):
     return E.roc_auc(V.labelled(spark, sf), is_attack(), "attack_prob")
 
 
+def _odds(spark, sf):
+    rows = V.labelled(spark, sf).where((F.col("attack_prob") > 0) & (F.col("attack_prob") < 1))
+    return rows.withColumns({"odds": F.log(F.col("attack_prob") / (1.0 - F.col("attack_prob"))), "depth": -F.sqrt("fwd_bytes")})
+
+
+@query
+def q_auc_scales(spark, sf):
+    """AUC of scores that are no probabilities: log odds, and a measure below zero."""
+    rows = _odds(spark, sf)
+    return E.roc_auc(rows, is_attack(), "odds").withColumn("scale", F.lit("log odds")).unionByName(
+        E.roc_auc(rows, is_attack(), "depth").withColumn("scale", F.lit("depth"))
+    )
+
+
+@query
+def q_threshold_sweep_odds(spark, sf):
+    return E.sweep_at(_odds(spark, sf), is_attack(), "odds", [-3.0, -1.0, -0.5, 0.25, 1.0, 2.0])
+
+
+@query
+def q_scan_sketches(spark, sf):
+    """Ports a source from sketches kept by month, stored and merged."""
+    path = scratch_path(spark, "port-sketches")
+    rows = V.flow_table(spark, sf)
+    SKE.write_periods(SKE.source_sketches(rows, F.trunc("timestamp", "month"), F.col("src_ip"), F.col("dst_port")), path)
+    found = SKE.distinct_ports(spark.read.parquet(path), RU.SCAN_PORTS)
+    return found.select(F.col("source").alias("probing_source"), "ports")
+
+
+@query
+def q_threshold_sketches(spark, sf):
+    """Quartiles of the rules' measures from sketches kept by month, held against exact ranks."""
+    path = scratch_path(spark, "measure-sketches")
+    rows = V.flow_table(spark, sf)
+    inputs = RU.rule_inputs(rows.columns)
+    measures = {"dos": inputs.rate, "exfil": inputs.volume}
+    SKE.write_periods(SKE.measure_sketches(rows, F.trunc("timestamp", "month"), measures), path)
+    shares = [0.25, 0.75]
+    stored = spark.read.parquet(path)
+    found = SKE.quantiles(stored, shares)
+    months = stored.groupBy("measure").agg(F.count(F.lit(1)).alias("months"))
+    near = {r["measure"]: r["q"] for r in found.collect()}
+    ranks = rows.agg(*[
+        F.array(*[(F.count_if(v < near[m][i]) <= (p + 0.01) * F.count(v)) & (F.count_if(v <= near[m][i]) >= (p - 0.01) * F.count(v))
+                  for i, p in enumerate(shares)]).alias(m) for m, v in measures.items()
+    ]).select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m)[0].alias("low_ok"), F.col(m)[1].alias("high_ok")) for m in measures])))
+    return found.select("measure", "n").join(months, "measure").join(ranks, "measure")
+
+
 @query
 def q_feature_means(spark, sf):
     rows = V.labelled(spark, sf).where(F.col("actual") == "Bot")

@@ -626,6 +626,7 @@ def all_sql() -> dict[str, str]:
       'Security Alert: ' || risk_level || ' Risk Traffic Detected (' || prediction || ')' AS reason, 'Network flow evaluated with a risk score of ' || risk_score || '/100. Classified as ' || prediction || '.' AS recommendation
       FROM predictions WHERE risk_level IN ('High', 'Critical')""", "predictions")
     q["q_paging"] = sql("SELECT row_number() OVER (ORDER BY ts DESC, prediction_id) + 100 AS record_id, prediction_id, risk_level IN ('High', 'Critical') AS warning, risk_score FROM (SELECT * FROM predictions ORDER BY ts DESC, prediction_id LIMIT 50 OFFSET 100)", "predictions")
+    q["q_paging_deep"] = sql("SELECT row_number() OVER (ORDER BY ts DESC, prediction_id) + 5700 AS record_id, prediction_id, risk_level IN ('High', 'Critical') AS warning, risk_score FROM (SELECT * FROM predictions ORDER BY ts DESC, prediction_id LIMIT 50 OFFSET 5700)", "predictions")
     q["q_search"] = sql("""SELECT flow_seq, src_ip, dst_ip, prediction FROM scored WHERE risk_level IN ('High', 'Critical') AND (src_ip LIKE '%xss%' OR dst_ip LIKE '%xss%' OR lower(protocol) LIKE '%xss%' OR lower(prediction) LIKE '%xss%')""", "scored")
     q["q_search_port"] = sql("""SELECT flow_seq, src_port, dst_port FROM scored WHERE upper(protocol) = 'TCP' AND (CAST(src_port AS VARCHAR) LIKE '%4001%' OR CAST(dst_port AS VARCHAR) LIKE '%4001%' OR src_ip LIKE '%4001%' OR dst_ip LIKE '%4001%')""", "scored")
     q["q_alert_search"] = sql("SELECT dataset, count(*) AS n FROM predictions WHERE lower(prediction) LIKE '%scan%' OR prediction_id LIKE '%scan%' OR lower(dataset) LIKE '%scan%' GROUP BY 1", "predictions")
@@ -658,6 +659,15 @@ def all_sql() -> dict[str, str]:
       round(count(*) FILTER (WHERE actual <> predicted) * 100.0 / count(*), 4) AS error_rate, round(count(*) FILTER (WHERE actual = predicted) * 100.0 / count(*), 4) AS accuracy, predicted <> 'BENIGN' AS is_attack FROM labelled GROUP BY predicted""", "labelled")
     q["q_auc"] = sql("""SELECT round((sum(r) FILTER (WHERE pos) - CAST(count(*) FILTER (WHERE pos) AS DOUBLE) * (count(*) FILTER (WHERE pos) + 1) / 2) / (CAST(count(*) FILTER (WHERE pos) AS DOUBLE) * count(*) FILTER (WHERE NOT pos)), 6) AS roc_auc
       FROM (SELECT actual <> 'BENIGN' AS pos, rank() OVER (ORDER BY attack_prob) + (count(*) OVER (PARTITION BY attack_prob) - 1) / 2.0 AS r FROM labelled)""", "labelled")
+    auc = """SELECT {name} AS scale, round((sum(r) FILTER (WHERE pos) - CAST(count(*) FILTER (WHERE pos) AS DOUBLE) * (count(*) FILTER (WHERE pos) + 1) / 2) / (CAST(count(*) FILTER (WHERE pos) AS DOUBLE) * count(*) FILTER (WHERE NOT pos)), 6) AS roc_auc
+      FROM (SELECT actual <> 'BENIGN' AS pos, rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0 AS r FROM labelled WHERE attack_prob > 0 AND attack_prob < 1)"""
+    q["q_auc_scales"] = sql(auc.format(name="'log odds'", s="ln(attack_prob / (1 - attack_prob))") + " UNION ALL " + auc.format(name="'depth'", s="-sqrt(fwd_bytes)"), "labelled")
+    q["q_threshold_sweep_odds"] = sql(f"""SELECT threshold, tp, fp, tn, fn, {_RATES} FROM (SELECT threshold, count(*) FILTER (WHERE pos AND s >= threshold) AS tp, count(*) FILTER (WHERE NOT pos AND s >= threshold) AS fp,
+      count(*) FILTER (WHERE NOT pos AND s < threshold) AS tn, count(*) FILTER (WHERE pos AND s < threshold) AS fn
+      FROM (SELECT actual <> 'BENIGN' AS pos, ln(attack_prob / (1 - attack_prob)) AS s FROM labelled WHERE attack_prob > 0 AND attack_prob < 1), (VALUES (-3.0::DOUBLE), (-1.0), (-0.5), (0.25), (1.0), (2.0)) AS t(threshold) GROUP BY threshold)""", "labelled")
+    q["q_scan_sketches"] = q["q_rule_scan_sources"]
+    q["q_threshold_sketches"] = sql("""SELECT measure, count(*) AS n, count(DISTINCT date_trunc('month', ts)) AS months, true AS low_ok, true AS high_ok
+      FROM flow_table, (VALUES ('dos'), ('exfil')) AS m(measure) GROUP BY measure""", "flow_table")
     q["q_feature_means"] = sql("SELECT feature, round(d, 4) AS detected_mean, round(m, 4) AS missed_mean, round(abs(d - m), 4) AS absolute_difference FROM (" + " UNION ALL ".join(
         f"SELECT '{f}' AS feature, avg({f}) FILTER (WHERE attack_prob >= 0.5) AS d, avg({f}) FILTER (WHERE attack_prob < 0.5) AS m FROM labelled WHERE actual = 'Bot'" for f in ("fwd_pkts", "bwd_pkts", "fwd_bytes", "duration")) + ")", "labelled")
     q["q_calibrate"] = sql(f"""SELECT target_fpr, round(threshold, 6) AS threshold, tp, fp, tn, fn, {_RATES} FROM (SELECT target_fpr, any_value(th) AS threshold, {_cells('th')}

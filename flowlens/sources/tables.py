@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,35 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return [] if raw is None else unique_names([str(name or "") for name in raw])
 
 
+def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
+    """All CSV files below ``folder`` as one table, whatever the order and choice of each file's columns.
+
+    Only the files' starts are read for their headers. Files with one header are read together, by Spark's own reader, and the
+    groups are united by name; a column that a file does not have is null. Without a ``schema`` a column whose every value
+    is a number becomes a double, which reads the data once more; other columns stay text.
+    """
+    heads = file_headers(spark, folder).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("position", "column"))).alias("c"))
+    groups = heads.groupBy(F.col("c.column").alias("names")).agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    if not groups:
+        return spark.createDataFrame([], schema or T.StructType())
+    parts = []
+    for group in sorted(groups, key=lambda g: g["files"][0]):
+        names = unique_names(list(group["names"]))
+        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        parts.append(spark.read.csv(group["files"], header=True, schema=text, enforceSchema=True))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if schema is None:
+        text = rows.agg(*[F.count_if(_cell(c).isNotNull() & _cell(c).try_cast("double").isNull()).alias(f"t{i}") for i, c in enumerate(rows.columns)]).first()
+        types = ["string" if text[i] else "double" for i in range(len(rows.columns))]
+        return rows.select(*[_cell(c).cast(t).alias(c) for c, t in zip(rows.columns, types, strict=True)])
+    wanted = {f.name: f.dataType for f in schema}
+    return rows.select(*[(_cell(c).try_cast(t) if c in rows.columns else F.lit(None).cast(t)).alias(c) for c, t in wanted.items()])
+
+
+def _cell(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def file_headers(spark: SparkSession, folder: str) -> DataFrame:
     """``headers(file, position, column)`` of every CSV file below ``folder``, one task per file split.
 
