@@ -16,6 +16,8 @@ from flowlens.session import materialize
 TREES, SAMPLE, SEED = 50, 256, 42
 OUTLIER_SCORE, OUTLIER_SHARE = 70.0, 0.15
 OFFSET = -0.5
+#: beyond this share of the rows in each sample (small tables) every tree draws by a hash of its own
+DENSE = 0.05
 FOREST_SCHEMA = "tree int, node int, feature int, split double, left int, right int, path double"
 
 
@@ -62,19 +64,39 @@ def grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "split", "left", "right", "path"])
 
 
+def _trees_of(u: Column, trees: int, share: float, seed: int) -> Column:
+    """Different trees of a row, as many as a binomial draw at ``u`` says. One hash tells most rows that they have none."""
+    mass, reached = (1 - share) ** trees, []
+    total = mass
+    for k in range(1, trees + 1):
+        reached.append(total)
+        mass *= (trees - k + 1) / k * share / (1 - share)
+        total += mass
+        if mass < 1e-12:
+            break
+    n = sum((u >= F.lit(x)).cast("int") for x in reached)
+    order = F.sequence(F.lit(0), F.lit(trees - 1))
+    dealt = F.array_sort(F.transform(order, lambda t: F.struct(F.xxhash64(F.lit(seed), t, F.col("id")).alias("h"), t.alias("t"))))
+    return F.transform(F.slice(dealt, 1, n), lambda x: x["t"])
+
+
 def fit(df: DataFrame, columns: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, key: str | None = None) -> DataFrame:
     """The forest as a table of at most ``trees * (2 * sample - 1)`` nodes.
 
-    Every row is drawn for every tree by itself, from a hash of its place in the table, so equal rows weigh as often as
-    they occur; with the name of a unique ``key`` column the draw does not depend on partitions. A few more rows than wanted are drawn; each tree then keeps the ``sample`` with the lowest hashes.
+    Every row is drawn for every tree by itself, from hashes of its place in the table, so equal rows weigh as often as
+    they occur; of a large table few rows are in any tree, and one hash a row says which; with the name of a unique ``key`` column the draw does not depend on partitions. A few more rows than wanted are drawn; each tree then keeps the ``sample`` with the lowest hashes.
     """
     values = [clean_double(F.col(f"`{c}`")).alias(f"x{i}") for i, c in enumerate(columns)]
     rows = df.select(*values, (F.monotonically_increasing_id() if key is None else F.xxhash64(key)).alias("id"))
     names = rows.columns[:-1]
     share = min(1.0, (sample + 6 * np.sqrt(sample)) / max(rows.count(), 1))
     unit = 1 << 30
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("id")), F.lit(unit)) < F.lit(int(share * unit)))
-    placed = rows.withColumn("tree", F.explode(drawn))
+    if share > DENSE:
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("id")), F.lit(unit)) < F.lit(int(share * unit)))
+        placed = rows.withColumn("tree", F.explode(drawn))
+    else:
+        placed = rows.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(unit))).where(F.col("u") >= int(unit * (1 - share) ** trees))
+        placed = placed.withColumn("tree", F.explode(_trees_of(F.col("u") / unit, trees, share, seed))).drop("u")
     per_tree = Window.partitionBy("tree").orderBy(F.pmod(F.xxhash64(F.lit(seed), "tree", "id"), F.lit(unit)), "id")
     placed = placed.withColumn("place", F.row_number().over(per_tree)).where(F.col("place") <= sample)
 

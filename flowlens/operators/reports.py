@@ -239,6 +239,11 @@ def session_counters(flows: DataFrame) -> DataFrame:
     )
 
 
+def result_sample(flows: DataFrame, rows: int = 50, order: str = "flow_seq") -> DataFrame:
+    """The first ``rows`` results: a report, each task hands on no more than that."""
+    return flows.orderBy(order).limit(rows)
+
+
 def export_results(flows: DataFrame, limit: int | None = None) -> DataFrame:
     """The exported columns, time as ISO text; a cap only when asked for."""
     rows = flows if limit is None else flows.limit(limit)

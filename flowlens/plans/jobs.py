@@ -237,5 +237,5 @@ def q_exported_flows(spark, sf):
 
 @job
 def q_result_sample(spark, sf):
-    """Every scored row, as the result of a run is handed on."""
-    return V.scored(spark, sf).select("flow_id", "prediction", "risk_score")
+    """The first 50 scored rows in arrival order, as a run shows them."""
+    return R.result_sample(V.scored(spark, sf)).select("flow_id", "prediction", "risk_score")

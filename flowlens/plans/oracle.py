@@ -676,7 +676,7 @@ def all_sql() -> dict[str, str]:
     q["q_split_dist"] = sql("SELECT actual AS category, count(*) FILTER (WHERE split = 'train') AS train_samples, count(*) FILTER (WHERE split = 'validation') AS validation_samples, count(*) FILTER (WHERE split = 'test') AS test_samples FROM split GROUP BY 1", "split")
     # the same results from blocks, time buckets and slices
     q["q_flow_blocks"], q["q_gap_buckets"] = q["q_flow_idle_split"], q["q_packet_gaps"]
-    q["q_result_sample"] = sql("SELECT flow_id, prediction, risk_score FROM scored", "scored")
+    q["q_result_sample"] = sql("SELECT flow_id, prediction, risk_score FROM (SELECT * FROM scored ORDER BY flow_seq LIMIT 50)", "scored")
     q["q_stored_flows"] = sql("SELECT flow_id, src_ip, prediction FROM (SELECT * FROM scored WHERE source_type = 'pcap' ORDER BY ts DESC, flow_id LIMIT 50)", "scored")
     # streams
     q["q_stream_incidents"] = sql("SELECT title, src_ip, attack_category, flow_count, severity, risk_score, " + iso("first_seen") + ", " + iso("last_seen") + " FROM incidents", "incidents", instead=IDLE_FLOWS)

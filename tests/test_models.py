@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,46 @@ def test_forest_sample_follows_the_rows(spark):
 def test_outliers_without_columns_that_vary(spark):
     got = FO.outliers(spark.range(3).select(F.lit(1.0).alias("a"), F.lit("t").alias("b"))).collect()
     assert len(got) == 3 and not any(r.is_outlier for r in got)
+
+
+def plain_score(trees, x, sample):
+    """Score of one row by walking down each tree."""
+    total = 0.0
+    for t in trees:
+        at = 0
+        while t["feature"][at] >= 0:
+            at = int(t["left"][at] if x[t["feature"][at]] < t["split"][at] else t["right"][at])
+        total += t["path"][at]
+    return -(2.0 ** (-total / len(trees) / FO.average_path(sample)))
+
+
+def test_forest_scores_equal_a_walk_down_the_trees(spark, train):
+    names = SC.GENERALIZED_FEATURES[:4]
+    trees = FO.load(FO.fit(train, names, trees=7, sample=32, key="id"))
+    rows = train.select(*names, FO.score_column(trees, names, 32).alias("s")).collect()
+    assert [r.s for r in rows] == pytest.approx([plain_score(trees, [r[c] for c in names], 32) for r in rows])
+    # the decision shifts the score; the index runs from 0 to 100 over the table's own scores
+    told = FO.with_decision(train, trees, names, 0.0).select("anomaly_score", "is_anomaly").collect()
+    assert all(r.is_anomaly == (r.anomaly_score < 0.0) for r in told)
+    out = FO.outliers(train.select(*names), names).collect()
+    low, high = min(r.outlier_raw for r in out), max(r.outlier_raw for r in out)
+    cut = float(np.quantile([r.outlier_raw for r in out], 0.15))
+    for r in out:
+        index = (high - r.outlier_raw) / (high - low + 1e-9) * 100
+        assert r.outlier_index == pytest.approx(index, abs=0.006)
+        assert r.is_outlier == (index >= 70.0 or r.outlier_raw <= cut + 1e-12)
+
+
+def test_one_hash_draws_as_many_rows_as_a_hash_a_tree(spark):
+    df = spark.range(60_000).select((F.col("id") * 1.0).alias("x"))
+    trees = 20
+    forest = FO.fit(df, ["x"], trees=trees, sample=64)
+    assert forest.select("tree").distinct().count() == trees
+    # a full sample has 2 * 64 - 1 nodes or fewer, and roots split the whole range, not a part of it
+    sizes = [r["count"] for r in forest.groupBy("tree").count().collect()]
+    assert max(sizes) <= 127 and min(sizes) > 40
+    picks = df.withColumn("id", F.col("x").cast("long")).withColumn("u", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1 << 30)) / (1 << 30))
+    picks = picks.select("id", F.explode(FO._trees_of(F.col("u"), trees, 0.01, 9)).alias("tree"))
+    counts = [r["count"] for r in picks.groupBy("tree").count().collect()]
+    # 600 rows a tree are expected, each at most once
+    assert len(counts) == trees and all(480 < c < 720 for c in counts) and picks.count() == picks.distinct().count()
