@@ -16,7 +16,7 @@ from flowlens.operators import rules as RU
 from flowlens.plans import views as V
 from flowlens.session import scratch_path, spread
 from flowlens.sources import sinks as SK
-from flowlens.sources.tables import packet_stream
+from flowlens.sources.tables import packet_stream, read_csv_folder
 from flowlens.streaming import flow_state as ST
 from flowlens.streaming.monitor import Monitor
 
@@ -239,3 +239,69 @@ def q_exported_flows(spark, sf):
 def q_result_sample(spark, sf):
     """The first 50 scored rows in arrival order, as a run shows them."""
     return R.result_sample(V.scored(spark, sf)).select("flow_id", "prediction", "risk_score")
+
+
+@job
+def q_csv_scan(spark, sf):
+    """Rows from a folder of CSV files whose columns stand in different orders."""
+    path, key = scratch_path(spark, "csv"), V.flow_columns()[0]
+    line = V.table(spark, sf, "lineitem").select(key, "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", F.concat("l_linestatus", F.lit(', "x"')).alias("note"))
+    line.where("l_returnflag = 'R'").write.option("header", True).csv(f"{path}/a")
+    line.where("l_returnflag <> 'R'").select("note", "l_returnflag", "l_extendedprice", "row_key", "l_quantity").write.option("header", True).csv(f"{path}/b")
+    rows = read_csv_folder(spark, path)
+    return rows.select("row_key", "l_quantity", "l_extendedprice", "l_returnflag", "note", F.col("l_shipdate").isNotNull().alias("dated"))
+
+
+@job
+def q_prediction_log(spark, sf):
+    path = scratch_path(spark, "prediction-log")
+    SK.write_predictions(V.predictions(spark, sf), path, "batch")
+    return spark.read.parquet(path).select(
+        "prediction_id", S.iso_time(F.col("timestamp")).alias("timestamp"), "dataset", "prediction", "is_attack", "attack_probability", "confidence",
+        "risk_score", "risk_level", "input_source")
+
+
+@job
+def q_job_log(spark, sf):
+    """Jobs as their latest events tell them: each was queued with its size and ended, or failed, later."""
+    jobs = V.scored(spark, sf).groupBy("job_id").agg(
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count(F.lit(1)).alias("n"), F.count_if("is_attack").alias("hits"))
+    none = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in SK.JOB_SCHEMA.split(", ")}
+    queued = {"job_id": F.col("job_id"), "event_ts": F.col("first"), "filename": F.concat("job_id", F.lit(".csv")), "file_type": F.lit("csv"),
+              "status": F.lit("Processing"), "total_records": F.col("n")}
+    bad = F.col("hits") * 2 > F.col("n")
+    ended = {"job_id": F.col("job_id"), "event_ts": F.col("last") + F.expr("INTERVAL 1 SECOND"), "status": F.when(bad, "Failed").otherwise("Completed"),
+             "processed_records": F.when(~bad, F.col("n")), "attack_records": F.when(~bad, F.col("hits")), "error": F.when(bad, "too many attacks")}
+    path = scratch_path(spark, "job-log")
+    for event in (queued, ended):
+        jobs.select(*[c.alias(name) for name, c in {**none, **event}.items()]).write.mode("append").parquet(path)
+    found = SK.current_jobs(spark.read.schema(SK.JOB_SCHEMA).parquet(path))
+    return found.select("job_id", "filename", "status", "total_records", "processed_records", "attack_records", "error",
+                        S.iso_time(F.col("created_at")).alias("created_at"), S.iso_time(F.col("updated_at")).alias("updated_at"))
+
+
+@job
+def q_session_log(spark, sf):
+    """Monitoring sessions from their start and stop events; one that a later start overtakes ends there."""
+    per = V.scored(spark, sf).groupBy("session_id").agg(
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.sum("packet_count").alias("p"), F.count(F.lit(1)).alias("n"), F.count_if("is_attack").alias("a"))
+    none = F.lit(None).cast("long")
+    start = per.select("session_id", F.col("first").alias("event_ts"), F.lit("start").alias("event"), F.lit("stream").alias("interface"),
+                       none.alias("packet_count"), none.alias("flow_count"), none.alias("alert_count"))
+    stop = per.where("session_id <> 'mon-4'").select(
+        "session_id", F.col("last").alias("event_ts"), F.lit("stop").alias("event"), F.lit(None).cast("string").alias("interface"),
+        F.col("p").alias("packet_count"), F.col("n").alias("flow_count"), F.col("a").alias("alert_count"))
+    path = scratch_path(spark, "session-log")
+    for events in (start, stop):
+        events.write.mode("append").parquet(path)
+    found = SK.session_history(SK.sessions(spark.read.schema(SK.SESSION_SCHEMA).parquet(path)))
+    return found.select("session_id", "interface", "status", "packet_count", "flow_count", "alert_count",
+                        S.iso_time(F.col("started_at")).alias("started_at"), S.iso_time(F.col("stopped_at")).alias("stopped_at"))
+
+
+@job
+def q_adapt_validate(spark, sf):
+    """Flows held against the feature schema by exact names: other columns go, the order is the schema's."""
+    flows = V.flows(spark, sf).select("flow_id", *reversed(FL.generalized_columns()))
+    rows = A.validate(flows, "generalized")
+    return rows.select(*[F.round(c, 3).alias(c) for c in rows.columns])

@@ -678,6 +678,17 @@ def all_sql() -> dict[str, str]:
     q["q_flow_blocks"], q["q_gap_buckets"] = q["q_flow_idle_split"], q["q_packet_gaps"]
     q["q_result_sample"] = sql("SELECT flow_id, prediction, risk_score FROM (SELECT * FROM scored ORDER BY flow_seq LIMIT 50)", "scored")
     q["q_stored_flows"] = sql("SELECT flow_id, src_ip, prediction FROM (SELECT * FROM scored WHERE source_type = 'pcap' ORDER BY ts DESC, flow_id LIMIT 50)", "scored")
+    # logs and files
+    q["q_csv_scan"] = f"SELECT {_KEY} AS row_key, l_quantity, l_extendedprice, l_returnflag, l_linestatus || ', \"x\"' AS note, l_returnflag = 'R' AS dated FROM lineitem"
+    q["q_prediction_log"] = sql("SELECT prediction_id, " + iso("ts", "timestamp") + """, dataset, prediction, is_attack, round(attack_probability, 4) AS attack_probability, round(confidence, 4) AS confidence,
+      round(risk_score, 2) AS risk_score, risk_level, 'batch' AS input_source FROM predictions""", "predictions")
+    q["q_job_log"] = sql("SELECT job_id, job_id || '.csv' AS filename, CASE WHEN bad THEN 'Failed' ELSE 'Completed' END AS status, n AS total_records, CASE WHEN NOT bad THEN n END AS processed_records, CASE WHEN NOT bad THEN hits END AS attack_records, CASE WHEN bad THEN 'too many attacks' END AS error, "
+      + iso("first", "created_at") + ", " + iso("last + INTERVAL 1 SECOND", "updated_at") + """ FROM (SELECT *, hits * 2 > n AS bad FROM (SELECT job_id, min(ts) AS first, max(ts) AS last, count(*) AS n,
+      count(*) FILTER (WHERE is_attack) AS hits FROM scored GROUP BY job_id))""", "scored")
+    q["q_session_log"] = sql("SELECT session_id, 'stream' AS interface, CASE WHEN stopped IS NULL THEN 'Running' ELSE 'Stopped' END AS status, CASE WHEN own THEN p ELSE 0 END AS packet_count, CASE WHEN own THEN n ELSE 0 END AS flow_count, CASE WHEN own THEN a ELSE 0 END AS alert_count, "
+      + iso("first", "started_at") + ", " + iso("stopped", "stopped_at") + """ FROM (SELECT *, least(CASE WHEN own THEN last END, lead(first) OVER (ORDER BY first, session_id)) AS stopped FROM (
+      SELECT session_id, session_id <> 'mon-4' AS own, min(ts) AS first, max(ts) AS last, CAST(sum(packets) AS BIGINT) AS p, count(*) AS n, count(*) FILTER (WHERE is_attack) AS a FROM scored GROUP BY session_id))""", "scored")
+    q["q_adapt_validate"] = sql("SELECT " + ", ".join(f"round({f}, 3) AS {f}" for f in _GEN) + " FROM gen", "gen")
     # streams
     q["q_stream_incidents"] = sql("SELECT title, src_ip, attack_category, flow_count, severity, risk_score, " + iso("first_seen") + ", " + iso("last_seen") + " FROM incidents", "incidents", instead=IDLE_FLOWS)
     q["q_stream_counters"] = sql("""SELECT CAST(sum(packets) AS BIGINT) AS packets, count(*) AS flows, count(*) FILTER (WHERE is_attack) AS attacks, count(*) FILTER (WHERE is_anomaly) AS anomalies,
