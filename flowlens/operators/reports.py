@@ -19,13 +19,19 @@ DATASET_MARKS = {
 }
 
 
+
+def _risk_sum() -> Column:
+    """Scores have two decimals: added up as whole hundredths, so that a mean does not depend on the order of rows."""
+    return F.sum(F.round(F.coalesce("risk_score", F.lit(0.0)) * 100).cast("long")) / 100.0
+
+
 def _counts() -> list[Column]:
     attack = F.col("is_attack")
     total = F.count(F.lit(1))
     return [
         total.alias("total_records"), F.count_if(~attack).alias("benign_count"), F.count_if(attack).alias("attack_count"),
         S.percent(F.count_if(attack), total).alias("attack_percentage"),
-        F.coalesce(F.round(F.sum(F.coalesce("risk_score", F.lit(0.0))) / total, 2), F.lit(0.0)).alias("average_risk_score"),
+        F.coalesce(F.round(_risk_sum() / total, 2), F.lit(0.0)).alias("average_risk_score"),
         F.count_if(F.col("risk_level") == "High").alias("high_risk_count"),
         F.count_if(F.col("risk_level") == "Critical").alias("critical_risk_count"),
     ]
@@ -55,7 +61,7 @@ def risk_distribution(scored: DataFrame) -> DataFrame:
 def summary_with_maps(scored: DataFrame) -> DataFrame:
     """The batch summary with category and risk maps (sizes bounded by the vocabularies)."""
     per_class = scored.groupBy("prediction", "risk_level").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_attack").alias("attacks"), F.sum("risk_score").alias("risk")
+        F.count(F.lit(1)).alias("n"), F.count_if("is_attack").alias("attacks"), _risk_sum().alias("risk")
     )
 
     # the few rows per class and band are summed by class, by band and overall in one step
@@ -104,7 +110,7 @@ def dashboard(alerts: DataFrame, dataset: str) -> DataFrame:
     return rows.agg(
         total.alias("total_analyzed"), attacks.alias("attacks_detected"),
         S.percent(attacks, total).alias("attack_percentage"),
-        F.when(total > 0, F.round(F.sum(F.coalesce("risk_score", F.lit(0.0))) / total, 2)).otherwise(0.0).alias("average_risk_score"),
+        F.when(total > 0, F.round(_risk_sum() / total, 2)).otherwise(0.0).alias("average_risk_score"),
         *[F.count_if(level == band).alias(f"{band.lower()}_risk_count") for band in SC.RISK_BANDS],
     )
 

@@ -327,7 +327,7 @@ _INCIDENT_OUT = ("title, status, severity, src_ip, dst_ip, attack_category, flow
 _GEN = SC.GENERALIZED_FEATURES
 _COUNTS = """count(*) AS total_records, count(*) FILTER (WHERE NOT is_attack) AS benign_count,
   count(*) FILTER (WHERE is_attack) AS attack_count, round(count(*) FILTER (WHERE is_attack) * 100.0 / count(*), 2) AS attack_percentage,
-  round(sum(risk_score) / count(*), 2) AS average_risk_score, count(*) FILTER (WHERE risk_level = 'High') AS high_risk_count,
+  round(sum(CAST(round(risk_score * 100) AS BIGINT)) / 100.0 / count(*), 2) AS average_risk_score, count(*) FILTER (WHERE risk_level = 'High') AS high_risk_count,
   count(*) FILTER (WHERE risk_level = 'Critical') AS critical_risk_count"""
 
 
@@ -610,12 +610,12 @@ def all_sql() -> dict[str, str]:
     q["q_batch_summary"] = sql(f"SELECT {_COUNTS} FROM scored", "scored")
     q["q_job_summary"] = sql(f"SELECT job_id, {_COUNTS} FROM scored GROUP BY job_id", "scored")
     q["q_category_dist"] = sql("SELECT prediction AS category, count(*) AS n FROM scored GROUP BY 1", "scored")
-    q["q_summary_maps"] = sql("""SELECT count(*) AS total_records, count(*) FILTER (WHERE is_attack) AS attack_count, round(count(*) FILTER (WHERE is_attack) * 100.0 / count(*), 2) AS attack_percentage, round(sum(risk_score) / count(*), 2) AS average_risk_score,
+    q["q_summary_maps"] = sql("""SELECT count(*) AS total_records, count(*) FILTER (WHERE is_attack) AS attack_count, round(count(*) FILTER (WHERE is_attack) * 100.0 / count(*), 2) AS attack_percentage, round(sum(CAST(round(risk_score * 100) AS BIGINT)) / 100.0 / count(*), 2) AS average_risk_score,
       (SELECT string_agg(prediction || '=' || n, ',' ORDER BY prediction) FROM (SELECT prediction, count(*) AS n FROM scored GROUP BY 1)) AS category_distribution,
       (SELECT string_agg(risk_level || '=' || n, ',' ORDER BY risk_level) FROM (SELECT risk_level, count(*) AS n FROM scored GROUP BY 1)) AS risk_distribution FROM scored""", "scored")
     q["q_summary_json"] = sql("SELECT risk_level, count(*) AS n FROM scored GROUP BY 1", "scored")
     q["q_alert_union"] = sql("SELECT dataset, input_source, risk_level, count(*) AS n, round(sum(risk_score), 2) AS risk FROM alerts GROUP BY ALL", "alerts")
-    q["q_dashboard"] = sql("""SELECT count(*) AS total_analyzed, count(*) FILTER (WHERE is_attack) AS attacks_detected, round(count(*) FILTER (WHERE is_attack) * 100.0 / count(*), 2) AS attack_percentage, round(sum(risk_score) / count(*), 2) AS average_risk_score,
+    q["q_dashboard"] = sql("""SELECT count(*) AS total_analyzed, count(*) FILTER (WHERE is_attack) AS attacks_detected, round(count(*) FILTER (WHERE is_attack) * 100.0 / count(*), 2) AS attack_percentage, round(sum(CAST(round(risk_score * 100) AS BIGINT)) / 100.0 / count(*), 2) AS average_risk_score,
       count(*) FILTER (WHERE risk_level = 'Low') AS low_risk_count, count(*) FILTER (WHERE risk_level = 'Moderate') AS moderate_risk_count, count(*) FILTER (WHERE risk_level = 'High') AS high_risk_count,
       count(*) FILTER (WHERE risk_level = 'Critical') AS critical_risk_count FROM alerts WHERE dataset ILIKE '%cicids%'""", "alerts")
     q["q_recent_alerts"] = sql("SELECT record_id, " + iso("ts", "timestamp") + ", dataset, prediction, is_attack, risk_score, risk_level, confidence, input_source FROM (SELECT * FROM alerts ORDER BY ts DESC, record_id LIMIT 15)", "alerts")
