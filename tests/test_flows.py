@@ -150,8 +150,8 @@ def test_partition_count_does_not_matter(spark, sf):
     assert results[0] == results[1]
 
 
-def test_small_table_needs_one_shuffle(spark, sf):
+def test_tuples_as_blocks_need_one_shuffle(spark, sf):
     from flowlens.plans import views as V
 
-    plan = V.flows(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    plan = FL.build_flows(V.packets(spark, sf), block_rows=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
