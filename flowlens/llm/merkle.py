@@ -14,7 +14,6 @@ differ. An empty table gives an empty result. Only the five named columns are re
 
 from __future__ import annotations
 
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
