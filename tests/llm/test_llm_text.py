@@ -182,6 +182,82 @@ def test_patterns_find_unseen_identifiers(spark):
     assert clean[51]["text"] == rows[13][1] and "spans" in clean[51].asDict()
 
 
+def identifier_rows():
+    rng = random.Random(8)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(68)]
+    plain = [f"q{rng.randrange(10 ** 6)}-z{k}x" for k in range(14)]
+    rows = [(i, f'so it token = "{k}" ends') for i, k in enumerate(keys[:60])]
+    rows += [(100 + i, f"use token = {k}!! now") for i, k in enumerate(plain[:12])]
+    # keys and numbers behind a stop word, which mostly stands before words
+    rows += [(200 + i, "the word the house the " + (keys[60 + i] if i < 8 else f"{4000 + i}77")) for i in range(16)]
+    # what one pattern has found is the seed of another
+    rows += [(300 + i, f"apikey is: {k} here") for i, k in enumerate(plain)]
+    rows += [(400 + i, f"login=u{i}n{i}") for i in range(8)] + [(500, "token = nothing"), (501, f"the {plain[0]}"), (502, ""), (503, None)]
+    return rows, keys, plain
+
+
+def plain_added(rows):
+    """Positions of what confident patterns find, by plain loops over whole words."""
+    def word(w):
+        return "<long>" if len(w) > pii.LONG else "<email>" if "@" in w else "<number>" if re.search("[0-9]", w) else w.strip(pii.EDGES).lower()
+
+    totals, met = Counter(), []
+    for i, t in rows:
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", t or "")]
+        left = [word(t[a:b]) for a, b in spans]
+        for k, (a, b) in enumerate(spans):
+            w = t[a:b]
+            key, _, value = w.partition("=")
+            own = [(word(key), "=")] if value else [tuple(left[k - n:k]) for n in (1, 2) if k >= n]
+            totals.update(own)
+            token = (value or w).strip(pii.EDGES)
+            if re.search("[0-9]", w) and len(token) >= pii.SHORTEST:
+                at = t.index(token, a)
+                met.append((i, own, token.lower(), bool(re.fullmatch("[0-9a-fA-F]{32,}", token)), at, at + len(token)))
+    accepted = {m[2] for m in met if m[3]}
+    found = set()
+    for _ in range(6):
+        good = {}
+        for p in totals:
+            fillers = [m for m in met if p in m[1]]
+            known = [m for m in fillers if m[2] in accepted]
+            if len({m[2] for m in known}) >= pii.SEEDS and len(known) / (totals[p] + 1) >= pii.CONFIDENT:
+                good[p] = len(known)
+        for token in {m[2] for m in met}:
+            edges = [p for m in met if m[2] == token for p in m[1]]
+            if edges and sum(p in good for p in edges) / len(edges) >= pii.KEPT:
+                found.add(token)
+        accepted |= found
+    return {(m[0], m[4], m[5]) for m in met if m[2] in found and any(p in good for p in m[1])}
+
+
+def test_accepted_identifiers_bring_in_patterns_and_stop_words_do_not(spark):
+    rows, keys, plain = identifier_rows()
+    got = {r["doc_id"]: r["added"] for r in pii.find_personal(documents(spark, rows)).collect()}
+    found = {(i, s["start"], s["end"]) for i, added in got.items() for s in added}
+    assert found == plain_added(rows)
+    text = dict(rows)
+    said = {text[i][a:b] for i, a, b in found}
+    assert said == set(keys[:60]) | set(plain) and all(not got[i] for i in range(200, 216)) and not got[500] and not got[501]
+    assert {s["kind"] for added in got.values() for s in added} == {"secret"}
+
+
+def test_planted_keys_are_found(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").dropDuplicates(["doc_id"])
+    # as often as in a table ten times as large
+    planted = docs.where("doc_id % 10 = 3 and length(text) > 60").withColumn("key", F.sha1(F.col("doc_id").cast("string"))).withColumn(
+        "text", F.concat(F.left("text", F.lit(40)), F.lit(' token = "'), "key", F.lit('" '), F.expr("substr(text, 41)")))
+    both = docs.withColumn("key", F.lit(None).cast("string")).join(planted.select("doc_id"), "doc_id", "left_anti").unionByName(planted)
+    got = {r["doc_id"]: r["added"] for r in pii.find_personal(both).collect()}
+    rows = both.collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in rows}
+    said = {i: [texts[i][s["start"]:s["end"]] for s in added] for i, added in got.items()}
+    keys = {r["doc_id"]: r["key"] for r in rows if r["key"]}
+    assert sum(k in said[i] for i, k in keys.items()) >= 0.9 * len(keys) >= 9
+    clean = [i for i, t in texts.items() if not re.search("[0-9a-fA-F]{32}", t)]
+    assert not any(said[i] for i in clean)
+
+
 def test_personal_data_of_odd_rows(spark):
     assert pii.find_personal(documents(spark)).count() == len(document_rows()) and pii.find_personal(documents(spark, [])).count() == 0
 
