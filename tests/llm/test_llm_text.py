@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from llm_fixtures import document_rows, documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -76,7 +78,15 @@ def test_urls(spark):
 # --- fingerprints ----------------------------------------------------------------------------------------------------
 
 def pieces(text):
-    return set(re.findall(r"[^\n]{1,128}\n*|\n+", text))
+    solid = fingerprints.SOLID.replace(r"\x{20000}-\x{3FFFF}", "\U00020000-\U0003ffff")
+    units = regex.findall(rf"[{solid}]|(?:(?![{solid}])[\p{{L}}\p{{M}}\p{{N}}])+[^\p{{L}}\p{{M}}\p{{N}}]*|[^\p{{L}}\p{{M}}\p{{N}}]+", text)
+    assert "".join(units) == text
+
+    def ends(unit):
+        h = xxhash.xxh64_intdigest(unit.encode(), 42)
+        return "\n" in unit or (h - (h >> 63 << 64)) % fingerprints.SHARE == 0
+
+    return set("".join(u + fingerprints.END * ends(u) for u in units).split(fingerprints.END)) - {""}
 
 
 def alike(a, b):
@@ -132,6 +142,18 @@ def test_an_insertion_changes_paragraphs_around_it_only(spark, end):
     assert frame.select(fingerprints.likeness(c("a"), c("b"), c("x"), c("y")).alias("s")).first()["s"] > 0.9
 
 
+@pytest.mark.parametrize("script, gap, number", [("абвгдежзиклмнопрстуф", " ", 600), ("\u05d0\u05d1\u05d2\u05d3\u05d4\u05d5", " ", 600), ("", "", 3000)])
+def test_near_copies_in_any_script(spark, script, gap, number):
+    rng = random.Random(4)
+    word = (lambda: "".join(rng.choice(script) for _ in range(5))) if script else (lambda: chr(0x4E00 + rng.randrange(3000)))
+    text = gap.join(word() for _ in range(number))
+    c = F.col
+    frame = spark.createDataFrame([(text, word() + gap + text)], "a string, b string").select(
+        fingerprints.paragraphs(c("a")).alias("a"), fingerprints.paragraphs(c("b")).alias("b"))
+    frame = frame.select("a", "b", fingerprints.sketch(c("a")).alias("x"), fingerprints.sketch(c("b")).alias("y"))
+    assert frame.select(fingerprints.likeness(c("a"), c("b"), c("x"), c("y")).alias("s")).first()["s"] > 0.9
+
+
 def test_common_digests_do_not_differ_beyond_the_last_retry(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "DEPTH", 1)
     c = F.col
