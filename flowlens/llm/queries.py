@@ -149,7 +149,7 @@ def op8_pii(spark, sf_dir):
     found = pii.find_personal(table(spark, sf_dir, "documents"))
     base = F.col("base")
     return found.select(
-        "doc_id", *[pii.count_kind(base, k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
+        "doc_id", *[pii.count_kind(F.col("added") if k == "secret" else base, k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
         pii.spans_text(F.concat(base, F.col("added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
 
