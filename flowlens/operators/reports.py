@@ -245,9 +245,9 @@ def session_counters(flows: DataFrame) -> DataFrame:
     )
 
 
-def result_sample(flows: DataFrame, rows: int = 50, order: str = "flow_seq") -> DataFrame:
-    """The first ``rows`` results: a report, each task hands on no more than that."""
-    return flows.orderBy(order).limit(rows)
+def result_sample(flows: DataFrame, rows: int | None = None, order: str = "flow_seq") -> DataFrame:
+    """The results of a run; with ``rows`` the first of them, each task hands on no more than that."""
+    return flows if rows is None else flows.orderBy(order).limit(rows)
 
 
 def export_results(flows: DataFrame, limit: int | None = None) -> DataFrame:

@@ -153,3 +153,9 @@ def test_one_of_two_open_incidents_takes_what_is_new(spark):
 def test_risk_stays_between_0_and_100(spark):
     rows = spark.createDataFrame([(-0.5,), (0.25,), (1.5,)], "p double")
     assert [r.r for r in rows.select(S.risk_score(F.col("p")).alias("r")).collect()] == [0.0, 25.0, 100.0]
+
+
+def test_results_are_handed_on_whole(spark):
+    rows = spark.range(120).withColumnRenamed("id", "flow_seq")
+    assert R.result_sample(rows).count() == 120
+    assert sorted(r.flow_seq for r in R.result_sample(rows, 7).collect()) == list(range(7))
