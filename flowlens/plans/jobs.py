@@ -129,10 +129,9 @@ def q_stream_flows(spark, sf):
     source = _stream_source(spark, sf)
     out = scratch_path(spark, "stream-flows")
     flows = ST.stream_flows(packet_stream(spark, source), V.IDLE_SECONDS, "1 day")
-    query = (
-        flows.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", scratch_path(spark, "stream-check")).trigger(availableNow=True).start()
-    )
+    writer = flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-check"))
+    with ST.state_partitions(spark):
+        query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out).select("flow_seq", *FL.header_columns(), *FL.generalized_columns())
 
@@ -213,7 +212,10 @@ def q_stream_gaps(spark, sf):
     for part in _parts(spark, sf, delayed_packets, 4):
         part.write.mode("append").parquet(source)
         flows = ST.stream_flows(packet_stream(spark, source), 3650 * 86_400.0, "1 day", with_late=True)
-        flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        writer = flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True)
+        with ST.state_partitions(spark):
+            query = writer.start()
+        query.awaitTermination()
     names = [f"{side}gap_{m}" for side in ("", "fwd_", "bwd_") for m in ("min", "max", "mean", "total")] + ["first_fwd_gap"]
     return spark.read.parquet(out).select(
         "flow_seq", "termination_reason", "packets", "bytes", *[F.round(F.col(n) / 1e6, 2).alias(n) for n in names]

@@ -1,10 +1,13 @@
 """Packet streams to flows: one small state per open flow, closed by FIN/RST, silence or the final drain.
 
 The state is a fixed-size record (counts, moments, extremes, last times) and the times of the packets that wait in a
-reorder buffer. Packets of a micro-batch are put in arrival order per key and folded in with array operations per flow,
+reorder buffer. A call into the state store costs far more than folding a flow's packets, so the five-tuples are dealt by
+hash to a fixed number of buckets: a bucket's open flows are read, written and timed together, one value and one timer a
+bucket. Packets of a micro-batch are put in arrival order per five-tuple and folded in with array operations per flow,
 not per packet. Gaps are taken in time order: a packet's time waits until the watermark has passed it, when no older packet
 can follow, or until its flow ends; so gaps are those of the batch form, whatever the micro-batches. The buffer holds the
-packets of ``lateness``, eight bytes each. How much one key may hold at once is bounded by the source's trigger options.
+packets of ``lateness``, eight bytes each. How much one bucket may hold at once is bounded by the source's trigger options
+and by the number of buckets: some 600 bytes an open flow, some hundred a packet of the micro-batch.
 
 A packet that is not newer than the watermark of its micro-batch is late. It joins no flow and is put out by itself, with
 ``termination_reason`` ``late``; ``late_packets`` and ``on_time`` tell the two apart.
@@ -12,11 +15,13 @@ A packet that is not newer than the watermark of its micro-batch is late. It joi
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,8 +41,14 @@ LAST = [f"{s}last" for s in SIDES]
 FIELDS = COUNTERS + [f"{g}_{m}" for g in GROUPS for m in MOMENTS] + LAST + ["first_fwd_gap"]
 INDEX = {name: i for i, name in enumerate(FIELDS)}
 
-# ``a_opens``: the initiator is the lower endpoint of the key
-STATE_SCHEMA = "flow_seq long, start_t long, last_t long, a_opens boolean, stats array<double>, waiting array<long>, waiting_fwd array<boolean>"
+#: five-tuples are dealt to so many buckets
+BUCKETS = 256
+#: closed flows handed on at once
+OUTPUT_ROWS = 2000
+
+# ``flows``: pickled {five-tuple: (flow_seq, start_t, last_t, a_opens, statistics, waiting times, their directions)}, where
+# ``a_opens`` tells that the initiator is the lower endpoint; ``timer``: when the bucket is looked at next
+STATE_SCHEMA = "flows binary, timer long"
 STAT_NAMES = [f"{s}{k}_{m}" for k in ("len", "gap") for s in SIDES for m in ("min", "max", "mean", "std")]
 OUTPUT_SCHEMA = (
     "proto string, flow_seq long, fwd_packets long, bwd_packets long, fwd_bytes long, bwd_bytes long, fwd_header long, "
@@ -167,26 +178,44 @@ class FlowProcessor(StatefulProcessor):
         self.open = handle.getValueState("open", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[4] == DRAIN_PROTOCOL:
-            for _ in rows:
-                pass
-            return iter([])
-        # numbers only: some forty bytes per packet of this key in this micro-batch
-        chunks = [{c: part[c].to_numpy() for c in PACKET_FIELDS} for part in rows]
-        p = {c: np.concatenate([chunk[c] for chunk in chunks]) for c in PACKET_FIELDS}
-        arrival = np.argsort(p["packet_seq"], kind="stable")
-        p = {c: v[arrival] for c, v in p.items()}
-        from_a = p.pop("from_a")
+        tuples, p = self._by_tuple(rows)
         passed = timerValues.getCurrentWatermarkInMs() * 1000
+        flows, timer = self._saved()
+        done = []
+        for five, part in zip(tuples, p, strict=True):
+            done += self._advance(five, part, passed, flows)
+            if len(done) >= OUTPUT_ROWS:
+                yield from self._rows(done)
+                done = []
+        self._keep(flows, timer)
+        yield from self._rows(done)
+
+    @staticmethod
+    def _by_tuple(rows: Iterator[pd.DataFrame]) -> tuple[list[tuple], Iterator[dict[str, np.ndarray]]]:
+        """The five-tuples of a micro-batch, and each one's packets in arrival order."""
+        number: dict[tuple, int] = {}
+        chunks = []
+        for part in rows:
+            part = part[part["proto"] != DRAIN_PROTOCOL]
+            chunk = {c: part[c].to_numpy() for c in PACKET_FIELDS}
+            chunk["five"] = np.array([number.setdefault(k, len(number)) for k in zip(*(part[c].tolist() for c in KEY), strict=True)], np.int64)
+            chunks.append(chunk)
+        p = {c: np.concatenate([chunk[c] for chunk in chunks]) for c in [*PACKET_FIELDS, "five"]}
+        order = np.lexsort((p["packet_seq"], p["five"]))
+        p = {c: v[order] for c, v in p.items()}
+        sides = np.searchsorted(p.pop("five"), np.arange(len(number) + 1))
+        return list(number), ({c: v[a:z] for c, v in p.items()} for a, z in zip(sides[:-1], sides[1:], strict=True))
+
+    def _advance(self, key: tuple, p: dict[str, np.ndarray], passed: int, flows: dict) -> list[dict]:
+        """Folds one five-tuple's packets into its open flow in ``flows``; the flows that end and the late packets."""
+        from_a = p.pop("from_a")
         late = p["t"] <= passed if passed > 0 else np.zeros(len(from_a), bool)
         done = [late_packet(key, p, from_a, i) for i in np.flatnonzero(late)]
         p, from_a = {c: v[~late] for c, v in p.items()}, from_a[~late]
         size = len(from_a)
         if not size:
-            return self._rows(done)
-        flow, stats, waiting = None, None, None
-        if self.open.exists():
-            flow, stats, waiting = self._saved()
+            return done
+        flow, stats, waiting = self._opened(flows.pop(key)) if key in flows else (None, None, None)
         terms = np.flatnonzero(p["tcp_flags"] & 5)
         start = 0
         for end in [*(terms + 1), size]:
@@ -217,50 +246,67 @@ class FlowProcessor(StatefulProcessor):
                 flags = int(p["tcp_flags"][end - 1])
                 done.append(closed_flow(key, flow, stats, waiting, "tcp_fin" if flags & 1 else "tcp_rst"))
                 flow, stats = None, None
-        if flow is not None and passed > 0:
-            waiting.release(stats, passed)
-        self._keep(flow, stats, waiting)
-        return self._rows(done)
+        if flow is not None:
+            if passed > 0:
+                waiting.release(stats, passed)
+            flows[key] = (*flow, stats.tobytes(), np.concatenate(waiting.t).tobytes(), np.concatenate(waiting.fwd).tobytes())
+        return done
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.open.exists():
-            return iter([])
-        flow, stats, waiting = self._saved()
-        draining = timerValues.getCurrentWatermarkInMs() >= DRAIN_MILLIS
-        reason = "active" if draining else "inactivity_timeout"
-        self.open.clear()
-        return self._rows([closed_flow(key, flow, stats, waiting, reason)])
-
-    def _saved(self) -> tuple[tuple, np.ndarray, Waiting]:
-        saved = self.open.get()
-        return tuple(saved[:4]), np.array(saved[4], dtype=float), Waiting(saved[5], saved[6])
-
-    def _keep(self, flow: tuple | None, stats: np.ndarray | None, waiting: Waiting | None) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if flow is None:
+        now = timerValues.getCurrentWatermarkInMs()
+        reason = "active" if now >= DRAIN_MILLIS else "inactivity_timeout"
+        flows, _ = self._saved()
+        due = [five for five, saved in flows.items() if self._ends(saved) <= now]
+        for at in range(0, len(due), OUTPUT_ROWS):
+            yield from self._rows([closed_flow(five, *self._opened(flows.pop(five)), reason) for five in due[at:at + OUTPUT_ROWS]])
+        self._keep(flows, None)
+
+    def _ends(self, saved: tuple) -> int:
+        """The millisecond at which a flow has been silent for the timeout."""
+        return -(-(saved[2] + self.idle) // 1000)
+
+    @staticmethod
+    def _opened(saved: tuple) -> tuple[tuple, np.ndarray, Waiting]:
+        return saved[:4], np.frombuffer(saved[4]).copy(), Waiting(np.frombuffer(saved[5], np.int64), np.frombuffer(saved[6], bool))
+
+    def _saved(self) -> tuple[dict, int | None]:
+        saved = self.open.get() if self.open.exists() else None
+        return (pickle.loads(saved[0]), saved[1]) if saved else ({}, None)
+
+    def _keep(self, flows: dict, timer: int | None) -> None:
+        """Stores the bucket; its one timer is never later than the first end of its flows."""
+        first = min(map(self._ends, flows.values()), default=None)
+        if first is not None and (timer is None or first < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            timer = first
+        if timer is None:
             self.open.clear()
-            return
-        self.open.update((*flow, stats.tolist(), np.concatenate(waiting.t).tolist(), np.concatenate(waiting.fwd).tolist()))
-        self.handle.registerTimer(-(-(flow[2] + self.idle) // 1000))
+        else:
+            self.open.update((pickle.dumps(flows), timer))
 
     @staticmethod
     def _rows(done: list[dict]) -> Iterator[pd.DataFrame]:
         if not done:
-            return iter([])
+            return
         # objects, so that whole numbers and nulls stand beside each other
         frame = pd.DataFrame({c: pd.Series([r.get(c) for r in done], dtype=object) for c in OUTPUT_COLUMNS})
         frame["timestamp"] = pd.to_datetime(frame["timestamp"], utc=True)
-        return iter([frame])
+        yield frame
 
 
 PACKET_FIELDS = ["packet_seq", "t", "pkt_len", "tcp_flags", "win_size", "header_len", "from_a"]
 OUTPUT_COLUMNS = [part.split()[0] for part in OUTPUT_SCHEMA.split(", ")]
 
 
-def stream_flows(packets: DataFrame, idle_timeout: float = 3.0, lateness: str = "1 second", with_late: bool = False) -> DataFrame:
+def stream_flows(
+    packets: DataFrame, idle_timeout: float = 3.0, lateness: str = "1 second", with_late: bool = False, buckets: int = BUCKETS,
+) -> DataFrame:
     """Completed flows of a packet stream, in the columns of the batch form; ``with_late``: and the late packets.
 
+    ``buckets``, the number of parts that the state is dealt to, stays as it is over the life of a checkpoint.
+
     Null fields are filled as in the batch form; packets without a time cannot be placed and are left out.
     """
     spark = packets.sparkSession
@@ -272,12 +318,28 @@ def stream_flows(packets: DataFrame, idle_timeout: float = 3.0, lateness: str =
         *KEY, "packet_seq", "t", "pkt_len", "tcp_flags", "win_size", "header_len",
         ((F.col("src_ip") == F.col("ip_a")) & (F.col("src_port") == F.col("port_a"))).alias("from_a"),
     )
-    flows = keyed.groupBy(*KEY).transformWithStateInPandas(
+    dealt = keyed.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
+    flows = dealt.groupBy("bucket").transformWithStateInPandas(
         FlowProcessor(idle_timeout), outputStructType=OUTPUT_SCHEMA, outputMode="append", timeMode="eventTime",
     )
     return with_flow_id(flows if with_late else on_time(flows))
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Starts streams whose state lies in no more partitions than twice the cores.
+
+    Each partition starts a worker and opens a store in every micro-batch. A stream keeps the number it started with.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def on_time(flows: DataFrame) -> DataFrame:
     return flows.where("termination_reason <> 'late'")
 

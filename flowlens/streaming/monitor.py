@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flowlens.operators import incidents as I
 from flowlens.operators.reports import last_flows, session_counters
 from flowlens.sources.sinks import log_session, with_defaults
-from flowlens.streaming.flow_state import late_packets, on_time
+from flowlens.streaming.flow_state import late_packets, on_time, state_partitions
 from flowlens.streaming.incident_store import IncidentStore
 
 COUNTERS = "packets long, flows long, attacks long, anomalies long, high_risk long, late long"
@@ -90,7 +90,8 @@ class Monitor:
         log_session(self.spark, f"{self.root}/sessions", self.session_id, "start", interface=interface)
         writer = flows.writeStream.foreachBatch(self.store).option("checkpointLocation", f"{self.root}/checkpoint")
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")
-        return writer.start()
+        with state_partitions(self.spark):
+            return writer.start()
 
     def stop(self, query: StreamingQuery) -> None:
         """Stops the query and writes the session's counters."""

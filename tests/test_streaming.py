@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,55 @@ def test_gaps_over_batches_nulls_and_late_packets(spark):
     want = FL.build_flows(packets.where("packet_seq < 10"), 1e6)
     assert flows.count() == want.count() == 3
     assert comparable(flows).exceptAll(comparable(want)).count() == 0
+
+
+def test_a_bucket_of_flows_is_one_value_and_one_timer(spark):
+    class Store:
+        def __init__(self):
+            self.value, self.calls, self.timers = None, 0, set()
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Clock:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    def packets(first, times, tuples=300):
+        rows = [(f"10.0.{i // 256}.{i % 256}", "b", 1, 2, "TCP", first + n * tuples + i, t * 1_000_000 + i, 60, 16, 5, 20, True)
+                for n, t in enumerate(times) for i in range(tuples)]
+        return pd.DataFrame(rows, columns=[*FL.KEY, *ST.PACKET_FIELDS])
+
+    processor, store, clock = ST.FlowProcessor(10.0), Store(), Clock()
+    processor.handle = processor.open = store
+    assert not list(processor.handleInputRows((7,), iter([packets(0, [100, 101]), packets(600, [102])]), clock))
+    assert store.calls == 1 and store.timers == {112_000}
+    clock.now = 105_000
+    assert not list(processor.handleInputRows((7,), iter([packets(900, [106], 5)]), clock))
+    assert store.calls == 3 and store.timers == {112_000}
+    # what is still open keeps the bucket's one timer
+    clock.now, store.timers = 115_000, set()
+    closed = pd.concat(processor.handleExpiredTimer((7,), clock, None))
+    assert len(closed) == 295 and set(closed.packets) == {3} and set(closed.termination_reason) == {"inactivity_timeout"}
+    assert store.timers == {116_000}
+    clock.now, store.timers = ST.DRAIN_MILLIS, set()
+    rest = pd.concat(processor.handleExpiredTimer((7,), clock, None))
+    assert len(rest) == 5 and set(rest.packets) == {4} and set(rest.termination_reason) == {"active"} and not store.exists() and not store.timers
