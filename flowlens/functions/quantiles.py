@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.session import materialize
+
 BUCKETS = 256
 EXACT_ROWS = 1 << 20
 SORT_ROWS = 1 << 16
@@ -27,30 +29,33 @@ _BRACKETS = T.StructType([
 ])
 
 
-def long_form(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
-    """One row (``grp``, ``name``, ``value``) per number of ``columns``; nulls and NaN are left out."""
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").try_cast("double").alias("value")) for c in columns
-    ])
+def numbers(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
+    """``grp`` and the numbers of ``columns`` as doubles ``v0, v1 …``, written once: every round reads them, and what made
+    ``df`` (joins, text parsing) does not run again."""
     label = F.lit("") if group is None else F.coalesce(F.col(f"`{group}`").cast("string"), F.lit(""))
-    return df.select(label.alias("grp"), F.inline(cells)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    values = [F.col(f"`{c}`").try_cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
+    return materialize(df.select(label.alias("grp"), *values), "quantile-numbers")
+
+
+def long_form(written: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (``grp``, ``name``, ``value``) per number of ``columns``; nulls and NaN are left out."""
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"v{i}").alias("value")) for i, c in enumerate(columns)])
+    return written.select("grp", F.inline(cells)).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _wide(df: DataFrame, columns: list[str], group: str | None, *make) -> DataFrame:
+def _wide(written: DataFrame, columns: list[str], *make) -> DataFrame:
     """``grp, name`` and the aggregates ``make`` of each column, from one aggregate without unpivoting rows."""
     cells = []
     for i, c in enumerate(columns):
-        number = F.col(f"`{c}`").try_cast("double")
-        value = F.when(~F.isnan(number), number)
+        value = F.when(~F.isnan(f"v{i}"), F.col(f"v{i}"))
         cells.append(F.struct(F.lit(c).alias("name"), *[m(value) for m in make]).alias(f"c{i}"))
-    label = F.lit("") if group is None else F.coalesce(F.col(f"`{group}`").cast("string"), F.lit(""))
-    found = df.groupBy(label.alias("grp")).agg(*cells)
+    found = written.groupBy("grp").agg(*cells)
     return found.select("grp", F.inline(F.array(*[F.col(f"c{i}") for i in range(len(columns))])))
 
 
-def _spans(df: DataFrame, columns: list[str], group: str | None) -> list[dict]:
+def _spans(written: DataFrame, columns: list[str]) -> list[dict]:
     spans = _wide(
-        df, columns, group, lambda v: F.count(v).alias("n"), lambda v: F.min(v).alias("low"), lambda v: F.max(v).alias("high")
+        written, columns, lambda v: F.count(v).alias("n"), lambda v: F.min(v).alias("low"), lambda v: F.max(v).alias("high")
     )
     return [r.asDict() for r in spans.where("n > 0").collect()]
 
@@ -67,11 +72,12 @@ def exact_quantiles(
 
     ``group`` must be a column of few values (a class vocabulary): groups times columns brackets go to the driver.
     """
-    known = _spans(df, columns, group)
+    written = numbers(df, columns, group)
+    known = _spans(written, columns)
     if all(s["n"] <= exact_rows for s in known):
         wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return _wide(df, columns, group, lambda v: F.percentile(v, wanted).alias("q")).where(F.col("q").isNotNull())
-    rows = long_form(df, columns, group)
+        return _wide(written, columns, lambda v: F.percentile(v, wanted).alias("q")).where(F.col("q").isNotNull())
+    rows = long_form(written, columns)
     # infinities stand at the ends of the double range while brackets are halved
     bounded = rows.withColumn("value", F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col("value"))))
     spans = [

@@ -137,3 +137,16 @@ def test_forest_does_not_depend_on_partitions(spark):
         results.append(trees.orderBy("tree", "node").toPandas())
     assert results[0].equals(results[1])
     assert results[0].groupby("tree").size().max() <= 2 * 64 - 1
+
+
+def test_quantiles_read_their_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    df = spark.range(500).selectExpr("double(id % 97) AS x", "double(id) AS y").mapInPandas(counted, "x double, y double")
+    got = {r.name: list(r.q) for r in exact_quantiles(df, ["x", "y"], [0.25, 0.5], exact_rows=1, sort_rows=5).collect()}
+    assert got["y"] == [124.75, 249.5] and seen.value == 500
