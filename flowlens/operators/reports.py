@@ -137,11 +137,16 @@ def page(predictions: DataFrame, number: int, size: int) -> DataFrame:
     return rows.withColumns({"record_id": place + skip, "warning": S.is_high_risk(F.col("risk_level"))})
 
 
+#: ranges of an index at most: each is a task and a folder
+MAX_RANGES = 1000
+
+
 def page_index(predictions: DataFrame, path: str, rows_per_range: int = 100_000) -> None:
     """Writes the history in page order, newest first, for ``deep_page``: ``rows/range=<n>`` and a small table ``ranges``
-    with the number of rows before each range. Ranges are cut at sampled times, so none grows with the table."""
+    with the number of rows before each range. Ranges are cut at sampled times, of ``rows_per_range`` rows or as many more
+    as keep their number to ``MAX_RANGES``."""
     order = [F.col("timestamp").desc(), F.col("prediction_id")]
-    ranges = max(1, -(-predictions.count() // rows_per_range))
+    ranges = min(MAX_RANGES, max(1, -(-predictions.count() // rows_per_range)))
     ranged = predictions.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
     ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
     # an empty history has columns, too

@@ -159,3 +159,12 @@ def test_results_are_handed_on_whole(spark):
     rows = spark.range(120).withColumnRenamed("id", "flow_seq")
     assert R.result_sample(rows).count() == 120
     assert sorted(r.flow_seq for r in R.result_sample(rows, 7).collect()) == list(range(7))
+
+
+def test_an_index_has_a_bounded_number_of_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "MAX_RANGES", 4)
+    rows = spark.range(300).selectExpr("concat('p', id) AS prediction_id", "timestamp_seconds(id * 7 % 100) AS timestamp", "'High' AS risk_level")
+    R.page_index(rows, str(tmp_path), 5)
+    assert spark.read.parquet(f"{tmp_path}/ranges").where("range >= 0").count() <= 4
+    want = [r.prediction_id for r in R.page(rows, 13, 20).collect()]
+    assert [r.prediction_id for r in R.deep_page(spark, str(tmp_path), 13, 20).collect()] == want
