@@ -100,8 +100,14 @@ def binned(rows: DataFrame, names: list[str], edges: list[np.ndarray], classes:
 
 def _arrays(batch: pa.RecordBatch, features: int, classes: int):
     n = batch.num_rows
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(n, features)
-    margins = np.frombuffer(b"".join(batch.column("margins").to_pylist()), np.float32).reshape(n, classes)
+
+    def packed(name: str, kind, width: int) -> np.ndarray:
+        # all cells of a column are as long as one another, and lie side by side
+        column, size = batch.column(name), width * np.dtype(kind).itemsize
+        start = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset]) if n else 0
+        return np.frombuffer(column.buffers()[2], np.uint8)[start:start + n * size].view(kind).reshape(n, width) if n else np.empty((0, width), kind)
+
+    bins, margins = packed("bins", np.uint8, features), packed("margins", np.float32, classes)
     return bins, margins, batch.column("y").to_numpy(), batch.column("weight").to_numpy()
 
 

@@ -16,6 +16,8 @@ from flowlens.operators import forest as FO
 from flowlens.operators.evaluate import WEIGHT_CAP
 
 SEED = 42
+#: rows of a training partition, which the tree learners keep in memory whole
+PART_ROWS = 1 << 19
 
 
 def _named(classifier):
@@ -35,18 +37,25 @@ def model_input(df: DataFrame, features: list[str], missing: str = "zero") -> Da
 
 
 def with_class_weights(df: DataFrame, label: str, cap: float = WEIGHT_CAP) -> DataFrame:
-    """Balanced class weights as a column; the join side has one row per class."""
+    """Balanced class weights as a column; the join side has one row per class and is sent to the rows, so that no task
+    gets all rows of a class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
     weights = counts.select(label, F.least(F.lit(cap), totals["n"] / (totals["k"] * F.col("_n"))).alias("weight"))
-    return df.join(weights, label)
+    return df.join(F.broadcast(weights), label)
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` of a large table in partitions of about ``PART_ROWS``, whatever the files' splits hold."""
+    parts = -(-rows.count() // PART_ROWS)
+    return rows.repartition(max(parts, rows.sparkSession.sparkContext.defaultParallelism)) if parts > 1 else rows
 
 
 def fit_binary(df: DataFrame, features: list[str], label: str, iterations: int = 100, depth: int = 5) -> PipelineModel:
     xs = _safe(features)
     rows = model_input(df, features).withColumn("y", F.col(label).cast("double"))
     gbt = GBTClassifier(labelCol="y", featuresCol="v", maxIter=iterations, maxDepth=depth, seed=SEED)
-    return Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="v"), _named(gbt)]).fit(rows)
+    return Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="v"), _named(gbt)]).fit(in_parts(rows.select(*xs, "y")))
 
 
 def fit_generalized(df: DataFrame, label: str, iterations: int = 100, depth: int = 5) -> PipelineModel:
@@ -56,7 +65,7 @@ def fit_generalized(df: DataFrame, label: str, iterations: int = 100, depth: int
     filled = [f"{x}_f" for x in xs]
     gbt = GBTClassifier(labelCol="y", featuresCol="v", maxIter=iterations, maxDepth=depth, seed=SEED)
     stages = [Imputer(inputCols=xs, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="v"), _named(gbt)]
-    return Pipeline(stages=stages).fit(rows)
+    return Pipeline(stages=stages).fit(in_parts(rows.select(*xs, "y")))
 
 
 def fit_multiclass(df: DataFrame, features: list[str], label: str, classes: list[str], trees: int = 100, depth: int = 8) -> PipelineModel:
@@ -67,7 +76,7 @@ def fit_multiclass(df: DataFrame, features: list[str], label: str, classes: list
     forest = RandomForestClassifier(
         labelCol="y", featuresCol="v", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="v"), _named(forest)]).fit(rows)
+    return Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="v"), _named(forest)]).fit(in_parts(rows.select(*xs, "y", "weight")))
 
 
 def save(model: PipelineModel, path: str) -> None:

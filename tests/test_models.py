@@ -115,3 +115,24 @@ def test_one_hash_draws_as_many_rows_as_a_hash_a_tree(spark):
     counts = [r["count"] for r in picks.groupBy("tree").count().collect()]
     # 600 rows a tree are expected, each at most once
     assert len(counts) == trees and all(480 < c < 720 for c in counts) and picks.count() == picks.distinct().count()
+
+
+def test_no_task_gets_all_rows_of_a_class(spark):
+    df = spark.range(50).selectExpr("id", "IF(id < 45, 'a', 'b') AS c")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = M.with_class_weights(df, "c")
+        assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_training_partitions_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART_ROWS", 10)
+    rows = M.in_parts(spark.range(0, 200, 1, 1))
+    sizes = [len(p) for p in rows.rdd.glom().collect()]
+    assert sum(sizes) == 200 and max(sizes) <= 20
+    monkeypatch.setattr(M, "PART_ROWS", 1000)
+    assert M.in_parts(spark.range(0, 200, 1, 1)).rdd.getNumPartitions() == 1
