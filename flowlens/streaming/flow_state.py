@@ -3,8 +3,8 @@
 The state is a fixed-size record (counts, moments, extremes, last times) and the times of the packets that wait in a
 reorder buffer. A call into the state store costs far more than folding a flow's packets, so the five-tuples are dealt by
 hash to a fixed number of buckets: a bucket's open flows are read, written and timed together, one value and one timer a
-bucket. Packets of a micro-batch are put in arrival order per five-tuple and folded in with array operations per flow,
-not per packet. Gaps are taken in time order: a packet's time waits until the watermark has passed it, when no older packet
+bucket. Packets of a micro-batch are put in arrival order per five-tuple, and all of a bucket's flows are cut, folded in
+and put out by array operations over the bucket, not flow by flow. Gaps are taken in time order: a packet's time waits until the watermark has passed it, when no older packet
 can follow, or until its flow ends; so gaps are those of the batch form, whatever the micro-batches. The buffer holds the
 packets of ``lateness``, eight bytes each. How much one bucket may hold at once is bounded by the source's trigger options
 and by the number of buckets: some 600 bytes an open flow, some hundred a packet of the micro-batch.
@@ -42,12 +42,11 @@ FIELDS = COUNTERS + [f"{g}_{m}" for g in GROUPS for m in MOMENTS] + LAST + ["fir
 INDEX = {name: i for i, name in enumerate(FIELDS)}
 
 #: five-tuples are dealt to so many buckets
-BUCKETS = 256
+BUCKETS = 64
 #: closed flows handed on at once
 OUTPUT_ROWS = 2000
 
-# ``flows``: pickled {five-tuple: (flow_seq, start_t, last_t, a_opens, statistics, waiting times, their directions)}, where
-# ``a_opens`` tells that the initiator is the lower endpoint; ``timer``: when the bucket is looked at next
+# ``flows``: the pickled arrays of ``Flows``; ``timer``: when the bucket is looked at next
 STATE_SCHEMA = "flows binary, timer long"
 STAT_NAMES = [f"{s}{k}_{m}" for k in ("len", "gap") for s in SIDES for m in ("min", "max", "mean", "std")]
 OUTPUT_SCHEMA = (
@@ -61,112 +60,154 @@ OUTPUT_SCHEMA = (
 )
 
 
-def fresh_stats() -> np.ndarray:
-    stats = np.zeros(len(FIELDS))
-    stats[[INDEX[x] for x in LAST]] = np.nan
+def fresh_stats(flows: int) -> np.ndarray:
+    """One row of statistics a flow."""
+    stats = np.zeros((flows, len(FIELDS)))
+    stats[:, [INDEX[x] for x in LAST]] = np.nan
     return stats
 
 
-def add_moments(stats: np.ndarray, group: str, values: np.ndarray) -> None:
-    """Folds values into the running count, mean, squared deviation and extremes of ``group``."""
-    if not len(values):
-        return
-    at = INDEX[f"{group}_n"]
-    n, mean, m2, low, high, total = stats[at:at + 6]
-    k, avg = len(values), values.mean()
-    shift = avg - mean
-    stats[at:at + 6] = (
-        n + k, mean + shift * k / (n + k), m2 + ((values - avg) ** 2).sum() + shift * shift * n * k / (n + k),
-        values.min() if n == 0 else min(low, values.min()), values.max() if n == 0 else max(high, values.max()),
-        total + values.sum(),
-    )
+def begins_of(flow: np.ndarray) -> np.ndarray:
+    """Places at which the next flow begins in rows that lie flow by flow."""
+    return np.flatnonzero(np.diff(flow, prepend=-1))
 
 
-def fold(stats: np.ndarray, p: dict[str, np.ndarray], fwd: np.ndarray) -> None:
-    """Folds packets of one flow (arrival order) into its counts and lengths."""
-    for side, rows in (("", slice(None)), ("fwd_", fwd), ("bwd_", ~fwd)):
-        add_moments(stats, f"{side}len", p["pkt_len"][rows].astype(float))
-        if side and len(p["t"][rows]):
-            stats[INDEX[f"{side}header"]] += p["header_len"][rows].sum()
-            windows = p["win_size"][rows]
-            if stats[INDEX[f"{side}window"]] == 0 and (windows > 0).any():
-                stats[INDEX[f"{side}window"]] = windows[windows > 0][0]
+def add_moments(stats: np.ndarray, group: str, flow: np.ndarray, values: np.ndarray) -> None:
+    """Folds values, flow by flow, into the running counts, means, squared deviations and extremes of ``group``."""
+    if not len(values):
+        return
+    begin, at = begins_of(flow), INDEX[f"{group}_n"]
+    own = flow[begin]
+    n, mean, m2, low, high, total = stats[own, at:at + 6].T
+    k, sums = np.diff(begin, append=len(values)), np.add.reduceat(values, begin)
+    shift = sums / k - mean
+    least, most = np.minimum.reduceat(values, begin), np.maximum.reduceat(values, begin)
+    stats[own, at:at + 6] = np.stack([
+        n + k, mean + shift * k / (n + k),
+        m2 + np.add.reduceat((values - np.repeat(sums / k, k)) ** 2, begin) + shift * shift * n * k / (n + k),
+        np.where(n == 0, least, np.minimum(low, least)), np.where(n == 0, most, np.maximum(high, most)), total + sums,
+    ], 1)
+
+
+def fold(stats: np.ndarray, flow: np.ndarray, p: dict[str, np.ndarray], fwd: np.ndarray) -> None:
+    """Folds packets (flow by flow, each in arrival order) into the flows' counts and lengths."""
+    for side, rows in (("", np.ones(len(flow), bool)), ("fwd_", fwd), ("bwd_", ~fwd)):
+        add_moments(stats, f"{side}len", flow[rows], p["pkt_len"][rows].astype(float))
+        if side:
+            stats[:, INDEX[f"{side}header"]] += np.bincount(flow[rows], p["header_len"][rows], len(stats))
+            seen = rows & (p["win_size"] > 0)
+            begin = begins_of(flow[seen])
+            own, window = flow[seen][begin], INDEX[f"{side}window"]
+            stats[own, window] = np.where(stats[own, window] == 0, p["win_size"][seen][begin], stats[own, window])
     for name, bit in FLAG_BITS.items():
-        stats[INDEX[f"{name}_count"]] += np.count_nonzero(p["tcp_flags"] & bit)
+        stats[:, INDEX[f"{name}_count"]] += np.bincount(flow[(p["tcp_flags"] & bit) != 0], minlength=len(stats))
 
 
-def fold_gaps(stats: np.ndarray, t: np.ndarray, fwd: np.ndarray) -> None:
-    """Folds times in, none of them before those folded in earlier, as gaps of the flow and of its directions."""
-    order = np.argsort(t, kind="stable")
-    t, fwd = t[order], fwd[order]
+def fold_gaps(stats: np.ndarray, flow: np.ndarray, t: np.ndarray, fwd: np.ndarray) -> None:
+    """Folds times in, none of them before those of its flow folded in earlier, as gaps of the flows and their directions."""
+    order = np.lexsort((t, flow))
+    flow, t, fwd = flow[order], t[order].astype(float), fwd[order]
     for side, rows in (("", slice(None)), ("fwd_", fwd), ("bwd_", ~fwd)):
-        times = t[rows]
+        times, own = t[rows], flow[rows]
         if not len(times):
             continue
-        last = stats[INDEX[f"{side}last"]]
-        gaps = np.diff(times) if np.isnan(last) else np.diff(times, prepend=last)
-        if side == "fwd_" and stats[INDEX["fwd_gap_n"]] == 0 and len(gaps):
-            stats[INDEX["first_fwd_gap"]] = gaps[0]
-        add_moments(stats, f"{side}gap", gaps.astype(float))
-        stats[INDEX[f"{side}last"]] = times[-1]
-
-
-class Waiting:
-    """Times of a flow's packets that the watermark has not passed."""
-
-    def __init__(self, t=(), fwd=()):
-        self.t, self.fwd = [np.array(t, np.int64)], [np.array(fwd, bool)]
-
-    def add(self, t: np.ndarray, fwd: np.ndarray) -> None:
-        self.t.append(t)
-        self.fwd.append(fwd)
-
-    def release(self, stats: np.ndarray, until: int | None = None) -> None:
-        """Folds in what is not newer than ``until`` (None: everything) and keeps the rest."""
-        t, fwd = np.concatenate(self.t), np.concatenate(self.fwd)
-        go = np.ones(len(t), bool) if until is None else t <= until
-        fold_gaps(stats, t[go], fwd[go])
-        self.t, self.fwd = [t[~go]], [fwd[~go]]
-
-
-def late_packet(key: tuple, p: dict[str, np.ndarray], from_a: np.ndarray, i: int) -> dict:
-    """A late packet in the columns of flows; what a lone packet does not have is null."""
-    ends = (key[0], key[1], key[2], key[3]) if from_a[i] else (key[1], key[0], key[3], key[2])
-    out = dict(zip(("src_ip", "dst_ip", "src_port", "dst_port"), ends, strict=True))
-    return out | {
-        "proto": key[4], "flow_seq": int(p["packet_seq"][i]), "timestamp": pd.Timestamp(int(p["t"][i]), unit="us", tz="UTC"),
-        "packets": 1, "bytes": int(p["pkt_len"][i]), "termination_reason": "late", "is_terminated": False,
-    }
-
-
-def closed_flow(key: tuple, flow: tuple, stats: np.ndarray, waiting: Waiting, reason: str) -> dict:
-    waiting.release(stats)
-    flow_seq, start_t, last_t, a_opens = flow
-    ip_a, ip_b, port_a, port_b, _proto = key
-    src_ip, dst_ip, src_port, dst_port = (ip_a, ip_b, port_a, port_b) if a_opens else (ip_b, ip_a, port_b, port_a)
-    get = lambda name: float(stats[INDEX[name]])
-    out = {"proto": key[4], "flow_seq": flow_seq}
+        begin, last = begins_of(own), INDEX[f"{side}last"]
+        before = np.concatenate(([0.0], times[:-1]))
+        before[begin] = stats[own[begin], last]
+        some = ~np.isnan(before)
+        gaps, of = (times - before)[some], own[some]
+        if side == "fwd_":
+            first = begins_of(of)
+            first = first[stats[of[first], INDEX["fwd_gap_n"]] == 0]
+            stats[of[first], INDEX["first_fwd_gap"]] = gaps[first]
+        add_moments(stats, f"{side}gap", of, gaps)
+        stats[own[begin], last] = times[np.append(begin[1:], len(times)) - 1]
+
+
+class Flows:
+    """Flows of a bucket as arrays: five-tuple, times and statistics of each, and the times that the watermark has not passed."""
+
+    def __init__(self, five=(), head=None, a_opens=(), stats=None, at=(), t=(), fwd=()):
+        self.five = list(five)
+        #: flow_seq, first and latest time
+        self.head = np.zeros((0, 3), np.int64) if head is None else head
+        #: the initiator is the lower endpoint
+        self.a_opens = np.array(a_opens, bool)
+        self.stats = fresh_stats(0) if stats is None else stats
+        #: packets that wait: number of the flow, time, direction
+        self.at, self.t, self.fwd = np.array(at, np.int64), np.array(t, np.int64), np.array(fwd, bool)
+
+    def dump(self) -> bytes:
+        return pickle.dumps((self.five, self.head, self.a_opens, self.stats, self.at, self.t, self.fwd))
+
+    def add(self, five: list[tuple], head: np.ndarray, a_opens: np.ndarray) -> None:
+        self.five += five
+        self.head, self.a_opens = np.concatenate([self.head, head]), np.concatenate([self.a_opens, a_opens])
+        self.stats = np.concatenate([self.stats, fresh_stats(len(five))])
+
+    def wait(self, at: np.ndarray, t: np.ndarray, fwd: np.ndarray) -> None:
+        self.at, self.t, self.fwd = (np.concatenate(x) for x in ((self.at, at), (self.t, t), (self.fwd, fwd)))
+
+    def release(self, go: np.ndarray) -> None:
+        """Folds in the waiting packets ``go`` and keeps the rest."""
+        fold_gaps(self.stats, self.at[go], self.t[go], self.fwd[go])
+        self.at, self.t, self.fwd = self.at[~go], self.t[~go], self.fwd[~go]
+
+    def part(self, rows: np.ndarray) -> Flows:
+        """The flows ``rows`` (ascending numbers) with what waits of them."""
+        place = np.full(len(self.five), -1)
+        place[rows] = np.arange(len(rows))
+        own = place[self.at] >= 0
+        return Flows([self.five[i] for i in rows], self.head[rows], self.a_opens[rows], self.stats[rows],
+                     place[self.at[own]], self.t[own], self.fwd[own])
+
+    def ends(self, idle: int) -> np.ndarray:
+        """The millisecond at which each flow has been silent for the timeout."""
+        return -(-(self.head[:, 2] + idle) // 1000)
+
+
+def late_packets_of(tuples: list[tuple], p: dict[str, np.ndarray]) -> pd.DataFrame:
+    """Late packets in the columns of flows; what a lone packet does not have is null."""
+    rows = []
+    for i, five in enumerate(p["five"].tolist()):
+        key = tuples[five]
+        ends = (key[0], key[1], key[2], key[3]) if p["from_a"][i] else (key[1], key[0], key[3], key[2])
+        rows.append(dict(zip(("src_ip", "dst_ip", "src_port", "dst_port"), ends, strict=True)) | {
+            "proto": key[4], "flow_seq": int(p["packet_seq"][i]), "timestamp": pd.Timestamp(int(p["t"][i]), unit="us", tz="UTC"),
+            "packets": 1, "bytes": int(p["pkt_len"][i]), "termination_reason": "late", "is_terminated": False,
+        })
+    # objects, so that whole numbers and nulls stand beside each other
+    frame = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in OUTPUT_COLUMNS})
+    frame["timestamp"] = pd.to_datetime(frame["timestamp"], utc=True)
+    return frame
+
+
+def closed_flows(flows: Flows, reasons: list[str]) -> pd.DataFrame:
+    """Flows that have ended, nothing of them waiting, in the columns of the batch form."""
+    get = lambda name: flows.stats[:, INDEX[name]]
+    whole = lambda name: get(name).astype(np.int64)
+    ip_a, ip_b, port_a, port_b, proto = (np.array(x, object) for x in zip(*flows.five, strict=True))
+    a = flows.a_opens
+    out = {"proto": proto, "flow_seq": flows.head[:, 0]}
     for side in ("fwd", "bwd"):
-        out[f"{side}_packets"] = int(get(f"{side}_len_n"))
-        out[f"{side}_bytes"] = int(get(f"{side}_len_total"))
+        out[f"{side}_packets"], out[f"{side}_bytes"] = whole(f"{side}_len_n"), whole(f"{side}_len_total")
     for name in COUNTERS:
-        out[name] = int(get(name))
+        out[name] = whole(name)
     for group in GROUPS:
         n = get(f"{group}_n")
         for m in ("min", "max", "mean"):
             out[f"{group}_{m}"] = get(f"{group}_{m}")
-        out[f"{group}_std"] = (get(f"{group}_m2") / n) ** 0.5 if n else 0.0
+        out[f"{group}_std"] = np.sqrt(get(f"{group}_m2") / np.maximum(n, 1))
         if group.endswith("gap"):
             out[f"{group}_total"] = get(f"{group}_total")
-    out["len_var"] = out["len_std"] ** 2
-    out["first_fwd_gap"] = get("first_fwd_gap")
-    out.update(
-        flow_id=None, timestamp=pd.Timestamp(start_t, unit="us", tz="UTC"), src_ip=src_ip, dst_ip=dst_ip,
-        src_port=src_port, dst_port=dst_port, seconds=max(1e-6, (last_t - start_t) / 1e6),
-        packets=out["fwd_packets"] + out["bwd_packets"], bytes=out["fwd_bytes"] + out["bwd_bytes"],
-        termination_reason=reason, is_terminated=reason != "active",
-    )
-    return out
+    out["len_var"], out["first_fwd_gap"], out["flow_id"] = out["len_std"] ** 2, get("first_fwd_gap"), None
+    out["timestamp"] = pd.to_datetime(flows.head[:, 1], unit="us", utc=True)
+    out["src_ip"], out["dst_ip"] = np.where(a, ip_a, ip_b), np.where(a, ip_b, ip_a)
+    out["src_port"], out["dst_port"] = np.where(a, port_a, port_b), np.where(a, port_b, port_a)
+    out["seconds"] = np.maximum(1e-6, (flows.head[:, 2] - flows.head[:, 1]) / 1e6)
+    out["packets"], out["bytes"] = out["fwd_packets"] + out["bwd_packets"], out["fwd_bytes"] + out["bwd_bytes"]
+    out["termination_reason"], out["is_terminated"] = reasons, [r != "active" for r in reasons]
+    return pd.DataFrame(out, columns=OUTPUT_COLUMNS)
 
 
 class FlowProcessor(StatefulProcessor):
@@ -178,22 +219,24 @@ class FlowProcessor(StatefulProcessor):
         self.open = handle.getValueState("open", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tuples, p = self._by_tuple(rows)
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         flows, timer = self._saved()
-        done = []
-        for five, part in zip(tuples, p, strict=True):
-            done += self._advance(five, part, passed, flows)
-            if len(done) >= OUTPUT_ROWS:
-                yield from self._rows(done)
-                done = []
-        self._keep(flows, timer)
-        yield from self._rows(done)
+        tuples, p = self._by_tuple(rows, flows.five)
+        late = p["t"] <= passed if passed > 0 else np.zeros(len(p["t"]), bool)
+        if late.any():
+            yield from in_parts(late_packets_of(tuples, {c: v[late] for c, v in p.items()}))
+        reasons = self._advance(tuples, {c: v[~late] for c, v in p.items()}, flows)
+        closed = np.array([r is not None for r in reasons], bool)
+        go = closed[flows.at]
+        flows.release(go | (flows.t <= passed) if passed > 0 else go)
+        self._keep(flows.part(np.flatnonzero(~closed)), timer)
+        if closed.any():
+            yield from in_parts(closed_flows(flows.part(np.flatnonzero(closed)), [r for r in reasons if r is not None]))
 
     @staticmethod
-    def _by_tuple(rows: Iterator[pd.DataFrame]) -> tuple[list[tuple], Iterator[dict[str, np.ndarray]]]:
-        """The five-tuples of a micro-batch, and each one's packets in arrival order."""
-        number: dict[tuple, int] = {}
+    def _by_tuple(rows: Iterator[pd.DataFrame], known: list[tuple]) -> tuple[list[tuple], dict[str, np.ndarray]]:
+        """Five-tuples, those of open flows first, and a micro-batch's packets by five-tuple and arrival."""
+        number = {k: i for i, k in enumerate(known)}
         chunks = []
         for part in rows:
             part = part[part["proto"] != DRAIN_PROTOCOL]
@@ -202,80 +245,65 @@ class FlowProcessor(StatefulProcessor):
             chunks.append(chunk)
         p = {c: np.concatenate([chunk[c] for chunk in chunks]) for c in [*PACKET_FIELDS, "five"]}
         order = np.lexsort((p["packet_seq"], p["five"]))
-        p = {c: v[order] for c, v in p.items()}
-        sides = np.searchsorted(p.pop("five"), np.arange(len(number) + 1))
-        return list(number), ({c: v[a:z] for c, v in p.items()} for a, z in zip(sides[:-1], sides[1:], strict=True))
-
-    def _advance(self, key: tuple, p: dict[str, np.ndarray], passed: int, flows: dict) -> list[dict]:
-        """Folds one five-tuple's packets into its open flow in ``flows``; the flows that end and the late packets."""
-        from_a = p.pop("from_a")
-        late = p["t"] <= passed if passed > 0 else np.zeros(len(from_a), bool)
-        done = [late_packet(key, p, from_a, i) for i in np.flatnonzero(late)]
-        p, from_a = {c: v[~late] for c, v in p.items()}, from_a[~late]
-        size = len(from_a)
+        return list(number), {c: v[order] for c, v in p.items()}
+
+    def _advance(self, tuples: list[tuple], p: dict[str, np.ndarray], flows: Flows) -> list[str | None]:
+        """Folds packets into the open flows and those that they open; why each flow has ended, if it has."""
+        size, known, five, t = len(p["t"]), len(flows.five), p["five"], p["t"]
         if not size:
-            return done
-        flow, stats, waiting = self._opened(flows.pop(key)) if key in flows else (None, None, None)
-        terms = np.flatnonzero(p["tcp_flags"] & 5)
-        start = 0
-        for end in [*(terms + 1), size]:
-            while start < end:
-                seen = np.maximum.accumulate(p["t"][start:end])
-                before = np.concatenate(([flow[2] if flow else seen[0]], seen[:-1]))
-                if flow:
-                    before = np.maximum(before, flow[2])
-                silent = np.flatnonzero(p["t"][start:end] - before >= self.idle)
-                if flow and len(silent) and silent[0] == 0:
-                    done.append(closed_flow(key, flow, stats, waiting, "inactivity_timeout"))
-                    flow, stats = None, None
-                    continue
-                stop = start + int(silent[0]) if len(silent) else end
-                if flow is None:
-                    flow = (int(p["packet_seq"][start]), int(p["t"][start]), int(p["t"][start]), bool(from_a[start]))
-                    stats, waiting = fresh_stats(), Waiting()
-                part = slice(start, stop)
-                fwd = from_a[part] == flow[3]
-                fold(stats, {k: v[part] for k, v in p.items()}, fwd)
-                waiting.add(p["t"][part], fwd)
-                flow = (*flow[:2], max(flow[2], int(p["t"][part].max())), *flow[3:])
-                if stop < end:
-                    done.append(closed_flow(key, flow, stats, waiting, "inactivity_timeout"))
-                    flow, stats = None, None
-                start = stop
-            if flow is not None and end and p["tcp_flags"][end - 1] & 5:
-                flags = int(p["tcp_flags"][end - 1])
-                done.append(closed_flow(key, flow, stats, waiting, "tcp_fin" if flags & 1 else "tcp_rst"))
-                flow, stats = None, None
-        if flow is not None:
-            if passed > 0:
-                waiting.release(stats, passed)
-            flows[key] = (*flow, stats.tobytes(), np.concatenate(waiting.t).tobytes(), np.concatenate(waiting.fwd).tobytes())
-        return done
+            return [None] * known
+        # a run of packets ends with its five-tuple, and with FIN or RST; the first of a five-tuple goes on with its open flow
+        ended = (p["tcp_flags"] & 5) != 0
+        first = np.diff(five, prepend=-1) != 0
+        begins = first | np.concatenate(([False], ended[:-1]))
+        run, begin = np.cumsum(begins) - 1, np.flatnonzero(begins)
+        carried = first[begin][run] & (five < known)
+        # the latest time before each packet of its run, by the times' ranks, as these do not overflow
+        values, rank = np.unique(t, return_inverse=True)
+        latest = values[np.maximum.accumulate(rank + run * size) - run * size]
+        before = np.where(begins, t, np.concatenate((t[:1], latest[:-1])))
+        last = flows.head[five[carried], 2]
+        before[carried] = np.where(begins[carried], last, np.maximum(before[carried], last))
+        silent = t - before >= self.idle
+        opens = (begins & ~carried) | silent
+        opened = np.cumsum(opens)
+        same = carried & (opened == (opened - opens)[begin][run])
+        flow = np.where(same, five, known + opened - 1)
+        left = np.where(begins, five, np.concatenate((flow[:1], flow[:-1])))[silent]
+        flows.add([tuples[i] for i in five[opens].tolist()], np.stack([p["packet_seq"], t, t], 1)[opens].astype(np.int64), p["from_a"][opens].astype(bool))
+        order = np.argsort(flow, kind="stable")
+        p, own = {c: v[order] for c, v in p.items()}, flow[order]
+        fwd = p["from_a"] == flows.a_opens[own]
+        fold(flows.stats, own, p, fwd)
+        flows.wait(own, p["t"], fwd)
+        at = begins_of(own)
+        flows.head[own[at], 2] = np.maximum(flows.head[own[at], 2], np.maximum.reduceat(p["t"], at))
+        reasons: list[str | None] = [None] * len(flows.five)
+        for i in left.tolist():
+            reasons[i] = "inactivity_timeout"
+        over = (p["tcp_flags"] & 5) != 0
+        for i, fin in zip(own[over].tolist(), (p["tcp_flags"][over] & 1).tolist(), strict=True):
+            reasons[i] = "tcp_fin" if fin else "tcp_rst"
+        return reasons
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         reason = "active" if now >= DRAIN_MILLIS else "inactivity_timeout"
         flows, _ = self._saved()
-        due = [five for five, saved in flows.items() if self._ends(saved) <= now]
-        for at in range(0, len(due), OUTPUT_ROWS):
-            yield from self._rows([closed_flow(five, *self._opened(flows.pop(five)), reason) for five in due[at:at + OUTPUT_ROWS]])
-        self._keep(flows, None)
-
-    def _ends(self, saved: tuple) -> int:
-        """The millisecond at which a flow has been silent for the timeout."""
-        return -(-(saved[2] + self.idle) // 1000)
-
-    @staticmethod
-    def _opened(saved: tuple) -> tuple[tuple, np.ndarray, Waiting]:
-        return saved[:4], np.frombuffer(saved[4]).copy(), Waiting(np.frombuffer(saved[5], np.int64), np.frombuffer(saved[6], bool))
-
-    def _saved(self) -> tuple[dict, int | None]:
+        due = flows.ends(self.idle) <= now
+        self._keep(flows.part(np.flatnonzero(~due)), None)
+        if due.any():
+            ended = flows.part(np.flatnonzero(due))
+            ended.release(np.ones(len(ended.at), bool))
+            yield from in_parts(closed_flows(ended, [reason] * len(ended.five)))
+
+    def _saved(self) -> tuple[Flows, int | None]:
         saved = self.open.get() if self.open.exists() else None
-        return (pickle.loads(saved[0]), saved[1]) if saved else ({}, None)
+        return (Flows(*pickle.loads(saved[0])), saved[1]) if saved else (Flows(), None)
 
-    def _keep(self, flows: dict, timer: int | None) -> None:
+    def _keep(self, flows: Flows, timer: int | None) -> None:
         """Stores the bucket; its one timer is never later than the first end of its flows."""
-        first = min(map(self._ends, flows.values()), default=None)
+        first = int(flows.ends(self.idle).min()) if flows.five else None
         if first is not None and (timer is None or first < timer):
             if timer is not None:
                 self.handle.deleteTimer(timer)
@@ -284,16 +312,12 @@ class FlowProcessor(StatefulProcessor):
         if timer is None:
             self.open.clear()
         else:
-            self.open.update((pickle.dumps(flows), timer))
+            self.open.update((flows.dump(), timer))
 
-    @staticmethod
-    def _rows(done: list[dict]) -> Iterator[pd.DataFrame]:
-        if not done:
-            return
-        # objects, so that whole numbers and nulls stand beside each other
-        frame = pd.DataFrame({c: pd.Series([r.get(c) for r in done], dtype=object) for c in OUTPUT_COLUMNS})
-        frame["timestamp"] = pd.to_datetime(frame["timestamp"], utc=True)
-        yield frame
+
+def in_parts(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(frame), OUTPUT_ROWS):
+        yield frame.iloc[at:at + OUTPUT_ROWS]
 
 
 PACKET_FIELDS = ["packet_seq", "t", "pkt_len", "tcp_flags", "win_size", "header_len", "from_a"]
@@ -327,13 +351,13 @@ def stream_flows(
 
 @contextmanager
 def state_partitions(spark: SparkSession):
-    """Starts streams whose state lies in no more partitions than twice the cores.
+    """Starts streams whose state lies in no more partitions than there are cores.
 
     Each partition starts a worker and opens a store in every micro-batch. A stream keeps the number it started with.
     """
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
-    spark.conf.set(name, min(int(before), 2 * spark.sparkContext.defaultParallelism))
+    spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
     try:
         yield
     finally:

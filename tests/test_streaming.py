@@ -236,3 +236,26 @@ def test_a_bucket_of_flows_is_one_value_and_one_timer(spark):
     clock.now, store.timers = ST.DRAIN_MILLIS, set()
     rest = pd.concat(processor.handleExpiredTimer((7,), clock, None))
     assert len(rest) == 5 and set(rest.packets) == {4} and set(rest.termination_reason) == {"active"} and not store.exists() and not store.timers
+
+
+def test_a_bucket_is_folded_in_at_once(monkeypatch):
+    """Cuts, ends and directions of many flows by one fold over the bucket; before, every flow was folded by itself."""
+    calls, fold = [], ST.fold
+    monkeypatch.setattr(ST, "fold", lambda *a: (calls.append(1), fold(*a)))
+    rows = []
+    for i in range(200):
+        for n, (t, flags, from_a) in enumerate([(1, 16, True), (3, 16, False), (2, 17, True), (4, 16, False), (20, 4, True), (21, 16, True)]):
+            rows.append((f"10.0.0.{i}", "b", 1, 2, "TCP", n * 200 + i, t * 1_000_000, 10 * (n + 1), flags, n, 5, from_a))
+    processor, flows = ST.FlowProcessor(10.0), ST.Flows()
+    tuples, p = processor._by_tuple(iter([pd.DataFrame(rows, columns=[*FL.KEY, *ST.PACKET_FIELDS])]), flows.five)
+    reasons = processor._advance(tuples, p, flows)
+    assert len(calls) == 1 and len(flows.five) == 800
+    assert [reasons.count(r) for r in ("tcp_fin", "inactivity_timeout", "tcp_rst", None)] == [200] * 4
+    flows.release(pd.Series(True, range(len(flows.at))).to_numpy())
+    out = ST.closed_flows(flows, [r or "active" for r in reasons])
+    fin = out[out.termination_reason == "tcp_fin"]
+    assert set(fin.packets) == {3} and set(fin.bytes) == {60} and set(fin.fwd_packets) == {2} and set(fin.bwd_window) == {1}
+    assert set(fin.gap_total) == {2e6} and set(fin.gap_max) == {1e6} and set(fin.first_fwd_gap) == {1e6} and set(fin.seconds) == {2.0}
+    # the reply opens the flow after the end, so its sender is the source
+    idle = out[out.termination_reason == "inactivity_timeout"]
+    assert set(idle.src_ip) == {"b"} and set(idle.packets) == {1} and set(idle.fwd_bytes) == {40}
