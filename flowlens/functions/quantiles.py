@@ -29,12 +29,13 @@ _BRACKETS = T.StructType([
 ])
 
 
-def numbers(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
-    """``grp`` and the numbers of ``columns`` as doubles ``v0, v1 …``, written once: every round reads them, and what made
-    ``df`` (joins, text parsing) does not run again."""
+def numbers(df: DataFrame, columns: list[str], group: str | None = None, stored: bool = False) -> DataFrame:
+    """``grp`` and the numbers of ``columns`` as doubles ``v0, v1 …``, written once unless ``stored`` says that ``df`` is a
+    written table: every round reads them, and what made ``df`` (joins, text parsing) does not run again."""
     label = F.lit("") if group is None else F.coalesce(F.col(f"`{group}`").cast("string"), F.lit(""))
     values = [F.col(f"`{c}`").try_cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
-    return materialize(df.select(label.alias("grp"), *values), "quantile-numbers")
+    made = df.select(label.alias("grp"), *values)
+    return made if stored else materialize(made, "quantile-numbers")
 
 
 def long_form(written: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,12 +68,13 @@ def exact_quantiles(
     group: str | None = None,
     exact_rows: int = EXACT_ROWS,
     sort_rows: int = SORT_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """``grp, name, q`` where ``q`` is the array of linearly interpolated quantiles at ``probs``.
 
     ``group`` must be a column of few values (a class vocabulary): groups times columns brackets go to the driver.
     """
-    written = numbers(df, columns, group)
+    written = numbers(df, columns, group, stored)
     known = _spans(written, columns)
     if all(s["n"] <= exact_rows for s in known):
         wanted = F.array(*[F.lit(float(p)) for p in probs])

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from flowlens import schemas as SC
 from flowlens.functions.quantiles import exact_quantiles
 from flowlens.operators.rules import numeric_columns
+from flowlens.session import materialize
 
 
 def _q(name: str) -> Column:
@@ -67,8 +68,13 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """mean, sample deviation, min, quartiles and max per numeric column, four decimals, over all rows."""
+    """mean, sample deviation, min, quartiles and max per numeric column, four decimals, over all rows.
+
+    For exact quartiles the columns are written once, and all figures come from there.
+    """
     names = columns or numeric_columns(df)
+    if not approximate:
+        df = materialize(df.select(*map(_q, names)), "numeric-columns")
     number = {c: F.when(~F.isnan(_q(c)), _q(c)) if _is_float(df, c) else _q(c) for c in names}
     wide = df.agg(*[
         F.struct(
@@ -87,7 +93,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, approximate
             F.struct(F.lit(c).alias("name"), F.col(f"q{i}").alias("q")) for i, c in enumerate(names)
         ])))
     else:
-        quart = exact_quantiles(df, names, probs).select("name", "q")
+        quart = exact_quantiles(df, names, probs, stored=True).select("name", "q")
     # one row per column on both sides
     joined = basic.join(quart, "name", "left")
     s, q = F.col("s"), F.col("q")

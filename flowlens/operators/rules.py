@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from flowlens import schemas as SC
 from flowlens.functions.quantiles import quantile_row
 from flowlens.plans.mapping import pick
+from flowlens.session import materialize
 
 RATE_FLOOR, RATE_SPREAD = 5_000.0, 3.0
 BYTES_FLOOR, BYTES_SPREAD = 10_000_000.0, 4.0
@@ -63,14 +64,19 @@ def rule_inputs(columns: list[str]) -> RuleInputs:
     )
 
 
-def thresholds(df: DataFrame, inputs: RuleInputs) -> dict[str, float]:
-    """Rate and volume thresholds from the table's quartiles."""
-    measured = {"dos": inputs.rate, "exfil": inputs.volume}
-    present = {k: v for k, v in measured.items() if v is not None}
+def measured(df: DataFrame, inputs: RuleInputs) -> DataFrame:
+    """The measures ``dos`` and ``exfil`` of every row, as far as the table has them, written once."""
+    measures = {"dos": inputs.rate, "exfil": inputs.volume}
+    return materialize(df.select(*[v.alias(k) for k, v in measures.items() if v is not None]), "rule-measures")
+
+
+def thresholds(df: DataFrame, inputs: RuleInputs, written: DataFrame | None = None) -> dict[str, float]:
+    """Rate and volume thresholds from the table's quartiles; ``written``: the table's measures, if they are at hand."""
     limits = {"dos": (RATE_FLOOR, RATE_SPREAD), "exfil": (BYTES_FLOOR, BYTES_SPREAD)}
-    if not present:
+    if inputs.rate is None and inputs.volume is None:
         return {}
-    quartiles = quantile_row(df.select(*[v.alias(k) for k, v in present.items()]), list(present), [0.25, 0.75])
+    written = measured(df, inputs) if written is None else written
+    quartiles = quantile_row(written, written.columns, [0.25, 0.75], stored=True)
     return {k: dispersion_threshold(q[0], q[1], *limits[k]) for k, q in quartiles.items()}
 
 

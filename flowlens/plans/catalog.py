@@ -388,8 +388,10 @@ def q_rule_fan_out_rows(spark, sf):
 @query
 def q_rule_thresholds(spark, sf):
     rows = V.flow_table(spark, sf)
-    limits = RU.thresholds(rows, RU.rule_inputs(rows.columns))
-    counted = rows.agg(F.count(F.lit(1)).alias("total_rows"))
+    inputs = RU.rule_inputs(rows.columns)
+    written = RU.measured(rows, inputs)
+    limits = RU.thresholds(rows, inputs, written)
+    counted = written.agg(F.count(F.lit(1)).alias("total_rows"))
     return counted.select("total_rows", *[F.round(F.lit(v), 2).alias(f"{k}_threshold") for k, v in sorted(limits.items())])
 
 

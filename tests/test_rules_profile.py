@@ -150,3 +150,23 @@ def test_quantiles_read_their_table_once(spark):
     df = spark.range(500).selectExpr("double(id % 97) AS x", "double(id) AS y").mapInPandas(counted, "x double, y double")
     got = {r.name: list(r.q) for r in exact_quantiles(df, ["x", "y"], [0.25, 0.5], exact_rows=1, sort_rows=5).collect()}
     assert got["y"] == [124.75, 249.5] and seen.value == 500
+
+
+def test_summaries_and_thresholds_read_their_table_once(spark):
+    """What makes the rows runs once for all figures of a summary, and once for the thresholds and the count."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100).select(F.col("id").cast("double").alias("flow_packets_per_sec"), F.lit(2.0).alias("total_bytes"))
+    rows = rows.mapInArrow(count, rows.schema)
+    found = P.numeric_summary(rows, ["flow_packets_per_sec"]).first()
+    assert (found["mean"], found["p25"], found["max"]) == (49.5, 24.75, 99.0) and made.value == 100
+    inputs = RU.RuleInputs(rate=F.col("flow_packets_per_sec"), port=None, source=None, forward=None, backward=None, volume=F.col("total_bytes"))
+    written = RU.measured(rows, inputs)
+    limits = RU.thresholds(rows, inputs, written)
+    assert limits == {"dos": RU.RATE_FLOOR, "exfil": RU.BYTES_FLOOR} and written.count() == 100 and made.value == 200
+    assert RU.thresholds(rows, inputs) == limits
