@@ -1,10 +1,11 @@
-"""Language-model scores: a causal self-attention model over subword classes, and an add-one word model beside it.
+"""Language-model scores: a causal self-attention model over subword ids, and an add-one word model beside it.
 
 The attention model sees windows of ``WINDOW`` subword ids, each shifted by ``STRIDE``, so that every id is scored once
-with context from the window before. Ids belong to ``CLASSES`` classes of about equal frequency; the model gives a class
-its probability, and the counts of all training texts divide it among the class's ids. One layer, trained in numpy: in
-each round every Spark task runs Adam over its share of the windows from the same start, and the parameters are averaged
-by windows. A window belongs to one of the rounds, by hash, so that all of them together are one pass over all texts.
+with context from the window before. Every id has its own embedding. What is predicted is one of ``CLASSES`` classes of
+ids of about equal frequency: the model gives a class its probability, and the counts of all training texts divide it
+among the class's ids. One layer, trained in numpy: in each round every Spark task runs Adam over its share of the texts
+from the same start, and the changes are averaged, those of an embedding by how often each task met its id. A text
+belongs to one of the rounds, by hash, so that all of them together are one pass over all texts.
 
 The word model needs the count of every word in all training texts. Words are packed by task and by range of their hash:
 each range meets in one place, where counts are added up and each document's part of the sum is taken; the parts then
@@ -29,7 +30,7 @@ from flowlens.session import materialize
 PACK = 1_000_000
 CLASSES, DIM, WINDOW, STRIDE = 64, 16, 16, 12
 LEAD = WINDOW - STRIDE
-#: Every window is trained on in one of so many rounds.
+#: Every text is trained on in one of so many rounds.
 ROUNDS, BATCH, RATE = 3, 64, 0.01
 SCORED = 64
 
@@ -164,40 +165,56 @@ def word_scores(rows):
 
 # --- the attention model ---------------------------------------------------------------------------------------------
 
-SHAPES = {"E": (CLASSES + 1, DIM), "P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "O": (DIM, DIM),
-          "U": (DIM, CLASSES), "b": (CLASSES,)}
+SHAPES = {"P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "O": (DIM, DIM), "U": (DIM, CLASSES), "b": (CLASSES,),
+          "E": (CLASSES + 1, DIM)}
+#: All parameters lie in one table of rows of ``DIM``; the embeddings begin at this row.
+FIRST = sum(int(np.prod(s)) for k, s in SHAPES.items() if k != "E") // DIM
 FUTURE = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def start_parameters(log_share: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+def start_parameters(log_share: np.ndarray, classes: np.ndarray | None = None, seed: int = 5) -> dict[str, np.ndarray]:
+    """``classes``: of each id; the ids' embeddings start as those of their classes. The last row is the start of a text."""
     rng = np.random.default_rng(seed)
     out = {k: (rng.standard_normal(s) / np.sqrt(DIM)).astype(np.float32) for k, s in SHAPES.items()}
-    out["U"] *= 0.1
+    out["U"] *= np.float32(0.1)
     out["b"] = log_share.astype(np.float32)
+    if classes is not None:
+        out["E"] = out["E"][np.append(classes, CLASSES)]
     return out
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES])
+    return np.concatenate([p[k].reshape(-1, DIM) for k in SHAPES])
 
 
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
+def unflat(rows: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters as views of the table."""
+    out, at = {"E": rows[FIRST:]}, 0
     for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k], at = np.asarray(values[at:at + n], np.float32).reshape(s), at + n
+        if k != "E":
+            n = int(np.prod(s)) // DIM
+            out[k], at = rows[at:at + n].reshape(s), at + n
     return out
 
 
+def times(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    return (x.reshape(-1, x.shape[-1]) @ matrix).reshape(*x.shape[:-1], -1)
+
+
 def attend(p, inputs):
     """Hidden states of the scored positions, and what the gradient needs. Every position sees itself and what is before."""
-    x = p["E"][inputs] + p["P"]
-    q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
-    s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(DIM)) + FUTURE
-    s = np.exp(s - s.max(-1, keepdims=True))
-    a = s / s.sum(-1, keepdims=True)
+    x = p["E"][inputs]
+    x += p["P"]
+    late = x[:, LEAD:]
+    q, k, v = times(late, p["Q"]), times(x, p["K"]), times(x, p["V"])
+    a = q @ k.transpose(0, 2, 1)
+    a *= np.float32(1 / np.sqrt(DIM))
+    a += FUTURE[LEAD:]
+    a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(-1, keepdims=True)
     z = a @ v
-    return (x + z @ p["O"])[:, LEAD:], (x, q, k, v, a, z)
+    return late + times(z, p["O"]), (x, q, k, v, a, z)
 
 
 def log_softmax(logits):
@@ -206,69 +223,86 @@ def log_softmax(logits):
 
 
 def class_scores(p, inputs, targets):
-    """Natural log probability of each target class (windows x STRIDE), without what only the gradient needs."""
-    x = p["E"][inputs]
-    x += p["P"]
-    qkv = x.reshape(-1, DIM) @ np.concatenate((p["Q"] / np.float32(np.sqrt(DIM)), p["K"], p["V"]), 1)
-    q, k, v = (np.ascontiguousarray(qkv[:, i * DIM:(i + 1) * DIM]).reshape(x.shape) for i in range(3))
-    a = q[:, LEAD:] @ k.transpose(0, 2, 1)
-    a += FUTURE[LEAD:]
-    a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    z = a @ v
-    z /= a.sum(-1, keepdims=True)
-    hidden = x[:, LEAD:].reshape(-1, DIM) + z.reshape(-1, DIM) @ p["O"]
-    logits = hidden @ p["U"]
-    logits += p["b"]
-    hit = logits[np.arange(len(logits)), targets.ravel()]
-    top = logits.max(-1)
-    logits -= top[:, None]
+    """Natural log probability of each target class (windows x STRIDE)."""
+    hidden, _ = attend(p, inputs)
+    # a class a row: the sums run along the positions
+    logits = p["U"].T @ hidden.reshape(-1, DIM).T
+    logits += p["b"][:, None]
+    hit = logits[targets.ravel(), np.arange(logits.shape[1])]
+    top = logits.max(0)
+    logits -= top
     np.exp(logits, out=logits)
-    return (hit - top - np.log(logits @ np.ones(CLASSES, np.float32))).reshape(targets.shape)
+    return (hit - top - np.log(logits.sum(0))).reshape(targets.shape)
 
 
-def gradient(p, inputs, targets, weight):
-    """Of the mean negative log probability over positions of weight 1."""
+def gradients(p, inputs, targets, weight):
+    """Of the mean negative log probability over positions of weight 1: by parameter, and by input for the embeddings."""
     hidden, (x, q, k, v, a, z) = attend(p, inputs)
-    flat_hidden = hidden.reshape(-1, DIM)
-    d = np.exp(log_softmax(flat_hidden @ p["U"] + p["b"]))
-    d[np.arange(len(d)), targets.ravel()] -= 1
-    d *= (weight.ravel() / max(weight.sum(), 1))[:, None]
-    g = {"U": flat_hidden.T @ d, "b": d.sum(0)}
-    dh = np.zeros_like(x)
-    dh[:, LEAD:] = (d @ p["U"].T).reshape(hidden.shape)
-    g["O"] = z.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
-    dz = dh @ p["O"].T
-    dv, da = a.transpose(0, 2, 1) @ dz, dz @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) / np.float32(np.sqrt(DIM))
+    positions = hidden.reshape(-1, DIM)
+    d = p["U"].T @ positions.T
+    d += p["b"][:, None]
+    d -= d.max(0)
+    np.exp(d, out=d)
+    d /= d.sum(0)
+    d[targets.ravel(), np.arange(d.shape[1])] -= 1
+    d *= weight.ravel() / max(weight.sum(), 1)
+    g = {"U": positions.T @ d.T, "b": d.sum(1)}
+    dh = d.T @ p["U"].T
+    g["O"] = z.reshape(-1, DIM).T @ dh
+    dz = (dh @ p["O"].T).reshape(z.shape)
+    dv, ds = a.transpose(0, 2, 1) @ dz, dz @ v.transpose(0, 2, 1)
+    ds -= (ds * a).sum(-1, keepdims=True)
+    ds *= a
+    ds *= np.float32(1 / np.sqrt(DIM))
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    for name, y in (("Q", dq), ("K", dk), ("V", dv)):
-        g[name] = x.reshape(-1, DIM).T @ y.reshape(-1, DIM)
-    dx = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+    late = np.ascontiguousarray(x[:, LEAD:])
+    for name, own, y in (("Q", late, dq), ("K", x, dk), ("V", x, dv)):
+        g[name] = own.reshape(-1, DIM).T @ y.reshape(-1, DIM)
+    dx = times(dk, p["K"].T)
+    dx += times(dv, p["V"].T)
+    dx[:, LEAD:] += times(dq, p["Q"].T)
+    dx[:, LEAD:] += dh.reshape(hidden.shape)
     g["P"] = dx.sum(0)
-    hot = np.zeros((inputs.size, CLASSES + 1), np.float32)
-    hot[np.arange(inputs.size), inputs.ravel()] = 1
-    g["E"] = hot.T @ dx.reshape(-1, DIM)
+    return g, dx
+
+
+def by_id(inputs, dx):
+    """The distinct input ids, how often each occurs, and the sum of its gradients."""
+    given = inputs.ravel()
+    order = np.argsort(given)
+    begins = np.flatnonzero(np.diff(given[order], prepend=-1))
+    return given[order[begins]], np.diff(np.append(begins, len(given))), np.add.reduceat(dx.reshape(-1, DIM)[order], begins, axis=0)
+
+
+def gradient(p, inputs, targets, weight):
+    """All gradients, with one row for every embedding."""
+    g, dx = gradients(p, inputs, targets, weight)
+    ids, _, rows = by_id(inputs, dx)
+    g["E"] = np.zeros_like(p["E"])
+    g["E"][ids] = rows
     return g
 
 
-def windows_of(classes: np.ndarray, offsets: np.ndarray, end_class: int):
-    """Inputs, targets, weights and document of all windows. ``classes``: those of all texts, ``offsets``: their begins."""
+def windows_of(classes: np.ndarray, offsets: np.ndarray, end_class: int, ids: np.ndarray | None = None, start: int = CLASSES):
+    """Inputs, targets, weights and document of all windows. ``classes``: those of all texts, ``offsets``: their begins.
+
+    The inputs are the texts' ``ids``, if given, and ``start`` before a text.
+    """
     sizes = np.diff(offsets) + 1
     number = -(-sizes // STRIDE)
     doc = np.repeat(np.arange(len(sizes)), number)
     first = (np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)) * STRIDE
-    padded = np.append(classes, end_class)
 
-    def at(place, fill):
+    def at(values, place, fill):
         inside = (place >= 0) & (place < (sizes[doc] - 1)[:, None])
+        padded = np.append(values, fill)
         return np.where(inside, padded[np.where(inside, offsets[doc][:, None] + place, 0)], fill)
 
     targets = first[:, None] + np.arange(STRIDE)
     weight = (targets < sizes[doc][:, None]).astype(np.float32)
-    # position t is predicted from what ends at t - 1; before the text stands the start class
-    inputs = at(first[:, None] + np.arange(WINDOW) - LEAD - 1, CLASSES)
-    return inputs, at(targets, end_class), weight, doc
+    # position t is predicted from what ends at t - 1; before the text stands the start
+    inputs = at(classes if ids is None else ids.astype(np.int64), first[:, None] + np.arange(WINDOW) - LEAD - 1, start)
+    return inputs, at(classes, targets, end_class), weight, doc
 
 
 class Vocabulary:
@@ -334,55 +368,75 @@ def count_ids(tokens, size: int) -> np.ndarray:
     return counts
 
 
-def adam(p, stream):
-    """One pass over (inputs, targets, weight) batches; the parameters and the number of windows seen."""
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+def adam(p, stream, uses: np.ndarray | None = None):
+    """One pass over (inputs, targets, weight) batches; the parameters and the number of windows seen.
+
+    The embeddings of a batch's inputs change with it, the others stay. ``uses`` counts the inputs by id.
+    """
+    table = flat(p)
+    p, first, second = unflat(table), np.zeros_like(table), np.zeros_like(table)
     step = seen = 0
     for inputs, targets, weight in stream:
         step, seen = step + 1, seen + len(inputs)
-        rate = RATE / np.sqrt(1 + step / 200)
-        for k, g in gradient(p, inputs, targets, weight).items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            p[k] = p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+        rate, one, two = float(RATE / np.sqrt(1 + step / 200)), 1 - 0.9**step, 1 - 0.99**step
+        g, dx = gradients(p, inputs, targets, weight)
+        ids, number, rows = by_id(inputs, dx)
+        if uses is not None:
+            uses[ids] += number
+        own = np.concatenate((np.arange(FIRST), FIRST + ids))
+        g = np.concatenate([*(g[k].reshape(-1, DIM) for k in SHAPES if k != "E"), rows])
+        m, n = first[own], second[own]
+        m += 0.1 * (g - m)
+        n += 0.01 * (g * g - n)
+        first[own], second[own] = m, n
+        table[own] -= (rate / one) * m / (np.sqrt(n * (1 / two)) + 1e-8)
     return p, seen
 
 
+#: One row of the parameters' table: the sum of its changes and of what they weigh.
+CHANGED = ["k", "n", *(f"v{i}" for i in range(DIM))]
+
+
 def train(tokens, vocabulary: Vocabulary, size: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters after every training text was learned from in one of the rounds.
+
+    A round's changes are averaged over the tasks: by windows, and for an embedding by how often each task met its id.
+    """
     context = tokens.sparkSession.sparkContext
     shared = context.broadcast(vocabulary)
-    parameters = start_parameters(vocabulary.log_class)
+    table = flat(start_parameters(vocabulary.log_class, vocabulary.classes[:size]))
     for r in range(rounds):
-        begin = context.broadcast(parameters)
+        begin = context.broadcast(table)
 
-        def learn(batches, r=r, begin=begin):
+        def learn(batches, begin=begin):
             vocab = shared.value
 
             def stream():
                 waiting = []
                 for batch in batches:
-                    keys = batch.column("text_key").to_numpy().view(np.uint64)
-                    for row, ids, offsets in ids_of(batch.column("ids"), size):
-                        inputs, targets, weight, doc = windows_of(vocab.classes[ids], offsets, vocab.classes[size])
-                        draw = mix(keys[row + doc] + np.arange(len(doc), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                        take = np.flatnonzero(draw % np.uint64(rounds) == r)
-                        waiting.append((inputs[take], targets[take], weight[take]))
+                    for _, ids, offsets in ids_of(batch.column("ids"), size):
+                        waiting.append(windows_of(vocab.classes[ids], offsets, vocab.classes[size], ids, size)[:3])
                         if sum(len(w[0]) for w in waiting) >= 16 * BATCH:
                             yield from batched(waiting, BATCH)
                             waiting = []
                 yield from batched(waiting, BATCH)
 
-            p, seen = adam({k: v.copy() for k, v in begin.value.items()}, stream())
-            values = flat(p).astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), float(seen)))], ["k", "v", "w"])
-
-        got = tokens.where("not held_out").select("text_key", "ids").mapInArrow(learn, "k long, v double, w double").groupBy("k").agg(
-            (F.sum("v") / F.nullif(F.sum("w"), F.lit(0.0))).alias("v")).where("v is not null").toArrow()
+            uses = np.zeros(size + 1, np.int64)
+            p, seen = adam(unflat(begin.value), stream(), uses)
+            weight = np.concatenate((np.full(FIRST, seen), uses))
+            own = np.flatnonzero(weight)
+            change = (flat(p)[own].astype(np.float64) - begin.value[own]) * weight[own, None]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(weight[own].astype(np.float64)), *(pa.array(c) for c in change.T.copy())], CHANGED)
+
+        # a text belongs to one round, so its windows are made once
+        texts = tokens.where(~F.col("held_out") & (F.pmod(F.xxhash64("text_key"), F.lit(rounds)) == r)).select("ids")
+        parts = texts.mapInArrow(learn, "k long, " + ", ".join(f"{c} double" for c in CHANGED[1:]))
+        got = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in CHANGED[1:]]).toArrow()
         if got.num_rows:
-            values = np.zeros(got.num_rows)
-            values[got["k"].to_numpy()] = got["v"].to_numpy()
-            parameters = unflat(values)
-    return parameters
+            change = np.stack([got[c].to_numpy() for c in CHANGED[2:]], 1) / got["n"].to_numpy()[:, None]
+            table = table.copy()
+            table[got["k"].to_numpy()] += change.astype(np.float32)
+    return unflat(table)
 
 
 def batched(parts, size: int):
@@ -400,7 +454,7 @@ def model_scores(tokens, vocabulary: Vocabulary, parameters, size: int):
         vocab, p = shared.value
         for batch in batches:
             for row, ids, offsets in ids_of(batch.column("ids"), size):
-                inputs, targets, weight, doc = windows_of(vocab.classes[ids], offsets, vocab.classes[size])
+                inputs, targets, weight, doc = windows_of(vocab.classes[ids], offsets, vocab.classes[size], ids, size)
                 total = np.zeros(len(doc))
                 for a in range(0, len(doc), SCORED):
                     part = slice(a, a + SCORED)

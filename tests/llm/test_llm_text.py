@@ -462,6 +462,32 @@ def test_training_beats_the_start():
     assert seen == 2 * len(inputs) and -lm.class_scores(p, inputs, targets).mean() < 0.5 * before
 
 
+def test_the_model_tells_ids_of_one_class_apart():
+    rng = np.random.default_rng(2)
+    # ids 0 and 1 are of one class; 0 is followed by 2, 1 by 3, which are of two classes
+    first = rng.integers(0, 2, 20_000)
+    ids, of = np.stack([first, first + 2], 1).ravel(), np.array([0, 0, 1, 2, 3])
+    inputs, targets, weight, _ = lm.windows_of(of[ids], np.array([0, len(ids)]), 3, ids, 4)
+    p = lm.start_parameters(np.full(lm.CLASSES, -np.log(lm.CLASSES)), of[:4])
+    uses = np.zeros(5, np.int64)
+    p, _ = lm.adam(p, lm.batched([(inputs, targets, weight)] * 2, lm.BATCH), uses)
+    scores = lm.class_scores(p, inputs, targets)
+    # not knowing the id before costs log 2
+    assert scores[targets == 1].mean() > -0.2 and scores[targets == 2].mean() > -0.2
+    assert p["E"].shape == (5, lm.DIM) and uses.sum() == 2 * inputs.size
+
+
+def test_embeddings_of_ids_that_occur_are_learned(spark):
+    rows = keyed(documents(spark, [(i, f"one two three {i}") for i in range(20)])).withColumn("held_out", F.col("doc_id") == 0)
+    size = subwords(tokenizer_path()).size
+    tokens = lm.token_rows(rows, tokenizer_path()).localCheckpoint()
+    vocabulary = lm.Vocabulary(lm.count_ids(tokens, size))
+    learned, start = lm.train(tokens, vocabulary, size)["E"], lm.start_parameters(vocabulary.log_class, vocabulary.classes[:size])["E"]
+    seen = np.unique(subwords(tokenizer_path()).encode([f"one two three {i}" for i in range(1, 20)])[0])
+    changed = np.flatnonzero((learned != start).any(1))
+    assert learned.shape == (size + 1, lm.DIM) and set(changed) <= {*seen, size} and len(changed) > 4
+
+
 @pytest.mark.parametrize("text", ["one two", "three four five", "six"])
 def test_every_window_is_trained_on(spark, text):
     rows = keyed(documents(spark, [(1, text)])).withColumn("held_out", F.lit(False))
