@@ -249,6 +249,24 @@ def answers_and_copies(space: Space, words: Words, at: np.ndarray, hit: np.ndarr
     return found
 
 
+def stretch_sums(space: Space, at: np.ndarray, hit: np.ndarray, start, middle, second, stop, number) -> np.ndarray:
+    """Sums of the axes of the known words of [start, middle) and [second, stop); stretches of one number are the same."""
+    more = second < stop
+    numbers, first, back = np.unique(np.concatenate((number, number[more] + 1)), return_index=True, return_inverse=True)
+    begin, end = (np.concatenate(z)[first] for z in ((start, second[more]), (middle, stop[more])))
+    size = end - begin
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    known = np.concatenate(([0], np.cumsum(hit[place])))
+    bounds = known[np.concatenate(([0], np.cumsum(size)))]
+    some = np.flatnonzero(np.diff(bounds))
+    sums = np.zeros((len(numbers), space.axes.shape[1]), space.axes.dtype)
+    if len(some):
+        sums[some] = np.add.reduceat(space.axes[at[place[hit[place]]]], bounds[some], axis=0)
+    out = sums[back[:len(number)]]
+    out[more] += sums[back[len(number):]]
+    return out
+
+
 def candidates(space: Space, words: Words) -> list[tuple[int, int, int, int]]:
     """(text, item, first word, end word within the text) of stretches that may hold an item, overlapping ones joined."""
     at = np.minimum(np.searchsorted(space.words, words.hashes), len(space.words) - 1)
@@ -263,11 +281,12 @@ def candidates(space: Space, words: Words) -> list[tuple[int, int, int, int]]:
     rich = np.flatnonzero(mass[stop] - mass[start] >= WEIGHT * space.least)
     norms = np.linalg.norm(space.latent, axis=1)
     found = answers_and_copies(space, words, at, hit, words.doc())
+    # passages overlap: a stretch of SHIFT words is added up once, and a passage is one or two of them
+    steps = -(-sizes // SHIFT)
+    head = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number) + (np.cumsum(steps) - steps)[doc]
     for a in range(0, len(rich), 512):
         own = rich[a:a + 512]
-        size = stop[own] - start[own]
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[own], size)
-        vectors = np.add.reduceat(np.where(hit[place, None], space.axes[at[place]], 0), np.cumsum(size) - size, axis=0)
+        vectors = stretch_sums(space, at, hit, start[own], np.minimum(start[own] + SHIFT, stop[own]), start[own] + SHIFT, stop[own], head[own])
         products = vectors @ space.latent.T
         near = (products >= COSINE * np.linalg.norm(vectors, axis=1)[:, None] * norms) & (products >= WEIGHT * norms**2) & (products > 0)
         p, i = np.nonzero(near)

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -302,6 +304,25 @@ def test_language_on_held_out_texts(spark, sf):
     assert {r["lang_pred"] for r in langid.predict(odd, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_judging_holds_little_at_once():
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(1200)]
+    codes, number = np.unique(langid.grams(*langid.symbols([t.encode() for t in texts[:20]])), return_counts=True)
+    part = langid.KneserNey(codes, number, 27)
+    hashed = langid.mix(codes)
+    order = np.argsort(hashed)
+    costs = np.repeat(-np.log(part.probability(codes))[order][:, None], 8, 1).astype(np.float32)
+    model = langid.Model(list("abcdefgh"), [part] * 8, hashed[order], costs)
+    langid.letter_table()
+    tracemalloc.start()
+    for _, chunk in langid.text_chunks(pa.array(texts), None, langid.CHUNK):
+        model.judge(chunk)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # every byte of a chunk takes some 100 bytes of symbols, grams and costs
+    assert peak < 60e6
+
+
 def test_kneser_ney_adds_up_to_one():
     found, begins = langid.symbols([b"abab cabc abca", "Été à la".encode()])
     keys, counts = np.unique(langid.grams(found, begins), return_counts=True)
@@ -330,6 +351,22 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(decontaminate.Item(0, a).masks(), len(a), b) == longest_common(a, b)
 
 
+def test_overlapping_stretches_are_added_up_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = Words([" ".join(f"w{k}" for k in rng.integers(0, 60, n)).encode() for n in (0, 1, 23, 24, 25, 47, 48, 49, 72, 73, 400)])
+    known = np.unique(words.hashes)[::2]
+    space = decontaminate.Space(
+        [], np.arange(5), known, np.ones(len(known), np.float32), rng.standard_normal((len(known), 6)), np.zeros((5, 6)), 0.0, None, None, np.zeros(0))
+    met, made, plain = [], [], decontaminate.stretch_sums
+    monkeypatch.setattr(decontaminate, "answers_and_copies", lambda *_: [np.zeros((0, 4), np.int64)])
+    monkeypatch.setattr(decontaminate, "stretch_sums", lambda *given: met.append(given) or made.append(plain(*given)) or made[-1])
+    assert decontaminate.candidates(space, words) == []
+    (_, at, hit, start, _, _, stop, _), vectors = met[0], made[0]
+    want = [sum((space.axes[at[k]] for k in range(a, z) if hit[k]), np.zeros(6)) for a, z in zip(start, stop, strict=True)]
+    sizes = words.counts()
+    assert np.allclose(vectors, want) and len(vectors) == sum(max(1, -(-int(n - 24) // 24)) for n in sizes if n)
+
+
 def test_leaks_against_all_stretches(spark):
     rng = random.Random(4)
     common, rare = [f"c{k}" for k in range(30)], [f"r{k}" for k in range(4000)]
