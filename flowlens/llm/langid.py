@@ -28,7 +28,8 @@ from flowlens.llm.common import mix, row_and_text, signed, text_chunks, text_of
 ORDER = 4
 ROWS = 600
 LANGUAGES = 1000
-CHUNK = 1 << 20
+#: Bytes of text whose symbols, grams and costs are held at once.
+CHUNK = 1 << 18
 #: Spreads above the usual cross-entropy at which a text is rejected.
 REJECT_AT = 8.0
 #: Least spread between texts, and spread that one symbol adds to a short text, in nats.
