@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import Words, keyed, mix, prefix_sums, signed, span_hash, text_chunks
+from flowlens.llm.common import CHUNK_BYTES, Words, keyed, mix, prefix_sums, signed, span_hash, text_chunks
 from flowlens.llm.components import components
 from flowlens.session import materialize
 
@@ -37,10 +37,21 @@ RATE, BASE = 20.0, 1.001
 MARGIN = 0.2
 #: Members of a bucket compared in one block.
 BLOCK = 256
+#: Bytes of text sketched at once: the rounds of a sketch are as many for few texts as for many.
+SKETCHED = 1 << 21
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, sorted within each, and where each text's begin (one more at the end)."""
+    # texts are parsed a few at a time: parsing takes many times the room of their shingles
+    ends = np.cumsum([len(t) for t in texts])
+    cuts = np.flatnonzero(np.diff(ends // CHUNK_BYTES)) + 1
+    parts = [parsed_sets(texts[a:b]) for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
+    sizes = np.concatenate([np.diff(offsets) for _, offsets in parts])
+    return np.concatenate([hashes for hashes, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def parsed_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = Words(texts, lower=True)
     sums, n = prefix_sums(words.hashes), len(words.hashes)
     doc, counts = words.doc(), words.counts()
@@ -116,7 +127,7 @@ def sketch_rows(rows):
 
     def emit(batches):
         for batch in batches:
-            for first, texts in text_chunks(batch, "text"):
+            for first, texts in text_chunks(batch, "text", SKETCHED):
                 hashes, offsets = shingle_sets(texts)
                 padded = np.append(hashes, np.uint64(0))
                 full = offsets[:-1] < offsets[1:]

@@ -1,14 +1,16 @@
 """Substring dedup and near-duplicates against plain versions."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from llm_fixtures import document_rows, documents
 
-from flowlens.llm import neardup, substrings
+from flowlens.llm import common, neardup, substrings
 from flowlens.llm.common import Words
 from flowlens.llm.components import components
 
@@ -146,3 +148,19 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (20, 21)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {2: 1, 3: 1, 8: 7, 9: 7, 21: 20} | {101 + i: 100 for i in range(40)}
+
+
+def test_parsing_takes_little_room_beside_the_shingles():
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randrange(600))).encode() for _ in range(1500)]
+    assert sum(map(len, texts)) > 2_000_000
+    common.POWERS.clear()
+    tracemalloc.start()
+    hashes, offsets = neardup.shingle_sets(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # before: 159 MB for the same texts
+    assert peak < 60_000_000 and sum(x.nbytes for x in common.POWERS.values()) < 20_000_000
+    for i in (0, 1, 700, 1499):
+        own, _ = neardup.parsed_sets([texts[i]])
+        assert list(hashes[offsets[i]:offsets[i + 1]]) == list(own)
