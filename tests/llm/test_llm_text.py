@@ -156,6 +156,16 @@ def test_near_copies_in_any_script(spark, script, gap, number):
     assert frame.select(fingerprints.likeness(c("a"), c("b"), c("x"), c("y")).alias("s")).first()["s"] > 0.9
 
 
+def test_cells_of_a_difference_are_made_at_once(spark):
+    c = F.col
+    rows = [([f"a {k}" for k in range(n)], [f"a {k}" for k in range(n // 2)] + [f"b {k}" for k in range(m)]) for n, m in ((0, 0), (1, 0), (0, 5), (30, 9), (400, 90))]
+    frame = spark.createDataFrame([("\n".join(a), "\n".join(b)) for a, b in rows], "a string, b string").select(
+        fingerprints.paragraphs(c("a")).alias("a"), fingerprints.paragraphs(c("b")).alias("b"))
+    frame = frame.select(fingerprints.sketch_apart(c("a"), c("b")).alias("x"), fingerprints.minus(fingerprints.sketch(c("a")), fingerprints.sketch(c("b"))).alias("y"))
+    for r in frame.collect():
+        assert r["x"] == r["y"]
+
+
 def test_common_digests_do_not_differ_beyond_the_last_retry(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "DEPTH", 1)
     c = F.col
