@@ -128,7 +128,9 @@ def q_stream_flows(spark, sf):
     """Flows of the packet stream (idle timeout and drain), read from the sink."""
     source = _stream_source(spark, sf)
     out = scratch_path(spark, "stream-flows")
-    flows = ST.stream_flows(packet_stream(spark, source), V.IDLE_SECONDS, "1 day")
+    # everything is read in one micro-batch
+    buckets = ST.buckets_for(spark.read.parquet(source).count())
+    flows = ST.stream_flows(packet_stream(spark, source), V.IDLE_SECONDS, "1 day", buckets=buckets)
     writer = flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-check"))
     with ST.state_partitions(spark):
         query = writer.trigger(availableNow=True).start()

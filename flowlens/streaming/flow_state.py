@@ -7,7 +7,8 @@ bucket. Packets of a micro-batch are put in arrival order per five-tuple, and al
 and put out by array operations over the bucket, not flow by flow. Gaps are taken in time order: a packet's time waits until the watermark has passed it, when no older packet
 can follow, or until its flow ends; so gaps are those of the batch form, whatever the micro-batches. The buffer holds the
 packets of ``lateness``, eight bytes each. How much one bucket may hold at once is bounded by the source's trigger options
-and by the number of buckets: some 600 bytes an open flow, some hundred a packet of the micro-batch.
+and by the number of buckets: some 600 bytes an open flow, some hundred a packet of the micro-batch. A stream that reads
+all it has in one micro-batch takes as many buckets as its packets ask for (``buckets_for``).
 
 A packet that is not newer than the watermark of its micro-batch is late. It joins no flow and is put out by itself, with
 ``termination_reason`` ``late``; ``late_packets`` and ``on_time`` tell the two apart.
@@ -43,6 +44,8 @@ INDEX = {name: i for i, name in enumerate(FIELDS)}
 
 #: five-tuples are dealt to so many buckets
 BUCKETS = 64
+#: packets of a micro-batch that a bucket is meant to hold; a worker takes some kilobytes for each until the bucket is done
+BUCKET_PACKETS = 1 << 14
 #: closed flows handed on at once
 OUTPUT_ROWS = 2000
 
@@ -324,6 +327,11 @@ PACKET_FIELDS = ["packet_seq", "t", "pkt_len", "tcp_flags", "win_size", "header_
 OUTPUT_COLUMNS = [part.split()[0] for part in OUTPUT_SCHEMA.split(", ")]
 
 
+def buckets_for(packets: int) -> int:
+    """Buckets of a stream whose micro-batches have up to so many packets; a small one keeps the usual number."""
+    return max(BUCKETS, -(-packets // BUCKET_PACKETS))
+
+
 def stream_flows(
     packets: DataFrame, idle_timeout: float = 3.0, lateness: str = "1 second", with_late: bool = False, buckets: int = BUCKETS,
 ) -> DataFrame:

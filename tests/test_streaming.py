@@ -56,6 +56,19 @@ def test_stream_equals_batch(spark, sf):
     assert reasons == pytest.approx(expected)
 
 
+def test_buckets_grow_with_a_micro_batch(spark, sf, monkeypatch):
+    """A stream that reads everything at once takes buckets by its packets, and gives the flows of the batch form."""
+    assert ST.buckets_for(0) == ST.buckets_for(100_000) == ST.BUCKETS and ST.buckets_for(36_000_000) * ST.BUCKET_PACKETS >= 36_000_000
+    taken, make = [], ST.stream_flows
+    monkeypatch.setattr(ST, "BUCKETS", 2)
+    monkeypatch.setattr(ST, "BUCKET_PACKETS", 100)
+    monkeypatch.setattr(ST, "stream_flows", lambda *a, **k: taken.append(k["buckets"]) or make(*a, **k))
+    got, n = jobs.q_stream_split(spark, sf), V.packets(spark, sf).count()
+    assert taken == [-(-(n + 1) // 100)] and taken[0] > 2
+    want = V.flows(spark, sf, V.IDLE_SECONDS).select("flow_seq", "src_ip", "src_port", "packets")
+    assert got.select(*want.columns).exceptAll(want).count() == want.exceptAll(got.select(*want.columns)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def monitored(spark, sf):
     """A monitor over several micro-batches with real models, and what it counted after each of them."""
