@@ -36,13 +36,17 @@ def model_input(df: DataFrame, features: list[str], missing: str = "zero") -> Da
     return df.withColumns({x: clean(F.col(f"`{f}`")) for x, f in zip(_safe(features), features)})
 
 
+def class_weights(df: DataFrame, label: str, cap: float = WEIGHT_CAP) -> DataFrame:
+    """Balanced class weights, one row a class."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
+    return counts.select(label, F.least(F.lit(cap), totals["n"] / (totals["k"] * F.col("_n"))).alias("weight"))
+
+
 def with_class_weights(df: DataFrame, label: str, cap: float = WEIGHT_CAP) -> DataFrame:
     """Balanced class weights as a column; the join side has one row per class and is sent to the rows, so that no task
     gets all rows of a class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
-    weights = counts.select(label, F.least(F.lit(cap), totals["n"] / (totals["k"] * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(weights), label)
+    return df.join(F.broadcast(class_weights(df, label, cap)), label)
 
 
 def in_parts(rows: DataFrame) -> DataFrame:

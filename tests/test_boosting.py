@@ -112,3 +112,81 @@ def test_boosting_beats_the_forest_on_rows_not_seen(spark, sf):
     best = F.array_position("probs", F.array_max("probs")).cast("int") - 1
     plain = probs.withColumn("prediction", F.get(F.array(*[F.lit(c) for c in V.ACTUAL]), best))
     assert macro_f1(got) > macro_f1(plain) + 0.05
+
+
+def test_rows_are_read_once_and_stored_in_blocks(spark, rows, monkeypatch):
+    """The training rows are made once, however many passes follow, and a stored row holds a block of them."""
+    made, stored, write = spark.sparkContext.accumulator(0), [], BO.Scratch.write
+
+    def watched(self, df, name):
+        full = write(self, df, name)
+        stored.append(spark.table(full).count())
+        return full
+
+    def counted(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part
+
+    monkeypatch.setattr(BO.Scratch, "write", watched)
+    plain = rows.withColumnRenamed("odd name.x", "x").coalesce(1)
+    BO.fit_boosted(plain.mapInPandas(counted, plain.schema), ["u", "v", "x"], "label", CLASSES, rounds=2, depth=2, bins=8)
+    assert made.value == 405
+    assert stored[0] == 405 and len(stored) == 3 and max(stored[1:]) < 10
+
+
+def test_blocks_give_back_their_rows(monkeypatch):
+    rng = np.random.default_rng(5)
+    blocks = BO.Blocks(3, 4)
+    n = 7 * blocks.rows
+    bins, y, margins = rng.integers(0, 256, (3, n), np.uint8), rng.integers(0, 5, n, np.uint16), rng.normal(size=(4, n)).astype(np.float32)
+    batch = blocks.pack(bins, y, margins)
+    monkeypatch.setattr(BO, "STEP_ROWS", 2 * blocks.rows)
+    for start in (0, 2):
+        parts = list(blocks.unpack(batch.slice(start)))
+        assert len(parts) > 1
+        for i, want in enumerate((bins, y, margins)):
+            assert (np.concatenate([p[i] for p in parts], axis=-1) == want[..., start * blocks.rows:]).all()
+
+
+def test_shared_histograms_equal_those_of_each_feature(spark):
+    rng = np.random.default_rng(6)
+    sizes, weight, blocks = [4, 7, 2, 9], np.array([1.0, 0.5, 2.0]), BO.Blocks(4, 3)
+    n = 3 * blocks.rows
+    bins = np.stack([rng.integers(0, s, n, np.uint8) for s in sizes])
+    batch = blocks.pack(bins, rng.integers(0, 4, n, np.uint16), rng.normal(size=(3, n)).astype(np.float32))
+    rows = spark.createDataFrame([(x.as_py(),) for x in batch.column("rows")], BO.ROW_TYPES)
+    trees = [BO.Tree.empty(3) for _ in weight]
+    for tree in trees:
+        tree.feature[:], tree.bin[:] = rng.integers(-1, 4, 7), rng.integers(0, 2, 7)
+    groups = BO.shared(sizes, 3, 4)
+    assert sorted(j for g in groups for j in g) == [0, 1, 2, 3] and len(groups) < 4
+    opened = np.array([[True, True, False, True]] * 3)
+
+    def summed(groups):
+        out = {}
+        for r in BO.histograms(rows, trees, 2, opened, sizes, 9, weight, groups).collect():
+            out[r.k, r.node] = out.get((r.k, r.node), 0) + np.frombuffer(r.sums)
+        return out
+
+    got, want = summed(groups), summed([[j] for j in range(4)])
+    assert got.keys() == want.keys() and not any(node == 2 for _, node in got)
+    assert all(got[x] == pytest.approx(want[x], abs=1e-9) for x in want)
+
+
+def test_margins_equal_a_walk_down_the_trees():
+    rng = np.random.default_rng(7)
+    trees = [[BO.Tree.empty(7) for _ in range(2)] for _ in range(3)]
+    for tree in (t for grown in trees for t in grown):
+        tree.feature[:], tree.threshold[:], tree.leaf[:] = rng.integers(-1, 3, 127), rng.integers(-2, 3, 127), rng.normal(size=128)
+    x = rng.integers(-3, 4, (300, 3)).astype(float)
+    x[::7, 1], x[::11, 0], x[::13, 2] = np.nan, np.inf, -np.inf
+    want = np.zeros((300, 2))
+    for i, row in enumerate(x):
+        for k in range(2):
+            for tree in (grown[k] for grown in trees):
+                node = 0
+                while node < 127:
+                    node = 2 * node + 1 + bool(tree.feature[node] >= 0 and row[tree.feature[node]] > tree.threshold[node])
+                want[i, k] += tree.leaf[node - 127]
+    assert BO.Boosted(["a", "b"], ["u", "v", "w"], trees).margins(x) == pytest.approx(want, abs=1e-12)
